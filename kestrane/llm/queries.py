@@ -32,12 +32,42 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs_of(spark, sf_dir)).drop("rid")
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprints
+
+    return fingerprints(docs_of(spark, sf_dir))
+
+
 def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .arrow_output import token_id_output
 
     return token_id_output(docs_of(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(docs_of(spark, sf_dir))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .similarity_join import near_duplicates
+
+    return near_duplicates(docs_of(spark, sf_dir))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import html_text
+
+    return html_text(docs_of(spark, sf_dir, "pages"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(docs_of(spark, sf_dir), docs_of(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_digest
 
