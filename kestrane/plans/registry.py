@@ -1,4 +1,29 @@
-"""All registered queries and their SQL counterparts."""
+"""All registered queries and their SQL counterparts.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+A query is a function from (spark, sf_dir) to a DataFrame; `query` registers it under its
+own name, with DuckDB SQL that gives the same rows on the same tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+from . import analytics, ingest, read_api, relational  # noqa: E402, F401  they register their queries
