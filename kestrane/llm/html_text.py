@@ -55,8 +55,8 @@ ARTICLE_WORDS = frozenset("articlebody content entry post story".split())
 _WORD = re.compile(r"[^\W\d_]+")
 _NAME = re.compile(r"[a-z]+")
 
-#: Characters from which a block is long; share of stop words; share of characters in links.
-LONG, DENSE, LINKED = 70, 0.2, 0.33
+#: Characters from which a block is long; share of stop words; share of characters in links, outside and inside an article.
+LONG, DENSE, LINKED, LINKED_INSIDE = 70, 0.2, 0.33, 0.8
 
 
 class _Blocks(HTMLParser):
@@ -153,7 +153,7 @@ class _Blocks(HTMLParser):
 def _label(text: str, linked: int, container: int) -> bool | None:
     """First pass: good, bad or undecided, from the block alone."""
     size = max(1, len(text.replace(" ", "")))
-    if linked / size > LINKED:
+    if linked / size > (LINKED_INSIDE if container else LINKED):
         return False
     if container:
         return True if len(text) >= LONG else None

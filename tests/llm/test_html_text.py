@@ -23,6 +23,11 @@ def test_without_article_neighbours_decide():
     assert main_text(page).split("\n\n") == ["Title", LONG, "Yes.", LONG]
 
 
+def test_links_in_the_article():
+    page = f"<article><p>{LONG}</p><p>See <a href=x>the other page</a> and more.</p><ul><li><a href=y>Share this</a></li></ul></article>"
+    assert main_text(page).split("\n\n") == [LONG, "See the other page and more."]
+
+
 def test_empty_and_broken():
     assert main_text("") == "" and main_text("<p></p>") == ""
     assert main_text("plain words") == "plain words"
