@@ -88,9 +88,9 @@ def year_in_name(stem: Column, parent: Column) -> Column:
     return F.coalesce(find(stem), find(parent)).try_cast("int")
 
 
-def last_year_in_text(c: Column, low: int = 2000, high: int = 2035) -> Column:
-    """The greatest four-digit number in the text between the bounds."""
-    years = F.transform(F.regexp_extract_all(c, F.lit(r"(\d{4})"), F.lit(1)), lambda y: y.cast("int"))
+def last_year_in_text(c: Column, low: int = 1990, high: int = 2030) -> Column:
+    """The greatest year in the text between the bounds: 199x or 20xx standing alone."""
+    years = F.transform(F.regexp_extract_all(c, F.lit(r"\b(20\d{2}|199\d)\b"), F.lit(1)), lambda y: y.cast("int"))
     return F.array_max(F.filter(years, lambda y: y.between(low, high)))
 
 
@@ -101,7 +101,7 @@ def granularity(name: Column) -> Column:
 
 def sheet_fields(name: Column) -> dict[str, Column]:
     """The six fields of a record sheet's file name: school, code, grade, letter, date and time."""
-    pattern = r"^(\d+)_(\w+?)_(\w+?)_([A-Z])_(\d{8})_(\d{6})\.pdf$"
+    pattern = r"(?i)^(\d+)_(\w+?)_(\w+?)_([A-Z])_(\d{8})_(\d{6})\.pdf$"
     part = lambda i: F.nullif(F.regexp_extract(name, pattern, i), F.lit(""))
     return {"rbd": norm_rbd(part(1)), "codigo": part(2), "grado": part(3), "letra": part(4), "fecha": F.try_to_date(part(5), "ddMMyyyy"), "hora": part(6)}
 
