@@ -16,12 +16,18 @@ WHITE = r"[\x20\x09-\x0D]+"
 #: Used only where the session names no shared folder (tests, one machine).
 LOCAL_SCRATCH = "/tmp/checkpoints/kestrane"
 
+#: Rows of a batch that are worked on at a time.
+SLICE = 1000
+
 _runs: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a local default."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    return (named or LOCAL_SCRATCH).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -68,8 +74,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., dict[str, list]]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(lo, SLICE)
                 out = work(**{n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in types], schema=types)
 

@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame
 from ._common import map_rows, text_of
 
 #: Distinct fragments that one worker keeps; the cache starts anew beyond it.
-CACHE = 400_000
+CACHE = 100_000
+#: Code points of the texts that are split at a time.
+GROUP = 1 << 20
 
 _loaded: dict[str, object] = {}
 
@@ -98,16 +100,16 @@ class ForcedCuts:
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Ids as little-endian unsigned 32-bit integers and the decoded text, for each text."""
-        split, at = [t.split(" ") for t in texts], 0
-        out = []
-        while at < len(split):
-            end, n = at, 0
-            while end < len(split) and n < CACHE // 2:
-                n += len(split[end])
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size < GROUP:
+                size += len(texts[end])
                 end += 1
-            self.learn(set().union(*split[at:end]))
+            split = [t.split(" ") for t in texts[at:end]]
+            self.learn(set().union(*split))
             known = self.known
-            for parts in split[at:end]:
+            for parts in split:
                 got = [known[p] for p in parts]
                 out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])))
             at = end

@@ -38,7 +38,7 @@ TOLERANCE, STEP = 1e-6, 16
 SMALL, BLOCK = 24, 512
 #: Documents up to which the table of those to verify is broadcast (16 MB); it is shuffled beyond.
 BROADCAST_NODES = 500_000
-CACHE = 400_000
+CACHE = 100_000
 
 _rng = np.random.default_rng(20_011)
 _A = (_rng.integers(0, 1 << 63, VALUES, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -147,6 +147,7 @@ def nodes_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
                 node.append(xxhash.xxh3_128_digest(sh.tobytes()))
                 n.append(len(sh))
                 values.append(minhash(sh).tobytes())
+            _words.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(n, pa.int32()), pa.array(values, pa.binary())], names=["doc_id", "node", "n_shingles", "values"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))

@@ -17,19 +17,18 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_rows, text_of
+from ._common import SLICE, map_rows, text_of
 
 #: Labelled rows in the sample, of each label; terms; neighbours; examples in a block.
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 2500, 2048, 15, 64
 THRESHOLD = 0.7
 HEADS = (4, 5, 6)
-#: Words whose terms one worker keeps.
-CACHE = 400_000
+#: Words whose terms one worker keeps, and vectors whose scores it keeps.
+CACHE, KNOWN = 100_000, 10_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -133,7 +132,7 @@ class Scorer:
         empty = [i for i, v in enumerate(index.unit) if not v]
         self.base = self._share(empty or range(len(index.unit)))
         self.cuts, self.values = self._calibrate()
-        self.known: dict[tuple, tuple[float, str]] = {}
+        self.known: dict[bytes, tuple[float, str]] = {}
 
     def _share(self, examples) -> float:
         w = [self.class_weight[int(self.index.labels[i])] for i in examples]
@@ -165,9 +164,9 @@ class Scorer:
         counts = self.vectors.counts(text)
         if not counts:
             return float(min(1.0, max(0.0, self.base))), ""
-        key = tuple(sorted(counts.items()))
+        key = np.array(sorted(counts.items()), np.int32).tobytes()
         if key not in self.known:
-            if len(self.known) > CACHE // 10:
+            if len(self.known) > KNOWN:
                 self.known.clear()
             near = self.index.nearest(self.index.weigh(counts, self.index.idf))
             # the raw score breaks ties between equal pools
@@ -291,8 +290,13 @@ def without_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     """The rows of docs that score below THRESHOLD."""
     handed = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, doc_id, text, label))
 
-    @F.pandas_udf("double")
-    def score(texts: "pd.Series") -> "pd.Series":
-        return texts.map(lambda t: handed.value.score(t)[0])
+    at = docs.columns.index(text)
 
-    return docs.filter(score(text_of(text)) < THRESHOLD)
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = handed.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(lo, SLICE)
+                yield batch.filter(pa.array([scorer.score(t or "")[0] < THRESHOLD for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
