@@ -64,11 +64,12 @@ def docs_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataF
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[..., dict[str, list]]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[..., dict[str, list]]], schema: str, close: Callable[[], None] | None = None) -> DataFrame:
     """Apply a Python function to Arrow batches.
 
     `make` is called once a task and gives a function from the batch's columns, as
-    Python lists by keyword, to a dict of result columns.
+    Python lists by keyword, to a dict of result columns. `close`, if given, runs when the
+    task ends: workers are used again, and should not keep what only this operator needs.
     """
     types = _arrow_schema(schema, df.sparkSession)
 
@@ -79,6 +80,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., dict[str, list]]],
                 batch = whole.slice(lo, SLICE)
                 out = work(**{n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in types], schema=types)
+        if close:
+            close()
 
     return df.mapInArrow(run, schema)
 

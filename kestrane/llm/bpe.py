@@ -116,6 +116,11 @@ class ForcedCuts:
         return out
 
 
+def forget() -> None:
+    """Let go of the tokenizer and its caches."""
+    _loaded.clear()
+
+
 def cuts_for(path: str) -> ForcedCuts:
     if path not in _loaded:
         _loaded[path] = ForcedCuts(path)
@@ -138,7 +143,7 @@ def encode_and_decode(docs: DataFrame, path: str, text: str = "text", doc_id: st
         return work
 
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return map_rows(rows, make, "doc_id long, ids binary, decoded string")
+    return map_rows(rows, make, "doc_id long, ids binary, decoded string", forget)
 
 
 def bpe_digest(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -157,4 +162,4 @@ def bpe_digest(docs: DataFrame, path: str, text: str = "text", doc_id: str = "do
         return work
 
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return map_rows(rows, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(rows, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", forget)
