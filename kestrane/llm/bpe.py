@@ -99,19 +99,24 @@ class ForcedCuts:
             self.known[f] = (b"".join(i for i, _ in got), " ".join(d for i, d in got if i))
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Ids as little-endian unsigned 32-bit integers and the decoded text, for each text."""
-        out, at = [], 0
+        """Ids as little-endian unsigned 32-bit integers and the decoded text, for each text.
+
+        A text that repeats the one before it, as the copies of a mix do, is encoded once.
+        """
+        out, at, last = [], 0, None
         while at < len(texts):
             end, size = at + 1, len(texts[at])
             while end < len(texts) and size < GROUP:
                 size += len(texts[end])
                 end += 1
-            split = [t.split(" ") for t in texts[at:end]]
-            self.learn(set().union(*split))
+            split = [None if i and texts[i] == texts[i - 1] else texts[i].split(" ") for i in range(at, end)]
+            self.learn(set().union(*[parts for parts in split if parts is not None]))
             known = self.known
             for parts in split:
-                got = [known[p] for p in parts]
-                out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])))
+                if parts is not None:
+                    got = [known[p] for p in parts]
+                    last = b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])
+                out.append(last)
             at = end
         return out
 

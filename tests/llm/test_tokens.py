@@ -101,6 +101,16 @@ def test_queries_against_the_libraries(spark, sf_dir):
     assert rows(op10_bpe(spark, sf_dir)) == sorted(want, key=repr)
 
 
+def test_repeated_texts_encode_as_the_library_does(monkeypatch):
+    monkeypatch.setattr(bpe, "GROUP", 8)  # groups end between copies
+    enc = bpe.ForcedCuts(tokenizer("word_bpe_49k.json"))
+    texts = ["", "", "one two", "one two", "one two", "Three's", "", "one two", "", ""]
+    for t, (ids, decoded) in zip(texts, enc.encode_batch(texts), strict=True):
+        want = enc.tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and decoded == enc.tokenizer.decode(want, skip_special_tokens=False)
+    assert enc.encode_batch([]) == []
+
+
 def test_edges(edge_docs, no_docs):
     sp, byte, word = (tokenizer(n) for n in ("piece_bpe_32k.model", "byte_bpe_50k.json", "word_bpe_49k.json"))
     n = edge_docs.count()
