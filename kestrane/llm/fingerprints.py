@@ -87,7 +87,6 @@ def with_next(docs: DataFrame, carry: list[str], doc_id: str = "doc_id") -> Data
     guests = rows.join(F.broadcast(spark.createDataFrame(known, "head long, host int")), F.col(doc_id).cast("long") == F.col("head"))
     guests = guests.withColumn("range", F.col("host")).drop("head", "host") if known else rows.limit(0)
     if None in follow:  # the range of null ids: its rows follow by text, its first is the one to pass on
-        first = Window.orderBy("text")
         guests = guests.unionByName(rows.filter(F.col(doc_id).isNull()).orderBy("text").limit(1).withColumn("range", F.lit(follow[None])))
     every = rows.withColumn("guest", F.lit(0)).unionByName(guests.withColumn("guest", F.lit(1)))
     w = Window.partitionBy("range").orderBy("guest", F.col(doc_id).desc_nulls_last(), F.col("text").asc_nulls_first())
