@@ -2,7 +2,7 @@ r"""Secrets in texts and in what is encoded inside them.
 
 A worklist of layers: the text itself is scanned, then URL escapes, Unicode escapes and
 character references, base64 runs and compressed data found in a layer are unwrapped into
-new layers, which are scanned and unwrapped in turn until nothing new appears. A layer
+new layers (bytes as UTF-8 or Latin-1, and as UTF-16 and UTF-32 where they hold such text), which are scanned and unwrapped in turn until nothing new appears. A layer
 seen before (same content at the same place) is not taken up again. Every layer knows how
 its characters map to its parent's, so each finding is told as a span of the original text;
 inside compressed data a finding has the span of all that holds it.
@@ -38,6 +38,12 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNI = re.compile(r"(?:(?:\\u|%u)[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:quot|apos|equals|colon|amp);")
 _B64 = re.compile(r"(?:[A-Za-z0-9+/]{76}\r?\n|[A-Za-z0-9+/]{64}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
 _PART = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
+_BYTE = re.compile(r"%[0189A-Fa-f][0-9A-Fa-f]|\\x[0189A-Fa-f]|[%\\]u00[0189A-Fa-f]|&#")
+_UNI_BYTE = re.compile(r"(?:\\x|[%\\]u00)[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|\\[abfnrtv0\\'\"]")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17\x72\x45\x38\x50\x90)|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
+_PADDING = re.compile(rb"\0*")
+#: The shortest secret has 12 characters.
+_WIDE = re.compile(rb"(?:[\x01-\x7f]\0\0\0){12,}|(?:\0\0\0[\x01-\x7f]){12,}|(?:[\x01-\x7f]\0){12,}|(?:\0[\x01-\x7f]){12,}")
 _ENCODED = re.compile(r"%[0-9A-Fa-fu]|\\[uUx]|&#|&[a-z]|[A-Za-z0-9+/_-]{16}")
 
 
@@ -130,6 +136,20 @@ def _url(run: str):
     return out
 
 
+def _url_bytes(run: str):
+    return [(chr(b), 3 * i, 3 * i + 3) for i, b in enumerate(bytes.fromhex(run.replace("%", "")))]
+
+
+_SHORT = dict(zip("abfnrtv0\\'\"", "\a\b\f\n\r\t\v\0\\'\""))
+
+
+def _uni_bytes(one: str):
+    if len(one) == 2:
+        return [(_SHORT[one[1]], 0, 2)]
+    n = int(one[3:-1], 16) if one[:3] in ("&#x", "&#X") else int(one[2:-1]) if one[0] == "&" else int(one[-2:], 16)
+    return [(chr(n), 0, len(one))] if n < 256 else None
+
+
 def _unicode(run: str):
     if run[0] == "&":
         return [(html.unescape(run), 0, len(run))]
@@ -149,39 +169,53 @@ def _unicode(run: str):
     return out
 
 
-def _plain(raw: bytes) -> str | None:
-    """The text that the bytes are in UTF-8, if it reads as text."""
+def _plain(raw: bytes) -> bool:
+    """Whether the bytes are UTF-8 that reads as text."""
     try:
         text = raw.decode()
     except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
-
-
-def decompressed(raw: bytes) -> bytes | None:
-    """Gzip, zlib, bzip2, xz or zstandard data unwrapped; None if it is none of them; OverflowError beyond MAX_LAYER."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-        elif raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            d = zlib.decompressobj()
-        elif raw[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(raw) as r:
-                out = r.read(MAX_LAYER + 1)
-            d = None
-        else:
-            return None
-        if d is not None:
-            out = d.decompress(raw, MAX_LAYER + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError, zstandard.ZstdError):
-        return None
-    if len(out) > MAX_LAYER:
-        raise OverflowError
-    return out
+        return False
+    return all(c.isprintable() or c in "\t\n\r" for c in text)
+
+
+def _member(raw: bytes, at: int, room: int) -> tuple[bytes, int, bool]:
+    """One compressed stream from `at`: up to room + 1 bytes out of it, where it ends, and whether it is whole."""
+    head = raw[at : at + 6]
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        d, out = zstandard.ZstdDecompressor().decompressobj(), bytearray()
+        while at < len(raw) and not d.eof and len(out) <= room:
+            out += d.decompress(raw[at : at + 256])
+            at += 256
+        return bytes(out), min(at, len(raw)) - len(d.unused_data), d.eof
+    if head[:2] == b"\x1f\x8b":
+        d = zlib.decompressobj(31)
+    elif head[:1] == b"\x78":
+        d = zlib.decompressobj()
+    elif head[:3] == b"BZh":
+        d = bz2.BZ2Decompressor()
+    else:
+        d = lzma.LZMADecompressor(lzma.FORMAT_XZ)
+    out = d.decompress(memoryview(raw)[at:], room + 1)
+    return out, len(raw) - len(d.unused_data), d.eof
+
+
+def decompressed(raw: bytes, at: int = 0) -> tuple[bytes, int, bool] | None:
+    """Gzip, zlib, bzip2, xz or zstandard data from `at` unwrapped, all members that follow each other, where
+    they end, and whether the last is whole; None if it is none of them; OverflowError beyond MAX_LAYER."""
+    out, end, whole = [], at, False
+    while _MAGIC.match(raw, at):
+        try:
+            got, after, whole = _member(raw, at, MAX_LAYER - sum(map(len, out)))
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError, zstandard.ZstdError):
+            break
+        out.append(got)
+        end = after
+        if sum(map(len, out)) > MAX_LAYER:
+            raise OverflowError
+        if not whole:
+            break
+        at = end + len(_PADDING.match(raw, end).group())
+    return (b"".join(out), end, whole) if any(out) else None
 
 
 def _unbase64(run: str) -> bytes | None:
@@ -194,28 +228,45 @@ def _unbase64(run: str) -> bytes | None:
         return None
 
 
-def _embedded(layer: Layer, start: int, run: str) -> Layer | None:
-    """The layer that a base64 run holds, through any compression right inside it."""
-    raw = _unbase64(run)
-    if not raw:
-        return None
-    text, packed = _plain(raw), 0
-    while text is None:
-        raw = decompressed(raw)
-        if raw is None:
-            return None
-        packed, text = 1, _plain(raw)
+def _embedded(layer: Layer, start: int, run: str, raw: bytes) -> Layer:
+    """The bytes that a base64 run holds, as characters up to 255."""
     whole = layer.original(start, start + len(run))
-    if packed or "\n" in run:
-        return Layer(text, [0], [(*whole, 0)])
-    cuts, spans, at = [], [], 0
-    for i, c in enumerate(text):  # a character of n bytes from byte `at` needs these base64 characters
-        n = len(c.encode())
-        cuts.append(i)
-        spans.append((*layer.original(start + at * 8 // 6, min(start + len(run), start + -(-(at + n) * 8 // 6))), 0))
-        at += n
+    if "\n" in run:
+        return Layer(raw.decode("latin-1"), [0], [(*whole, 0)])
+    # byte i needs these base64 characters
+    spans = [(*layer.original(start + i * 8 // 6, min(start + len(run), start + -(-(i + 1) * 8 // 6))), 0) for i in range(len(raw))]
     spans[-1] = (spans[-1][0], whole[1], 0)  # with the padding
-    return Layer(text, cuts, spans)
+    return Layer(raw.decode("latin-1"), list(range(len(raw))), spans)
+
+
+def _joined(layer: Layer, text: str, starts: list[int]) -> Layer:
+    """Text read off the layer, whose character i stands for starts[i] to starts[i + 1]."""
+    if len(layer.spans) == 1 and not layer.spans[0][2]:
+        return Layer(text, [0], layer.spans)
+    return Layer(text, list(range(len(text))), [(*layer.original(a, b), 0) for a, b in zip(starts, starts[1:])])
+
+
+def _texts(layer: Layer, raw: bytes):
+    """What the bytes of a layer read as: UTF-8, Latin-1 where they are no UTF-8, and the ASCII stretches of UTF-16 and UTF-32."""
+    try:
+        text = raw.decode()
+        starts = [0]
+        if len(text) < len(raw):
+            for c in text:
+                starts.append(starts[-1] + len(c.encode()))
+            yield _joined(layer, text, starts)
+        else:
+            yield layer
+    except UnicodeDecodeError:
+        yield layer
+    yield from _wide_texts(layer, raw)
+
+
+def _wide_texts(layer: Layer, raw: bytes):
+    for m in _WIDE.finditer(raw) if b"\0" in raw else ():
+        text = m.group().replace(b"\0", b"").decode()
+        step = len(m.group()) // len(text)
+        yield _joined(layer, text, list(range(m.start(), m.end() + 1, step)))
 
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, int]:
@@ -236,22 +287,62 @@ def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
             seen.add(key)
             layers += 1
             found.update((k, *new.original(a, b)) for k, a, b in base_spans(new.text))
-            work.append(new)
-
-    while work:
+            if _ENCODED.search(new.text):
+                work.append(new)
+
+    def unpack(layer: Layer, raw: bytes) -> bool:
+        """Take up the compressed data in the bytes of a layer; whether they begin with some."""
+        nonlocal oversize
+        at, first = 0, False
+        while m := _MAGIC.search(raw, at):
+            at = m.start() + 1
+            try:
+                got = decompressed(raw, m.start())
+            except OverflowError:
+                oversize += 1
+                continue
+            if got:
+                out, end, whole = got
+                at = end if whole else at
+                first = first or not m.start()
+                inner = Layer(out.decode("latin-1"), [0], [(*layer.original(m.start(), end), 0)])
+                key = (hashlib.sha256(out).digest(), *inner.spans[0])
+                if key not in seen:
+                    seen.add(key)
+                    packed.append((inner, out))
+        return first
+
+    def take(layer: Layer, raw: bytes) -> bool:
+        """Take up all that the bytes may be; whether they read as text or begin with compressed data."""
+        for new in _texts(layer, raw):
+            push(new)
+        return unpack(layer, raw) or _plain(raw)
+
+    def base64_run(layer: Layer, start: int, run: str) -> bool:
+        raw = _unbase64(run)
+        return bool(raw) and take(_embedded(layer, start, run, raw), raw)
+
+    packed: deque[tuple[Layer, bytes]] = deque()
+    while work or packed:
+        if packed:
+            take(*packed.popleft())
+            continue
         layer = work.popleft()
         push(_rewritten(layer, _URL, _url))
         push(_rewritten(layer, _UNI, _unicode))
+        if _BYTE.search(layer.text):  # escapes may spell bytes
+            for pattern, decode in ((_URL, _url_bytes), (_UNI_BYTE, _uni_bytes)):
+                spelled = _rewritten(layer, pattern, decode)
+                if spelled:
+                    raw = spelled.text.encode("latin-1", "replace")
+                    unpack(spelled, raw)
+                    for new in _wide_texts(spelled, raw):
+                        push(new)
         for m in _B64.finditer(layer.text):
-            try:
-                new = _embedded(layer, m.start(), m.group())
-                if new is None:  # a path or a name may precede the encoded part
-                    for p in _PART.finditer(m.group()):
-                        if p.span() != (0, len(m.group())):
-                            push(_embedded(layer, m.start() + p.start(), p.group()))
-                push(new)
-            except OverflowError:
-                oversize += 1
+            if not base64_run(layer, m.start(), m.group()):  # a path or a name may precede the encoded part
+                for p in _PART.finditer(m.group()):
+                    if p.span() != (0, len(m.group())):
+                        base64_run(layer, m.start() + p.start(), p.group())
     return base, ordered(found), layers, oversize
 
 

@@ -1,9 +1,13 @@
 import base64
+import bz2
 import gzip
+import lzma
 import re
 import urllib.parse
 import zlib
 
+import zstandard
+
 from kestrane.llm.secret_scan import all_spans, base_spans, secret_scan
 
 KEY = "AKIA" + "ABCDEFGH01234567"
@@ -67,3 +71,23 @@ def test_rows(edge_docs, no_docs):
     assert len(got) == edge_docs.count()
     assert all(r.spans == "" and r.n_assign == 0 for r in got if r.doc_id in (4, 5, 6))
     assert secret_scan(no_docs).count() == 0
+
+
+def test_bytes_of_any_kind():
+    inner = 'password = "hunter2hunter2"'
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    for raw in (f"prix : 5 € {inner}".encode(), ("﻿" + inner).encode(), f"a​b\f\0 {inner}".encode(), f"déjà {inner}".encode("latin-1"), b"\x89\xff\0\1 " + inner.encode(),
+                inner.encode("utf-16"), inner.encode("utf-16-be"), b"\xff" + inner.encode("utf-16-le"), inner.encode("utf-32"), b"\x01\xff head " + gzip.compress(inner.encode("utf-16"))):
+        code = b64(raw)
+        got = found(f"see {code} end")
+        assert "assign" in {k for k, _, _ in got}, raw
+        assert all(4 <= a < b <= 4 + len(code) for _, a, b in got)
+    zs = zstandard.ZstdCompressor().compress
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zs):
+        raw = pack(b"nothing here ") + pack(b"pass") + pack(inner[4:].encode() + b" e" * 9)
+        for encode in (b64, urllib.parse.quote, lambda r: "".join(f"%{b:02x}" for b in r), lambda r: "".join(f"\\x{b:02x}" for b in r), lambda r: repr(r)[2:-1], lambda r: "".join(f"&#{b};" for b in r)):
+            text = f"é…see {encode(raw)} end"
+            got = found(text)
+            assert "assign" in {k for k, _, _ in got}, (pack, text)
+            assert all(6 <= a < b <= len(text) - 4 for _, a, b in got)
+    assert found("see " + "".join(f"%{b:02x}" for b in inner.encode("utf-16-le")) + " end")
