@@ -1,11 +1,13 @@
 """Main text of web pages by two passes of block rules.
 
-The markup is cut into blocks (paragraphs, headings, list items, cells). Parts that the
-markup itself names as something else than the article (menus, footers, side bars,
-notices, adverts, forms, scripts, styles, reader comments, hidden parts) give no blocks.
+The markup is cut into blocks (paragraphs, headings, list items, cells). Scripts, styles,
+controls and hidden parts give no blocks. Parts that the markup names as something else than
+the article (menus, footers, side bars, notices, adverts, forms, reader comments) are left
+out, unless they hold most of the page's long text dense in stop words, or its articles.
 The first pass looks at each block alone: much of it in links is bad, long text or text
 dense in stop words is good, the rest is undecided. In the second pass undecided short
-blocks take the label of the nearest decided block of the same container.
+blocks take the label of the nearest decided block of the same container. Blocks outside the
+articles of a page that marks some need good blocks of their own.
 """
 
 from __future__ import annotations
@@ -39,9 +41,11 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements whose content is never article text.
 DROP_TAGS = frozenset(
-    """aside button canvas datalist dialog embed footer form frameset head iframe input label menu nav noframes noscript object option
+    """button canvas datalist embed frameset head iframe input label menu noframes noscript object option
     script select style svg template textarea title""".split()
 )
+# Elements whose content is article text only where most of the page's text is in them.
+DOUBTED_TAGS = frozenset("aside dialog footer form nav".split())
 ARTICLE_TAGS = frozenset("article main".split())
 # Words of class and id that name parts outside the article.
 DROP_WORDS = frozenset(
@@ -50,6 +54,12 @@ DROP_WORDS = frozenset(
     pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup
     skip social sponsor sponsored subscribe subscription toolbar widget widgets""".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
+# Words that say nothing beside one of those: comments-area, related-posts; but not no-sidebar, comments-open.
+LAYOUT_WORDS = frozenset(
+    """area article articles bar block bottom box column container entry form global inline inner item items left link links list
+    main outer page panel post posts primary right secondary section site slot top unit wrap wrapper zone""".split()
+)
 DROP_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 ARTICLE_WORDS = frozenset("articlebody content entry post story".split())
 _WORD = re.compile(r"[^\W\d_]+")
@@ -57,16 +67,28 @@ _NAME = re.compile(r"[a-z]+")
 
 #: Characters from which a block is long; share of stop words; share of characters in links, outside and inside an article.
 LONG, DENSE, LINKED, LINKED_INSIDE = 70, 0.2, 0.33, 0.8
+#: Good blocks from which a part is more than a notice.
+BODY = 3
+
+
+#: Not dropped, container 0, not in a link, in no doubted part.
+START = (False, 0, False, -1)
 
 
 class _Blocks(HTMLParser):
-    """Blocks of a page: [text, characters in links, container]; container 0 is outside any article."""
+    """Blocks of a page: [text, characters in links, container]; container 0 is outside any article.
+
+    doubted: the parts that the markup names as something else, [part around it, or -1; articles in it;
+    whether it is named as comments]; inside: the innermost such part of each block, or -1.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[list] = []
-        self.stack: list[tuple[str, bool, int, bool]] = []  # tag, dropped, container, in a link
-        self.state = (False, 0, False)
+        self.inside: list[int] = []
+        self.stack: list[tuple[str, bool, int, bool, int]] = []  # tag, dropped, container, in a link, part
+        self.state = START
+        self.doubted: list[list] = []
         self.parts: list[str] = []
         self.linked = 0
         self.containers = 0
@@ -75,6 +97,7 @@ class _Blocks(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             self.blocks.append([text, self.linked, self.state[1]])
+            self.inside.append(self.state[3])
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -85,13 +108,20 @@ class _Blocks(HTMLParser):
             self.parts.append(" ")
         if tag in VOID_TAGS:
             return
-        dropped, container, link = self.state
+        dropped, container, link, part = self.state
+        if not dropped:
+            dropped = self._dropped(tag, dict(attrs))
         if not dropped:
-            dropped = self._dropped(tag, dict(attrs), container)
+            doubt = self._doubted(tag, dict(attrs), container)
+            if doubt:
+                self.doubted.append([part, 0, doubt == "comments"])
+                part = len(self.doubted) - 1
         if tag in ARTICLE_TAGS and not dropped and not container:
             self.containers += 1
             container = self.containers
-        self.stack.append((tag, dropped, container, link or tag == "a"))
+            if part >= 0:
+                self.doubted[part][1] += 1
+        self.stack.append((tag, dropped, container, link or tag == "a", part))
         self.state = self.stack[-1][1:]
 
     handle_startendtag = handle_starttag
@@ -111,7 +141,7 @@ class _Blocks(HTMLParser):
     def _close(self, i: int) -> None:
         del self.stack[i:]
         self.flush()
-        self.state = self.stack[-1][1:] if self.stack else (False, 0, False)
+        self.state = self.stack[-1][1:] if self.stack else START
 
     def handle_endtag(self, tag):
         for i in range(len(self.stack) - 1, -1, -1):
@@ -120,34 +150,70 @@ class _Blocks(HTMLParser):
                     self._close(i)
                 else:
                     del self.stack[i:]
-                    self.state = self.stack[-1][1:] if self.stack else (False, 0, False)
+                    self.state = self.stack[-1][1:] if self.stack else START
                 return
         if tag in BLOCK_TAGS:
             self.flush()
 
     def handle_data(self, data):
-        dropped, _, link = self.state
+        dropped, _, link, _ = self.state
         if not dropped:
             self.parts.append(data)
             if link:
                 self.linked += len("".join(data.split()))
 
     @staticmethod
-    def _dropped(tag: str, attrs: dict, container: int) -> bool:
-        if tag in DROP_TAGS or (tag == "header" and not container):
+    def _dropped(tag: str, attrs: dict) -> bool:
+        if tag in DROP_TAGS:
             return True
         if tag in ("html", "body") or tag in ARTICLE_TAGS:
             return False
         style = (attrs.get("style") or "").replace(" ", "").lower()
-        if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
-            return True
-        if (attrs.get("role") or "").lower() in DROP_ROLES:
-            return True
-        named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
-        words = set(_NAME.findall(named))
-        if words & DROP_WORDS or ("header" in words and not container and not words & ARTICLE_WORDS):
-            return True
-        return False
+        return "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+
+    @staticmethod
+    def _doubted(tag: str, attrs: dict, container: int) -> str:
+        """Whether the markup names the part as something else than the article: "comments", "other" or ""."""
+        if tag in ("html", "body") or tag in ARTICLE_TAGS:
+            return ""
+        words = set()
+        for token in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split():
+            of = set(_NAME.findall(token))
+            if of <= DROP_WORDS | LAYOUT_WORDS | {"header"}:  # the whole token speaks of such a part
+                words |= of
+        named = set(_NAME.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
+        if words & COMMENT_WORDS:
+            return "comments"
+        if tag in DOUBTED_TAGS or (tag == "header" and not container) or (attrs.get("role") or "").lower() in DROP_ROLES:
+            return "other"
+        return "other" if words & DROP_WORDS or ("header" in words and not container and not named & ARTICLE_WORDS) else ""
+
+    def kept(self) -> list[list]:
+        """The blocks outside doubted parts, and inside those that hold most of the good text, or all articles and half of it.
+
+        Beside an article, a doubted part also needs BODY good blocks: one is a notice or an imprint.
+        """
+        n, sizes, articles = len(self.doubted), [], [d[1] for d in self.doubted]
+        for text, linked, container in self.blocks:
+            sizes.append(len(text) if _label(text, linked, container) else 0)
+        total, held, blocks = sum(sizes), [0] * n, [0] * n
+        for size, part in zip(sizes, self.inside):
+            if part >= 0 and size:
+                held[part] += size
+                blocks[part] += 1
+        good = [True] * n
+        for i in range(n - 1, -1, -1):  # a part comes after the one around it
+            around = self.doubted[i][0]
+            if around >= 0:
+                held[around] += held[i]
+                blocks[around] += blocks[i]
+                articles[around] += articles[i]
+        for i, (around, _, comments) in enumerate(self.doubted):
+            most = held[i] == total > 0 if comments else 2 * held[i] > total
+            most = most and (articles[i] == self.containers or blocks[i] >= BODY)
+            alone = self.containers and articles[i] == self.containers and 2 * held[i] >= total
+            good[i] = bool(most or alone) and (around < 0 or good[around])
+        return [b for b, part in zip(self.blocks, self.inside) if part < 0 or good[part]]
 
 
 def _label(text: str, linked: int, container: int) -> bool | None:
@@ -170,9 +236,8 @@ def main_text(markup: str) -> str:
     page.feed(markup)
     page.close()
     page.flush()
-    blocks = page.blocks
-    if any(c for *_, c in blocks):  # the page marks its article
-        blocks = [b for b in blocks if b[2]]
+    blocks = page.kept()
+    marked = any(c for *_, c in blocks)  # the page marks its article
     labels = [_label(*b) for b in blocks]
     decided = [i for i, x in enumerate(labels) if x is not None]
     final, k = [], 0
@@ -182,7 +247,7 @@ def main_text(markup: str) -> str:
                 k += 1
             near = [j for j in (*decided[max(0, k - 1) : k], *decided[k : k + 1]) if blocks[j][2] == blocks[i][2]]
             best = min((abs(j - i) for j in near), default=0)
-            x = any(labels[j] for j in near if abs(j - i) == best) if near else bool(blocks[i][2]) or not decided
+            x = any(labels[j] for j in near if abs(j - i) == best) if near else bool(blocks[i][2]) or not (decided or marked)
         final.append(x)
     return "\n\n".join(b[0] for b, x in zip(blocks, final) if x)
 

@@ -49,3 +49,26 @@ def test_edges(spark):
     rows = spark.createDataFrame([(None, None, None, "x"), (1, "u", "", "y"), (1, "u", "<p>a", "y")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html_text(rows).collect()) == [("", 0), ("", 0), ("a", 1)]
     assert html_text(rows.limit(0)).count() == 0
+
+
+def test_names_and_forms_round_the_text_are_no_verdict():
+    rest = f'<div class="sidebar"><p>{LONG}</p></div><div class="comments-area"><p>{LONG}</p></div>'
+    body = f"<h1>Head</h1><p>{LONG}</p><p>Yes.</p><p>{LONG}</p><p>{LONG}</p>"
+    want = ["Head", LONG, "Yes.", LONG, LONG]
+    for name in ("content no-sidebar", "has-sidebar", "layout-with-ads", "post-comments-open", "widget"):
+        for inner in (f"<article>{body}</article>", body, f"<article>{body}</article>{rest}"):
+            assert main_text(f'<body><div class="{name}">{inner}</div></body>').split("\n\n") == want, (name, inner)
+    for inner in (f"<article>{body}</article>", body):
+        assert main_text(f'<body><form id="aspnetForm"><input name=x>{inner}{rest}</form></body>').split("\n\n") == want
+    assert main_text('<div class="social"><article><p>tiny</p></article></div>') == "tiny"
+
+
+def test_text_outside_the_articles():
+    page = f"<body><article><p>A teaser.</p></article><div><h2>Title</h2><p>{LONG}</p><p>{LONG}</p><p><a href=x>More</a></p></div><footer>{LONG}</footer></body>"
+    assert main_text(page).split("\n\n") == ["A teaser.", "Title", LONG, LONG]
+    assert main_text(f"<p>Menu</p><article><p>{LONG}</p></article><p>Imprint</p>") == LONG
+    assert main_text("<p>Menu</p><article><p>tiny</p></article><p>Imprint</p>") == "tiny"
+
+
+def test_comments_longer_than_the_article_stay_out():
+    assert main_text(f'<div><p>{LONG}</p></div><div id="comments"><p>{LONG}</p><p>{LONG}</p></div>') == LONG
