@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Terms are words and the beginnings of words that go with the label in a bounded sample of
-labelled rows; their document frequencies are counted over the whole corpus. The examples'
-vectors lie in an inverted index of blocks, each with the greatest weight that any term has
+Terms are all words and the beginnings of words in a bounded sample of labelled rows; those
+that go with the label weigh more. Their document frequencies are counted over the whole
+corpus. The examples' vectors lie in an inverted index of blocks, each with the greatest weight that any term has
 in it. A search visits blocks by falling upper bound and stops when none can reach the k-th
 best, so its neighbours are exact; all that tie with the k-th count. Their votes, weighted
 by cosine and by the share of the labelled rows that their class's sample is, give a raw
@@ -12,6 +12,7 @@ neighbours.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from ._common import SLICE, map_rows, text_of
 
-#: Labelled rows in the sample, of each label; terms; neighbours; examples in a block.
+#: Labelled rows in the sample, of each label; terms that weigh more; neighbours; examples in a block.
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 2500, 2048, 15, 64
+#: How many times the weight a term has that goes with the label.
+BOOST = 16.0
 THRESHOLD = 0.7
 HEADS = (4, 5, 6)
 #: Words whose terms one worker keeps, and vectors whose scores it keeps.
@@ -42,14 +45,15 @@ def terms_of_word(word: str) -> list[str]:
 
 
 class Vectors:
-    """Term numbers and counts of texts, over a fixed table of terms."""
+    """Term numbers and counts of texts, over a fixed table of terms, of which the first `marked` go with the label."""
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], marked: int):
+        self.marked = marked
         self.terms = {t: i for i, t in enumerate(terms)}
         self.known: dict[str, tuple[int, ...]] = {}
 
     def counts(self, text: str) -> dict[int, int]:
-        """Counts by term number; the number len(terms) + b marks a density of about 2^b hits in 1024 words."""
+        """Counts by term number; the number len(terms) + b marks a density of about 2^b marked words in 1024."""
         out: dict[int, int] = {}
         known, terms = self.known, self.terms
         if len(known) > CACHE:
@@ -61,7 +65,8 @@ class Vectors:
             if got is None:
                 got = known[w] = tuple(terms[t] for t in terms_of_word(w) if t in terms)
             if got:
-                hits += n
+                if min(got) < self.marked:
+                    hits += n
                 for i in got:
                     out[i] = out.get(i, 0) + n
         if hits:
@@ -72,56 +77,86 @@ class Vectors:
 class Index:
     """Exact top-k cosine over the examples, by blocks with the greatest weight of each term."""
 
-    def __init__(self, vectors: list[dict[int, int]], idf: np.ndarray, labels: np.ndarray, ids: list[int]):
-        unit = [self.weigh(v, idf) for v in vectors]
+    def __init__(self, vectors: list, idf: np.ndarray, labels: np.ndarray, ids: list[int]):
+        """vectors: counts by term, or pairs of arrays of terms and counts."""
+        unit = [self._weighed(*(v if isinstance(v, tuple) else _arrays(v)), idf) for v in vectors]
         # alike examples side by side: by their heaviest terms
-        order = sorted(range(len(unit)), key=lambda i: (sorted(unit[i], key=lambda t: (-unit[i][t], t))[:3], i))
+        order = sorted(range(len(unit)), key=lambda i: (unit[i][0][np.lexsort((unit[i][0], -unit[i][1]))[:3]].tolist(), i))
+        unit = [unit[i] for i in order]
         self.idf, self.labels, self.ids = idf, labels[order], [ids[i] for i in order]
-        n_blocks = -(-len(order) // BLOCK)
-        self.most = np.zeros((len(idf), n_blocks))
-        self.lists: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        self.unit = [unit[i] for i in order]
-        for b in range(n_blocks):
-            lists: dict[int, tuple[list, list]] = {}
-            for i, v in enumerate(self.unit[b * BLOCK : (b + 1) * BLOCK]):
-                for t, x in v.items():
-                    at, w = lists.setdefault(t, ([], []))
-                    at.append(i)
-                    w.append(x)
-                    self.most[t, b] = max(self.most[t, b], x)
-            self.lists.append({t: (np.array(a), np.array(w)) for t, (a, w) in lists.items()})
+        sizes = np.array([len(t) for t, _ in unit], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.row_terms = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in unit)]).astype(np.int32)
+        self.row_weights = np.concatenate([np.zeros(0), *(w for _, w in unit)])
+        # postings by term and example, and the runs of a term in a block, each with its greatest weight
+        by = np.argsort(self.row_terms, kind="stable")
+        self.at, self.weight = np.repeat(np.arange(len(unit)), sizes)[by], self.row_weights[by]
+        terms, block = self.row_terms[by], self.at // BLOCK
+        new = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])])) if len(by) else np.zeros(0, np.int64)
+        self.run = np.append(new, len(by))
+        self.block = block[new]
+        self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
+        self.runs = np.searchsorted(terms[new], np.arange(len(idf) + 1))
+
+    @property
+    def unit(self) -> list[dict[int, float]]:
+        return [self.row(i) for i in range(len(self.labels))]
+
+    def row(self, i: int) -> dict[int, float]:
+        a, b = self.starts[i], self.starts[i + 1]
+        return dict(zip(self.row_terms[a:b].tolist(), self.row_weights[a:b].tolist()))
 
     @staticmethod
-    def weigh(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-        v = {t: (1 + np.log(n)) * idf[t] for t, n in counts.items()}
-        norm = np.sqrt(sum(x * x for x in v.values()))
-        return {t: float(x / norm) for t, x in v.items()} if norm else {}
+    def _weighed(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = (1 + np.log(counts)) * idf[terms]
+        norm = np.sqrt((x * x).sum())
+        return (terms, x / norm) if norm else (terms[:0], x[:0])
+
+    @classmethod
+    def weigh(cls, counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
+        terms, x = cls._weighed(*_arrays(counts), idf)
+        return dict(zip(terms.tolist(), x.tolist()))
 
     def nearest(self, v: dict[int, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[int, float]]:
         """(example, cosine) of the k nearest and of all that tie with the last, by falling cosine; only cosines above 0."""
-        if not v or not self.lists:
+        if not v or not len(self.block):
             return []
-        terms, weights = list(v), np.array(list(v.values()))
-        bound = weights @ self.most[terms]
-        found: list[tuple[float, int]] = []
-        kth = 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < kth - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            lists = self.lists[b]
-            for t, x in v.items():
-                if t in lists:
-                    at, w = lists[t]
-                    scores[at] += x * w
-            found += [(float(scores[i]), int(b) * BLOCK + int(i)) for i in np.flatnonzero(scores >= max(kth - 1e-9, 1e-12)) if b * BLOCK + i != without]
-            if len(found) >= k:
-                found.sort(key=lambda s: (-s[0], s[1]))
-                kth = found[k - 1][0]
-                while len(found) > k and found[-1][0] < kth - 1e-9:
-                    found.pop()
-        found.sort(key=lambda s: (-s[0], s[1]))
-        return [(i, s) for s, i in found]
+        terms = np.fromiter(v.keys(), np.int64, len(v))
+        weights = np.fromiter(v.values(), float, len(v))
+        runs, sizes = _expanded(self.runs[terms], self.runs[terms + 1])
+        weights, blocks = np.repeat(weights, sizes), self.block[runs]
+        n = -(-len(self.labels) // BLOCK)
+        bound = np.bincount(blocks, weights * self.most[runs], n)
+        order = np.argsort(-bound, kind="stable")
+        scores, kth, lo, step = np.zeros(len(self.labels)), 0.0, 0, 4
+        while lo < n and bound[order[lo]] > 0 and bound[order[lo]] >= kth - 1e-9:
+            visit = np.zeros(n, bool)
+            visit[order[lo : lo + step]] = True
+            visit &= bound >= kth - 1e-9
+            at = visit[blocks]
+            some = runs[at]
+            postings, sizes = _expanded(self.run[some], self.run[some + 1])
+            scores += np.bincount(self.at[postings], self.weight[postings] * np.repeat(weights[at], sizes), len(scores))
+            if without >= 0:
+                scores[without] = 0.0
+            if len(scores) >= k:
+                kth = np.partition(scores, -k)[-k]
+            lo, step = lo + step, 4 * step
+        near = np.flatnonzero(scores >= max(kth - 1e-9, 1e-12))
+        near = near[np.lexsort((near, -scores[near]))]
+        return list(zip(near.tolist(), scores[near].tolist()))
+
+
+def _arrays(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+
+
+def _expanded(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges in a row, and the sizes of the ranges."""
+    sizes = ends - starts
+    out = np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    out += np.arange(len(out))
+    return out, sizes
 
 
 class Scorer:
@@ -129,8 +164,8 @@ class Scorer:
 
     def __init__(self, vectors: Vectors, index: Index, class_weight: tuple[float, float]):
         self.vectors, self.index, self.class_weight = vectors, index, class_weight
-        empty = [i for i, v in enumerate(index.unit) if not v]
-        self.base = self._share(empty or range(len(index.unit)))
+        empty = np.flatnonzero(np.diff(index.starts) == 0).tolist()
+        self.base = self._share(empty or range(len(index.labels)))
         self.cuts, self.values = self._calibrate()
         self.known: dict[bytes, tuple[float, str]] = {}
 
@@ -147,8 +182,8 @@ class Scorer:
     def _calibrate(self) -> tuple[np.ndarray, np.ndarray]:
         """Pools of adjacent raw scores, so that the share of label 1 never falls as the score rises."""
         pools = []
-        unit, labels = self.index.unit, self.index.labels
-        raw = sorted((self._raw(self.index.nearest(v, without=i)), self.class_weight[int(labels[i])], int(labels[i])) for i, v in enumerate(unit) if v)
+        labels, row = self.index.labels, self.index.row
+        raw = sorted((self._raw(self.index.nearest(row(i), without=i)), self.class_weight[int(y)], int(y)) for i, y in enumerate(labels) if self.index.starts[i] < self.index.starts[i + 1])
         for r, w, y in raw:
             pools.append([r, r, w, w * y])
             while len(pools) > 1 and (pools[-2][1] == pools[-1][0] or pools[-2][3] * pools[-1][2] >= pools[-1][3] * pools[-2][2]):
@@ -164,7 +199,7 @@ class Scorer:
         counts = self.vectors.counts(text)
         if not counts:
             return float(min(1.0, max(0.0, self.base))), ""
-        key = np.array(sorted(counts.items()), np.int32).tobytes()
+        key = hashlib.blake2b(np.array(sorted(counts.items()), np.int32).tobytes(), digest_size=16).digest()
         if key not in self.known:
             if len(self.known) > KNOWN:
                 self.known.clear()
@@ -198,8 +233,8 @@ def _examples(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
     return rows, weight
 
 
-def _chosen_terms(sample: DataFrame) -> list[str]:
-    """Terms that go with label 1, by the log-likelihood ratio of their document counts."""
+def _terms(sample: DataFrame) -> tuple[list[str], int]:
+    """All terms of the sample, first those that go with label 1, by the log-likelihood ratio of their document counts, and how many these are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: tuple[Counter, Counter] = (Counter(), Counter())
@@ -210,24 +245,25 @@ def _chosen_terms(sample: DataFrame) -> list[str]:
         yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "n0": pa.array([n[0][t] for t in terms], pa.int64()), "n1": pa.array([n[1][t] for t in terms], pa.int64())})
 
     counts = sample.select("text", "label").mapInArrow(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
-    counts = counts.filter("b > 0 or term = ''")
     total = counts.filter("term = ''").head()
-    if total is None or not total.b:
-        return []
-    a, b, na, nb = F.col("a"), F.col("b"), F.lit(float(total.a)), F.lit(float(total.b))
+    if total is None:
+        return [], 0
+    a, b, na, nb = F.col("a"), F.col("b"), F.lit(float(max(total.a, 1))), F.lit(float(max(total.b, 1)))
     share = (a + b) / (na + nb)
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     ratio = 2 * (part(a, na * share) + part(b, nb * share) + part(na - a, na * (1 - share)) + part(nb - b, nb * (1 - share)))
     best = counts.filter("term <> ''").withColumn("g", F.round(ratio, 9)).filter((F.col("g") > 15.0) & (b / nb > 4 * a / na) & (b >= 3))
-    return [r.term for r in best.orderBy(F.desc("g"), "term").limit(TERMS).collect()]
+    marked = [r.term for r in best.orderBy(F.desc("g"), "term").limit(TERMS).collect()]
+    every = counts.filter("term <> ''").select("term").toArrow().column(0).to_pylist()  # as many as two samples of a fixed size hold
+    return marked + sorted(set(every) - set(marked)), len(marked)
 
 
-def _document_counts(docs: DataFrame, terms: list[str], text: str) -> tuple[np.ndarray, int]:
+def _document_counts(docs: DataFrame, terms: list[str], marked: int, text: str) -> tuple[np.ndarray, int]:
     """How many documents of the corpus hold each term, and how many there are."""
     size = len(terms) + 11
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, n = Vectors(terms), np.zeros(size + 1, np.int64)
+        vectors, n = Vectors(terms, marked), np.zeros(size + 1, np.int64)
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 n[list(vectors.counts(t))] += 1
@@ -236,25 +272,28 @@ def _document_counts(docs: DataFrame, terms: list[str], text: str) -> tuple[np.n
 
     got = docs.select(text_of(text).alias("text")).mapInArrow(count, "term long, n long").filter("n > 0").groupBy("term").agg(F.sum("n").alias("n"))
     n = np.zeros(size + 1, np.int64)
-    for r in got.collect():  # one row a term
-        n[r.term] = r.n
+    got = got.toArrow()  # one row a term
+    n[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return n[:size], int(n[size])
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Scorer:
     """The scorer, from the labelled rows outside the held-out third and the whole corpus's counts."""
     sample, weight = _examples(docs, labels, doc_id, text, label)
-    terms = _chosen_terms(sample)
-    df, n = _document_counts(docs, terms, text)
+    terms, marked = _terms(sample)
+    df, n = _document_counts(docs, terms, marked, text)
     idf = np.log((1 + n) / (1 + df)) + 1
-    vectors = map_rows(sample, lambda: _vector_rows(terms), "id long, label int, terms array<int>, counts array<int>")
-    rows = sorted(vectors.dropDuplicates(["id"]).collect(), key=lambda r: r.id)  # at most two samples of a fixed size
-    index = Index([dict(zip(r.terms, r.counts)) for r in rows], idf, np.array([r.label for r in rows], int), [r.id for r in rows])
-    return Scorer(Vectors(terms), index, weight)
+    idf[:marked] *= BOOST
+    idf[len(terms) :] *= BOOST
+    vectors = map_rows(sample, lambda: _vector_rows(terms, marked), "id long, label int, terms array<int>, counts array<int>")
+    rows = vectors.dropDuplicates(["id"]).orderBy("id").toArrow()  # at most two samples of a fixed size
+    ids, labels = rows.column("id").to_pylist(), rows.column("label").to_numpy()
+    pairs = [(t.values.to_numpy(), c.values.to_numpy()) for t, c in zip(rows.column("terms"), rows.column("counts"))]
+    return Scorer(Vectors(terms, marked), Index(pairs, idf, labels.astype(int), ids), weight)
 
 
-def _vector_rows(terms: list[str]):
-    vectors = Vectors(terms)
+def _vector_rows(terms: list[str], marked: int):
+    vectors = Vectors(terms, marked)
 
     def work(id, text, label):
         got = [sorted(vectors.counts(t).items()) for t in text]
@@ -267,10 +306,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     """doc_id, held_out, score, predicted, evidence: one row per row of docs.
 
     evidence: up to three nearest examples as doc_id:label:cosine. Only the text is scored.
-    Null text counts as empty; a text without any term has the share of label 1 among the
-    examples without terms. Without labels every score is 0. Null and repeated ids pass through.
+    Null text counts as empty; a text without any term of the examples has
+    the share of label 1 among the examples without terms. Without labels every score is 0. Null and repeated ids pass through.
     """
-    handed = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, doc_id, text, label))  # bounded: two samples, TERMS terms
+    handed = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, doc_id, text, label))  # bounded: the words of two samples
 
     def make():
         scorer = handed.value

@@ -56,3 +56,14 @@ def test_edges(spark, edge_docs, no_docs):
     docs = spark.createDataFrame(words, edge_docs.schema)
     scorer = fit(docs, spark.createDataFrame([(i, int(i % 4 == 0), "") for i in range(400)], labels.schema))
     assert scorer.score("such awfulness here")[0] > 0.9 and scorer.score("such words here")[0] < 0.1
+
+
+def test_a_copy_of_an_example_in_plain_words_is_found(spark, edge_docs):
+    name = ["".join("abcdefghij"[int(c)] for c in f"{i:03d}") for i in range(120)]
+    texts = [(i, f"{n}alpha {n}beta {n}gamma {n}delta shared plain words", None, None) for i, n in enumerate(name)]
+    scorer = fit(spark.createDataFrame(texts, edge_docs.schema), spark.createDataFrame([(i, int(i % 8 == 0), "") for i in range(120)], "doc_id long, toxic int, text string"))
+    ids = [i for i in scorer.index.ids if i % 8 == 0]
+    assert ids
+    for i in ids:
+        score, evidence = scorer.score(texts[i][1] + " more")
+        assert evidence.startswith(f"{i}:1:") and score > scorer.score("shared plain words")[0]
