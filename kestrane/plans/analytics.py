@@ -30,18 +30,26 @@ def score_series_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("rbd", "agno", "grado", "asignatura", *_r4("puntaje"), "n_evaluados", in_range(F.col("agno"), CONFIG.hiatus_start, CONFIG.hiatus_end).alias("en_hiatus"))
 
 
-@query(f"""WITH {CTE_SERIES}, bench AS (SELECT agno, cod_grado, asignatura, avg(puntaje) AS prom_nacional FROM series GROUP BY ALL)
+_MELT_SQL = f"""WITH {CTE_SERIES}, bench AS (SELECT agno, cod_grado, asignatura, avg(puntaje) AS prom_nacional FROM series GROUP BY ALL)
 SELECT rbd, agno, grado, asignatura, (round(puntaje + 1e-7, 3) + 0e0) AS puntaje, n_evaluados, (round(prom_nacional + 1e-7, 3) + 0e0) AS prom_nacional,
        (round(puntaje - prom_nacional + 1e-7, 3) + 0e0) AS dif_nacional
-FROM series JOIN bench USING (agno, cod_grado, asignatura) WHERE rbd = '00000001'""")
-def score_series_melt(spark: SparkSession, sf_dir: str, rbd: str = "00000001") -> DataFrame:
-    """One school's series against the mean of all schools in the same year, grade and subject."""
+FROM series JOIN bench USING (agno, cod_grado, asignatura)"""
+
+
+@query(f"{_MELT_SQL} WHERE rbd = '00000001'")
+def score_series_melt(spark: SparkSession, sf_dir: str, rbd: str | None = "00000001") -> DataFrame:
+    """One school's series, or with None every school's, against the mean of all schools in the same year, grade and subject."""
     s = score_series(spark, sf_dir)
-    mine = s.filter(F.col("rbd") == rbd)
+    mine = s if rbd is None else s.filter(F.col("rbd") == rbd)
     return _with_benchmark(mine, s).select("rbd", "agno", "grado", "asignatura", rnd("puntaje", 3).alias("puntaje"), "n_evaluados",
                                            rnd("prom_nacional", 3).alias("prom_nacional"), rnd(F.col("puntaje") - F.col("prom_nacional"), 3).alias("dif_nacional"))
 
 
+@query(_MELT_SQL)
+def score_series_melt_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_series_melt(spark, sf_dir, None)
+
+
 def _with_benchmark(rows: DataFrame, series: DataFrame) -> DataFrame:
     bench = series.groupBy("agno", "cod_grado", "asignatura").agg(F.avg("puntaje").alias("prom_nacional"))
     return rows.join(bench, ["agno", "cod_grado", "asignatura"])

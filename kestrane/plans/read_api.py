@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import norm_rbd
 from ..functions.labels import GRADES, SUBJECTS, fixed, lookup
-from .analytics import CTE_METRICS, METRIC_COLUMNS, grade_series, metrics, score_series_melt
+from .analytics import _MELT_SQL, CTE_METRICS, METRIC_COLUMNS, grade_series, metrics, score_series_melt
 from .model import rnd
 from .registry import query
 
@@ -31,10 +31,10 @@ _SQL_ROUNDED = ", ".join(f"(round({c} + 1e-7, 2) + 0e0) AS {c}" if t == "double"
 
 
 @query(f"WITH {CTE_METRICS} SELECT {_SQL_ROUNDED}, count(*) FILTER (WHERE alerta) OVER () AS n_alertas FROM metrics WHERE rbd = '{SCHOOL}'")
-def metrics_by_school(spark: SparkSession, sf_dir: str, rbd: str = SCHOOL, segment: str | None = None, source: str | None = None) -> DataFrame:
-    """All metrics of a school, with optional segment and source, and how many are alerts."""
-    m = metrics(spark, sf_dir).filter(F.col("rbd") == rbd)
-    for column, value in (("segmento", segment), ("fuente", source)):
+def metrics_by_school(spark: SparkSession, sf_dir: str, rbd: str | None = SCHOOL, segment: str | None = None, source: str | None = None) -> DataFrame:
+    """All metrics of a school, or with None of every school, with optional segment and source, and how many of the school's are alerts."""
+    m = metrics(spark, sf_dir)
+    for column, value in (("rbd", rbd), ("segmento", segment), ("fuente", source)):
         if value is not None:
             m = m.filter(F.col(column) == value)
     from pyspark.sql import Window
@@ -44,17 +44,38 @@ def metrics_by_school(spark: SparkSession, sf_dir: str, rbd: str = SCHOOL, segme
 
 
 @query(f"WITH {CTE_METRICS} SELECT {_SQL_ROUNDED} FROM metrics WHERE rbd = '{SCHOOL}' AND alerta")
-def active_alerts(spark: SparkSession, sf_dir: str, rbd: str = SCHOOL) -> DataFrame:
-    return _rounded(metrics(spark, sf_dir).filter((F.col("rbd") == rbd) & F.col("alerta"))).orderBy("fuente", "metrica", F.asc_nulls_last("grado"), F.asc_nulls_last("asignatura"))
+def active_alerts(spark: SparkSession, sf_dir: str, rbd: str | None = SCHOOL) -> DataFrame:
+    m = metrics(spark, sf_dir).filter("alerta")
+    return _rounded(m if rbd is None else m.filter(F.col("rbd") == rbd)).orderBy("fuente", "metrica", F.asc_nulls_last("grado"), F.asc_nulls_last("asignatura"))
 
 
-def scores_by_grade(spark: SparkSession, sf_dir: str, rbd: str = SCHOOL, grade: str = "4B") -> DataFrame:
-    """A school's score series of one grade; grades in any case."""
-    return score_series_melt(spark, sf_dir, rbd).filter(F.col("grado") == grade.lower()).orderBy("agno", "asignatura")
+@query(f"WITH {CTE_METRICS} SELECT {_SQL_ROUNDED}, count(*) FILTER (WHERE alerta) OVER (PARTITION BY rbd) AS n_alertas FROM metrics")
+def metrics_by_school_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics_by_school(spark, sf_dir, None)
 
 
-def grades_by_grade(spark: SparkSession, sf_dir: str, rbd: str = SCHOOL, grade: str = "4B") -> DataFrame:
-    return grade_series(spark, sf_dir).filter((F.col("rbd") == rbd) & (F.col("grado") == grade.lower())).orderBy("agno", "asignatura")
+@query(f"WITH {CTE_METRICS} SELECT {_SQL_ROUNDED} FROM metrics WHERE alerta")
+def active_alerts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return active_alerts(spark, sf_dir, None)
+
+
+def scores_by_grade(spark: SparkSession, sf_dir: str, rbd: str | None = SCHOOL, grade: str | None = "4B") -> DataFrame:
+    """A school's score series of one grade, grades in any case; None stands for all schools or all grades."""
+    return _of_grade(score_series_melt(spark, sf_dir, rbd), grade)
+
+
+def grades_by_grade(spark: SparkSession, sf_dir: str, rbd: str | None = SCHOOL, grade: str | None = "4B") -> DataFrame:
+    g = grade_series(spark, sf_dir)
+    return _of_grade(g if rbd is None else g.filter(F.col("rbd") == rbd), grade)
+
+
+def _of_grade(rows: DataFrame, grade: str | None) -> DataFrame:
+    return (rows if grade is None else rows.filter(F.col("grado") == grade.lower())).orderBy("agno", "asignatura")
+
+
+@query(_MELT_SQL)
+def scores_by_grade_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores_by_grade(spark, sf_dir, None, None)
 
 
 def _from(name: str, where: str) -> str:
@@ -67,6 +88,11 @@ query(_from("score_series_melt", "grado = '4b'"))(scores_by_grade)
 query(_from("grade_series", f"rbd = '{SCHOOL}' AND grado = '4b'"))(grades_by_grade)
 
 
+@query(_from("grade_series", "true"))
+def grades_by_grade_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grades_by_grade(spark, sf_dir, None, None)
+
+
 # Texts --------------------------------------------------------------------------------------
 
 # The texts of the insights. {c}: grade and subject; {s}: slope; {g}: segment;

@@ -27,3 +27,9 @@ def test_every_query_is_registered():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_all_schools_are_registered(spark, sf_dir):
+    q = entry.queries()
+    for name in ("score_series_melt", "metrics_by_school", "active_alerts", "scores_by_grade", "grades_by_grade"):
+        assert q[f"{name}_all"](spark, sf_dir).select("rbd").distinct().count() > 1
