@@ -279,15 +279,15 @@ def _matrix(sets: list[np.ndarray], terms: np.ndarray) -> np.ndarray:
     return m
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, class_id, n_links, class_size: one row per row of docs.
 
-    n_links: other rows whose shingles have a Jaccard similarity of at least the threshold,
+    n_links: other rows whose shingles have a Jaccard similarity of at least THRESHOLD,
     copies included; class_id: the least doc_id among the rows that links connect, directly
     or through others. A text without words, null counted as empty, has no links and is a
     class of its own. Null ids are rows; repeated rows are copies. Empty tables give no rows.
     """
-    least = least_matches(threshold)
+    least = least_matches()
     rows = materialise(nodes_of(docs, text, doc_id), "nodes")
     solid = rows.filter("n_shingles > 0")
     nodes = materialise(solid.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("values").alias("values")), "distinct")
@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         both = pdf if same else pd.concat([x, y])
         links, up = np.zeros(len(both), np.int64), _Forest(len(both))
         if len(x) and len(y):
-            i, j = exact_links(x, y, same, least, threshold)
+            i, j = exact_links(x, y, same, least, THRESHOLD)
             j = j if same else j + len(x)
             copies = both["copies"].to_numpy()
             np.add.at(links, i, copies[j])

@@ -90,3 +90,9 @@ def test_edges(edge_docs, no_docs):
     docs = [(r.doc_id, r.text) for r in edge_docs.collect()]
     assert sorted(map(tuple, sj.near_duplicates(edge_docs).collect()), key=repr) == brute(docs)
     assert sj.near_duplicates(no_docs).count() == 0
+
+
+def test_there_is_one_threshold():
+    import inspect
+
+    assert "threshold" not in inspect.signature(sj.near_duplicates).parameters  # bands and pruning are for THRESHOLD
