@@ -1,12 +1,16 @@
 """BPE encoding and decoding with forced-boundary splitting.
 
-Two bytes that are adjacent inside no vocabulary token can never be merged: between
-them lies a certain cut. `ForcedCuts` reads the adjacent byte pairs off the vocabulary
-and keeps the cuts that the tokenizer's own word splitting makes as well (a cut inside
-one of its words would add an end-of-word mark). The fragments between cuts are encoded
-independently by the tokenizers library, each distinct one once for a batch, and their
-ids and decoded pieces are concatenated. A fragment is never cut at a guess: what the
-rules do not prove stays whole.
+Two bytes that are adjacent inside no vocabulary token can never be merged, so between them
+lies a certain cut. `ForcedCuts` reads the adjacent byte pairs off the vocabulary and cuts
+every text wherever a pair of it is absent from that table. A cut at a border of the
+tokenizer's words ends a word there; at a cut inside a word the left fragment is encoded
+without the end-of-word mark. Fragments are encoded independently by the tokenizers library,
+each distinct one once while it is remembered, and their ids are concatenated.
+
+The table of pairs covers code points below LIMIT, whose lower case and class are single and
+settled. A stretch between white space that holds another code point or may hold a special
+token stays whole; one that holds an apostrophe, which may begin a contraction, is cut at
+borders of words only.
 """
 
 from __future__ import annotations
@@ -14,19 +18,19 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ._common import map_rows, text_of
+from .pieces import DIGIT, FAR, LIMIT, SPACE, Remembered, char_classes, code_points, grouped, single_word
 
-#: Distinct fragments that one worker keeps; the cache starts anew beyond it.
-CACHE = 100_000
-#: Code points of the texts that are split at a time.
-GROUP = 1 << 20
+#: Code points of the texts that are split at a time; bytes of ids that are decoded at a time.
+GROUP, PART = 1 << 18, 1 << 22
 
-_loaded: dict[str, object] = {}
+_loaded: dict[str, "ForcedCuts"] = {}
 
 
 def byte_of_char() -> dict[str, int]:
@@ -54,76 +58,131 @@ class ForcedCuts:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix") or ""
         special = [x["content"] for x in spec["added_tokens"]]
-        vocab = [t for t in spec["model"]["vocab"] if t not in special]
-        pairs = token_pairs(vocab, spec["model"].get("end_of_word_suffix") or "")
-        #: White-space bytes that neither follow nor precede a byte inside a token.
-        spaces = [b for b in b" \n\r\t" if not any(b in p for p in pairs)]
-        if 32 not in spaces or spec["decoder"] is not None:
-            raise ValueError("this vocabulary joins tokens across spaces, or decodes across tokens")
-        letters, digits = set(range(97, 123)), set(range(48, 58))
-        marks = set(range(33, 127)) - letters - digits - set(range(65, 91)) - {39}
-        crossing = any((a in letters) != (b in letters) or (a in digits) or (b in digits) for a, b in pairs if {a, b} <= letters | digits | marks)
-        #: ASCII fragments without an apostrophe fall apart here too, if the vocabulary proves it.
-        self.inner = None if crossing else re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
-        self.special = special
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.pieces: dict[str, tuple[bytes, str]] = {}
-
-    def _library(self, fragments: list[str], into: dict) -> None:
-        for frag, got in zip(fragments, self.tokenizer.encode_batch_fast(fragments, add_special_tokens=False)):
-            ids = got.ids
-            into[frag] = (np.array(ids, "<u4").tobytes(), self.tokenizer.decode(ids, skip_special_tokens=False))
-
-    def _splits(self, frag: str) -> bool:
-        return self.inner is not None and frag.isascii() and "'" not in frag and "<|" not in frag
-
-    def learn(self, fragments: set[str]) -> None:
-        """Encode the fragments that are not known yet."""
-        if len(self.known) + len(self.pieces) > CACHE:
-            self.known.clear()
-            self.pieces.clear()
-        fragments = sorted(fragments - self.known.keys())
-        if not fragments:
-            return
-        cut = {f: self.inner.findall(f.lower()) for f in fragments if self._splits(f)}
-        self._library([f for f in fragments if f not in cut], self.known)
-        self._library(sorted({p for ps in cut.values() for p in ps} - self.pieces.keys()), self.pieces)
-        for f, ps in cut.items():
-            got = [self.pieces[p] for p in ps]
-            self.known[f] = (b"".join(i for i, _ in got), " ".join(d for i, d in got if i))
-
-    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Ids as little-endian unsigned 32-bit integers and the decoded text, for each text.
-
-        A text that repeats the one before it, as the copies of a mix do, is encoded once.
-        """
-        out, at, last = [], 0, None
-        while at < len(texts):
-            end, size = at + 1, len(texts[at])
-            while end < len(texts) and size < GROUP:
-                size += len(texts[end])
+        pairs = token_pairs([t for t in spec["model"]["vocab"] if t not in special], suffix)
+        spaced = any(b in p for p in pairs for b in b" \t\n\v\f\r")
+        if not suffix or spaced or spec["decoder"] is not None or any(not s.startswith("<|") or " " in s for s in special):
+            raise ValueError("this vocabulary has no ends of words, joins tokens across spaces, or decodes across tokens")
+        self.tokenizer = Tokenizer.from_file(path)
+        spec["model"]["end_of_word_suffix"] = None
+        self.unended = Tokenizer.from_str(json.dumps(spec))
+        for t in (self.tokenizer, self.unended):
+            t.no_truncation()
+            t.no_padding()
+        tokens = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        self.tokens = pa.array(tokens, pa.string()).cast(pa.binary())
+        self.ends = np.array([t.endswith(suffix) for t in tokens])
+        self._table(pairs)
+        self.known = Remembered(self._encode)
+
+    def _table(self, pairs: set[tuple[int, int]]) -> None:
+        """cut[c, d]: 1 for a cut between c and d at a border of words, 2 inside a word, 3 for a border without a cut."""
+        self.kind = char_classes()
+        kind = np.append(self.kind[:LIMIT], FAR)
+        lower = [ord(chr(c).lower()) if kind[c] <= DIGIT + 1 else c for c in range(LIMIT)]
+        self.lower = np.array([*lower, 0], np.uint32)
+        first, last = (np.array([chr(c).encode()[i] for c in lower] + [0]) for i in (0, -1))
+        joined = np.zeros((256, 256), bool)
+        for a, b in pairs:
+            joined[a, b] = True
+        k, m = kind[:, None], kind[None, :]
+        known = (k <= DIGIT + 1) & (m <= DIGIT + 1)
+        border, absent = (k != m) | (k == DIGIT), ~joined[last[:, None], first[None, :]]
+        cut = np.where(known & absent, np.where(border, 1, 2), np.where(border, 3, 0)).astype(np.uint8)
+        cut[(k == SPACE) | (m == SPACE)] = 1
+        self.cut = cut.ravel()
+
+    def fragments(self, text: str) -> tuple[list[str], np.ndarray]:
+        """The fragments of a text and the places where they start; a space at the end of one says that its word goes on."""
+        raw = code_points(text)
+        if not len(raw):
+            return [], np.zeros(0, np.int64)
+        code = np.minimum(raw, LIMIT).astype(np.int32)
+        kind = self.kind[np.minimum(raw, 0x10000)]
+        cut = self.cut[code[:-1] * (LIMIT + 1) + code[1:]]
+        low = self.lower[code]
+        foreign = kind > DIGIT + 1
+        foreign[:-1] |= (raw[:-1] == 60) & (raw[1:] == 124)  # "<|" may begin a special token
+        mixed = raw == 39
+        mixed[1:] |= cut == 3
+        cut[cut == 3] = 0
+        if foreign.any() or mixed.any():
+            space = kind == SPACE
+            stretch = np.cumsum(space, dtype=np.int32)
+            mark = np.zeros(stretch[-1] + 1, bool)
+            mark[stretch[mixed]] = True
+            cut[mark[stretch[1:]] & (cut == 2)] = 0
+            mark[:] = False
+            mark[stretch[foreign]] = True
+            kept = mark[stretch] & ~space
+            cut[kept[1:] & kept[:-1]] = 0
+            low[kept] = raw[kept]
+        ends = np.append(np.flatnonzero(cut), len(raw) - 1) + 1
+        starts = np.concatenate([[0], ends[:-1]])
+        solid = kind[starts] != SPACE
+        starts, ends = starts[solid], ends[solid]
+        lowered = low.tobytes().decode("utf-32-le")
+        out = [lowered[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        inside = np.append(cut == 2, False)
+        for i in np.flatnonzero(inside[ends - 1]).tolist():
+            out[i] += " "
+        return out, starts
+
+    def _encode(self, fragments: list[str]) -> dict[str, bytes]:
+        """Ids of fragments, as little-endian unsigned 32-bit integers."""
+        out = {}
+        words = [f for f in fragments if single_word(f)]
+        if words:  # one word each: told apart by the ends of words
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            after = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            flat = ids.tobytes()
+            out = {w: flat[a:b] for w, a, b in zip(words, [0, *after[:-1].tolist()], after.tolist(), strict=True)}
+        rest = [f for f in fragments if f not in out]
+        for tokenizer, some in ((self.tokenizer, [f for f in rest if f[-1] != " "]), (self.unended, [f for f in rest if f[-1] == " "])):
+            for f, got in zip(some, tokenizer.encode_batch_fast([f.rstrip(" ") for f in some], add_special_tokens=False)):
+                out[f] = np.array(got.ids, "<u4").tobytes()
+        return out
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, as little-endian unsigned 32-bit integers."""
+        out = []
+        for group, places in grouped(texts, GROUP):
+            fragments, starts = self.fragments("\n".join(group))
+            ids = self.known.of(fragments)
+            bounds = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in group])).tolist()
+            got = [b"".join(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
+            out += [got[i] for i in places]
+        return out
+
+    def decode(self, ids: bytes) -> bytes:
+        """The decoded text in UTF-8: tokens with their marks, joined by spaces."""
+        return b" ".join(self._decoded([ids[i : i + PART] for i in range(0, len(ids), PART)]))
+
+    def decode_batch(self, ids: list[bytes]) -> list[bytes]:
+        """The decoded texts, in groups whose tokens fit in an Arrow array."""
+        out, at = [], 0
+        while at < len(ids):
+            end, size = at, 0
+            while end < len(ids) and size + len(ids[end]) <= PART:
+                size += len(ids[end])
                 end += 1
-            split = [None if i and texts[i] == texts[i - 1] else texts[i].split(" ") for i in range(at, end)]
-            self.learn(set().union(*[parts for parts in split if parts is not None]))
-            known = self.known
-            for parts in split:
-                if parts is not None:
-                    got = [known[p] for p in parts]
-                    last = b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])
-                out.append(last)
-            at = end
+            out += self._decoded(ids[at:end]) if end > at else [self.decode(ids[at])]
+            at = max(end, at + 1)
         return out
 
+    def _decoded(self, ids: list[bytes]) -> list[bytes]:
+        flat = pa.array(np.frombuffer(b"".join(ids), "<u4"))
+        offsets = np.cumsum([0] + [len(i) // 4 for i in ids]).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, self.tokens.take(flat)), b" ").to_pylist()
+
 
 def forget() -> None:
-    """Let go of the tokenizer and its caches."""
+    """Let go of the tokenizer and of the pieces it remembers."""
     _loaded.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def cuts_for(path: str) -> ForcedCuts:
@@ -132,39 +191,40 @@ def cuts_for(path: str) -> ForcedCuts:
     return _loaded[path]
 
 
-def encode_and_decode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit), decoded (string): one row per row.
-
-    Null text counts as empty: no ids and an empty decoded text. Ids may repeat or be null.
-    """
-
+def _coded(docs: DataFrame, path: str, text: str, doc_id: str, results, schema: str) -> DataFrame:
     def make():
         enc = cuts_for(path)
 
         def work(doc_id, text):
-            got = enc.encode_batch(text)
-            return {"doc_id": doc_id, "ids": [g[0] for g in got], "decoded": [g[1] for g in got]}
+            ids = enc.encode_batch(text)
+            return {"doc_id": doc_id, **results(ids, enc.decode_batch(ids))}
 
         return work
 
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return map_rows(rows, make, "doc_id long, ids binary, decoded string", forget)
+    return map_rows(rows, make, schema, forget)
 
 
-def bpe_digest(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of `encode_and_decode`, hashed where it is made."""
+def encode_and_decode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, ids (binary: little-endian unsigned 32-bit), decoded (string): one row per row.
 
-    def make():
-        enc = cuts_for(path)
+    Null text counts as empty: no ids and an empty decoded text. Repeated rows are rows, ids
+    may repeat or be null, an empty table gives no rows, and other columns of docs, whatever
+    their names, play no part. Texts of any length are encoded whole.
+    """
+    return _coded(docs, path, text, doc_id, lambda ids, decoded: {"ids": ids, "decoded": decoded}, "doc_id long, ids binary, decoded string")
 
-        def work(doc_id, text):
-            got = enc.encode_batch(text)
-            return {
-                "doc_id": doc_id, "n_tokens": [len(i) // 4 for i, _ in got],
-                "ids_sha256": [hashlib.sha256(i).hexdigest() for i, _ in got],
-                "decoded_sha256": [hashlib.sha256(d.encode()).hexdigest() for _, d in got]}
 
-        return work
+def _digests(ids: list[bytes], decoded: list[bytes]) -> dict[str, list]:
+    return {"n_tokens": [len(i) // 4 for i in ids],
+            "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
+            "decoded_sha256": [hashlib.sha256(d).hexdigest() for d in decoded]}
 
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return map_rows(rows, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", forget)
+
+def bpe_digest(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of `encode_and_decode`, hashed where it is made.
+
+    With `ids`, also the ids as they are. Rows as there.
+    """
+    results = lambda i, d: _digests(i, d) | ({"ids": i} if ids else {})
+    return _coded(docs, path, text, doc_id, results, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if ids else ""))

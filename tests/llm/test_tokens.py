@@ -5,15 +5,14 @@ import zlib
 import numpy as np
 import pytest
 
-from kestrane.llm import arrow_output, bpe, token_counts
+from kestrane.llm import arrow_output, bpe, pieces, token_counts
 from kestrane.llm.queries import op2_token_counts, op5_token_id_output, op10_bpe, tokenizer
 
 TRICKY = ["", " ", "  a  b ", "a\n b", "a \n b\t c  ", "don't we'll I'M 'S x'", "été Ünï ÇA İstanbul ΣΑΣ ς", "a<|endoftext|>b <|endoftext|> c", "<|startoftext|>x y<|endoftext|>", "123 4,5.6 a1b2 #$%&*** foo###", "é ́x", "日本語 テキスト 🙂🙃", "x y  z \x1c q", "▁ literal ▁▁", "token=abc,def;(ghi)", "\x85 a 　 b"]
 
 
-def random_texts(n, seed=5):
+def random_texts(n, seed=5, chars="abcdeABC  \n\t'0123.,#é<|>ß🙂 ▁"):
     r = random.Random(seed)
-    chars = "abcdeABC  \n\t'0123.,#é<|>ß🙂 ▁"
     return ["".join(r.choice(chars) for _ in range(r.randrange(0, 90))) for _ in range(n)]
 
 
@@ -22,12 +21,32 @@ def test_forced_cuts_equal_the_library():
 
     path = tokenizer("word_bpe_49k.json")
     enc, lib = bpe.ForcedCuts(path), Tokenizer.from_file(path)
-    assert enc.inner is not None
-    texts = TRICKY + random_texts(3000)
-    for t, (ids, text) in zip(texts, enc.encode_batch(texts)):
+    texts = TRICKY + random_texts(3000) + random_texts(3000, 8, "aélz'ÉñT!,.%*é-5½ª ") + ["!'s ''ll a'llb é,*** xé,é'S," * 9]
+    got = enc.encode_batch(texts)
+    for t, ids, text in zip(texts, got, enc.decode_batch(got), strict=True):
         want = lib.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want, t
-        assert text == lib.decode(want, skip_special_tokens=False), t
+        assert text.decode() == lib.decode(want, skip_special_tokens=False), t
+
+
+def test_cuts_are_the_absent_pairs():
+    enc = bpe.ForcedCuts(tokenizer("word_bpe_49k.json"))
+    pairs = bpe.token_pairs(enc.tokenizer.get_vocab(), "</w>")
+    text = "".join(chr(c) for c in range(97, 123)) * 40 + "zqxjkvbqzxwq" * 20
+    fragments, starts = enc.fragments(text)
+    cut = {i for i, (a, b) in enumerate(zip(text.encode(), text.encode()[1:]), 1) if (a, b) not in pairs}
+    assert set(starts[1:].tolist()) == cut and cut
+    assert "".join(f.rstrip(" ") for f in fragments) == text and all(f[-1] == " " for f in fragments[:-1])
+
+
+def test_remembered_pieces_stay_bounded():
+    seen = []
+    known = pieces.Remembered(lambda new: seen.append(new) or {p: p.encode() for p in new}, 10)
+    for lo in range(0, 200, 3):
+        some = [f"w{i}" for i in range(lo, lo + 7)] + ["often", "often"]
+        assert known.of(some) == [p.encode() for p in some]
+        assert len(known.young) <= 17 and len(known.old) <= 17
+    assert sum("often" in s for s in seen) == 1
 
 
 def test_byte_fragments_equal_the_library():
@@ -35,7 +54,7 @@ def test_byte_fragments_equal_the_library():
 
     path = tokenizer("byte_bpe_50k.json")
     enc, lib = arrow_output.ByteEncoder(path), Tokenizer.from_file(path)
-    texts = TRICKY + random_texts(3000, 6)
+    texts = TRICKY + random_texts(3000, 6) + random_texts(3000, 9, "ab 0\n\t é!'s\u0085\u2003") + ["", "", "x", "x"] + random_texts(2000, 10, "a <|endoftext|>\n")
     for t, ids in zip(texts, enc.encode_batch(texts)):
         assert np.frombuffer(ids, enc.dtype).tolist() == lib.encode(t, add_special_tokens=False).ids, t
 
@@ -105,9 +124,11 @@ def test_repeated_texts_encode_as_the_library_does(monkeypatch):
     monkeypatch.setattr(bpe, "GROUP", 8)  # groups end between copies
     enc = bpe.ForcedCuts(tokenizer("word_bpe_49k.json"))
     texts = ["", "", "one two", "one two", "one two", "Three's", "", "one two", "", ""]
-    for t, (ids, decoded) in zip(texts, enc.encode_batch(texts), strict=True):
+    monkeypatch.setattr(bpe, "PART", 8)  # two ids at a time
+    got = enc.encode_batch(texts)
+    for t, ids, decoded in zip(texts, got, enc.decode_batch(got), strict=True):
         want = enc.tokenizer.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(ids, "<u4").tolist() == want and decoded == enc.tokenizer.decode(want, skip_special_tokens=False)
+        assert np.frombuffer(ids, "<u4").tolist() == want and decoded.decode() == enc.tokenizer.decode(want, skip_special_tokens=False)
     assert enc.encode_batch([]) == []
 
 
