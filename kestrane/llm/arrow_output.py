@@ -22,21 +22,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import shared_path, text_of
+from .pieces import BLANK, MARK, SPACE, Remembered, char_classes, code_points, grouped, single_word
 
 #: Ids of a row, rows of a batch.
 LENGTH, ROWS = 2048, 64
-#: Distinct fragments that one worker keeps.
-CACHE = 400_000
+#: Code points of the texts that are split at a time.
+GROUP = 1 << 18
 END_ID = 2
 
 _loaded: dict[str, "ByteEncoder"] = {}
 
 
 class ByteEncoder:
-    """Ids of a byte-level vocabulary whose words take at most one space at their head.
+    """Ids of a byte-level vocabulary, by the pieces between borders of its words.
 
-    A space right before a character that is not white space always begins a word, so a
-    text falls into fragments there; each distinct fragment of a batch is encoded once.
+    Words are runs of letters, of digits or of other signs, with at most one space at their
+    head; white space before a word is a piece of its own, but for that space. A stretch
+    between white space is cut inside only if all its code points have settled classes and
+    none is an apostrophe, which may begin a contraction. Next to other kinds of white space
+    and to what may be a special token there is no cut.
     """
 
     def __init__(self, path: str):
@@ -47,28 +51,61 @@ class ByteEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def fragments(text: str) -> list[str]:
-        head, *rest = text.split(" ")
-        out = [head]
-        for p in rest:
-            if p and not p[0].isspace():
-                out.append(" " + p)
-            else:  # the space belongs to a run of white space
-                out[-1] += " " + p
+        space = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
+        self.spaced = np.array([self.tokenizer.id_to_token(i).startswith(space) for i in range(self.tokenizer.get_vocab_size())])
+        self.kind = char_classes()
+        self.known = Remembered(self._encode)
+
+    def pieces(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The pieces of texts, and how many there are before each text and in all."""
+        bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+        text = "\0".join([*texts, ""])
+        raw, between = code_points(text), bounds[1:] - 1
+        kind = self.kind[np.minimum(raw, 0x10000)]
+        special = np.append((raw[:-1] == 60) & (raw[1:] == 124), False)  # "<|"
+        space, solid = kind == SPACE, (kind != SPACE) & (kind != BLANK) & ~special
+        parted = solid[:-1] & solid[1:] & (kind[:-1] != kind[1:])
+        if parted.any():
+            whole = (kind > MARK) | special | (raw == 39)
+            whole[between] = False
+            space[between] = True
+            stretch = np.cumsum(space, dtype=np.int32)
+            space[between] = False
+            mark = np.zeros(stretch[-1] + 1, bool)
+            mark[stretch[whole]] = True
+            parted &= ~mark[stretch[1:]]
+        cut = parted | (solid[:-1] & space[1:]) | (space[:-1] & (raw[:-1] != 32) & solid[1:])
+        cut[:-1] |= space[:-2] & space[1:-1] & solid[2:]
+        cut[between[:-1]] = True
+        cut[between[between > 0] - 1] = True
+        starts = np.append(0, np.flatnonzero(cut) + 1)
+        ends = np.append(starts[1:], len(raw))
+        real = np.ones(len(starts), bool)
+        real[np.searchsorted(starts, between)] = False
+        starts, ends = starts[real], ends[real]
+        return [text[a:b] for a, b in zip(starts.tolist(), ends.tolist())], np.searchsorted(starts, bounds)
+
+    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
+        out = {}
+        words = [p for p in pieces if p[0] == " " and single_word(p[1:])]
+        if words:  # one word each: told apart by the tokens that begin with a space
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+            at = (np.flatnonzero(self.spaced[ids]) * self.dtype.itemsize).tolist()
+            flat = ids.tobytes()
+            out = {w: flat[a:b] for w, a, b in zip(words, at, [*at[1:], len(flat)], strict=True)}
+        rest = [p for p in pieces if p not in out]
+        for p, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            out[p] = np.array(got.ids, self.dtype).tobytes()
         return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        cut = [self.fragments(t) for t in texts]
-        new = set().union(*cut)
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-        new = sorted(new - self.known.keys())
-        for f, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[f] = np.array(got.ids, self.dtype).tobytes()
-        return [b"".join([self.known[f] for f in fs]) for fs in cut]
+        out = []
+        for group, places in grouped(texts, GROUP):
+            pieces, bounds = self.pieces(group)
+            ids = self.known.of(pieces)
+            got = [b"".join(ids[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+            out += [got[i] for i in places]
+        return out
 
 
 def encoder_for(path: str) -> ByteEncoder:
