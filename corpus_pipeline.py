@@ -38,8 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), ids_sha256, decoded_sha256 of each document."""
-    got = bpe.encode_and_decode(docs, tokenizer("word_bpe_49k.json"))
-    return got.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.bpe_digest(docs, tokenizer("word_bpe_49k.json"), ids=True)
 
 
 STAGES = [
