@@ -95,3 +95,8 @@ def _arrow_schema(schema: str, spark: SparkSession) -> pa.Schema:
 
 def text_of(col: str = "text") -> "F.Column":
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def text_keys(col: str = "text") -> list["F.Column"]:
+    """t1, t2: a 128-bit key of a text; null and the empty text have the same."""
+    return [F.xxhash64(F.lit(k), text_of(col)).alias(f"t{k}") for k in (1, 2)]

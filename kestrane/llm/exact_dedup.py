@@ -14,9 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WHITE, materialise, text_of
+from ._common import WHITE, materialise, text_keys, text_of
 
 BLOCK = 4096
+#: What the first block of a text carries.
+ABOUT = ("doc_id", "n_chars", "text_sha256", "t1", "t2")
 
 
 def _name(distinct: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,14 +42,15 @@ def block_keys(seed: int):
 
 
 def text_identity(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """One row per input row: rid, doc_id, n_chars, text_sha256, n_blocks, name.
+    """One row per input row: rid, doc_id, n_chars, text_sha256, t1, t2, n_blocks, name.
 
+    t1, t2: a 128-bit key of the original text.
     Equal texts (after white space is deleted) share (n_blocks, name), others do not.
     Null text counts as empty; repeated rows and null ids are rows of their own.
     """
     norm = F.regexp_replace(text_of(text), WHITE, "")
     cut = F.regexp_extract_all("norm", F.lit("(?s).{1,%d}" % block), F.lit(0))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), norm.alias("norm"))
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), norm.alias("norm"))
     parts = base.withColumn("blocks", F.when(F.col("norm") == "", F.array(F.lit(""))).otherwise(cut))
     names, seed = _block_names(parts.select(F.explode("blocks").alias("block")))
     first = F.col("pos") == 0
@@ -55,13 +58,13 @@ def text_identity(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", b
         parts.withColumn("rid", F.monotonically_increasing_id())
         .withColumn("text_sha256", F.sha2("norm", 256)).withColumn("n_chars", F.char_length(text_of("text")).cast("long"))
         .withColumn("n_blocks", F.size("blocks"))
-        .select("rid", "doc_id", "n_chars", "text_sha256", "n_blocks", F.posexplode("blocks").alias("pos", "block"))
+        .select("rid", "doc_id", "n_chars", "text_sha256", *text_keys(), "n_blocks", F.posexplode("blocks").alias("pos", "block"))
         .select("rid", "n_blocks", "pos", *block_keys(seed),
-                *[F.when(first, F.col(c)).alias(c) for c in ("doc_id", "n_chars", "text_sha256")])
+                *[F.when(first, F.col(c)).alias(c) for c in ABOUT])
     )
     occurrences = materialise(rows, "blocks")
     level = materialise(occurrences.join(names, ["k1", "k2"]).drop("k1", "k2"), "level0")
-    about = level.filter(first).select("rid", "doc_id", "n_chars", "text_sha256", "n_blocks", F.when(F.col("n_blocks") == 1, F.col("name")).alias("name"))
+    about = level.filter(first).select("rid", *ABOUT, "n_blocks", F.when(F.col("n_blocks") == 1, F.col("name")).alias("name"))
     done = []
     level = level.filter("n_blocks > 1").select("rid", "pos", "name", F.col("n_blocks").alias("left"))
     while level.head(1):
@@ -82,15 +85,15 @@ def text_identity(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", b
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, rid: one row per input row.
+    """doc_id, keep_id, group_size, kept, text_sha256, t1, t2: one row per input row.
 
     Of equal texts the row with the most code points in its original text stays, then
     the smallest doc_id, then the first of repeated rows; a null doc_id comes last. An
     empty table gives no rows. Other columns of docs, whatever their names, play no part.
     """
     ident = materialise(text_identity(docs, text, doc_id, block), "identity")
-    best = F.max(F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("d"), (-F.col("rid")).alias("r")))
+    best = F.max(F.struct(F.col("n_chars"), F.bitwise_not("doc_id").alias("d"), F.bitwise_not("rid").alias("r")))
     groups = materialise(ident.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), best.alias("best")), "groups")
     return ident.join(groups, ["n_blocks", "name"]).select(
-        "doc_id", (-F.col("best.d")).alias("keep_id"), "group_size",
-        (F.col("rid") == -F.col("best.r")).alias("kept"), "text_sha256", "rid")
+        "doc_id", F.bitwise_not("best.d").alias("keep_id"), "group_size",
+        (F.col("rid") == F.bitwise_not("best.r")).alias("kept"), "text_sha256", "t1", "t2")

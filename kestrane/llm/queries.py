@@ -29,7 +29,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
-    return exact_dedup(docs_of(spark, sf_dir)).drop("rid")
+    return exact_dedup(docs_of(spark, sf_dir)).drop("t1", "t2")
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,40 +2,44 @@
 
 1. Every text becomes its set of five-word shingles and that set's MinHash values. Texts
    with the same set are one node with a number of copies.
-2. Nodes whose values agree on a whole band meet in a bucket. Small buckets give pairs;
-   large ones are split into blocks of nodes, and pairs of blocks are compared without
-   giving out pairs.
+2. Nodes whose values agree on a whole band meet in a bucket. Buckets that hold the same
+   nodes are one. A large bucket is split into blocks of nodes, and its nodes go to pairs of
+   blocks; pairs of nodes are looked at inside a task and never given out as rows.
 3. Pairs are compared a few values at a time. With m of n values equal, a pair is dropped as
    soon as the posterior probability that its similarity reaches the threshold, under a
-   uniform prior, is below the tolerance.
+   uniform prior, is below the tolerance; only pairs that are left look at the next values.
 4. What survives links nodes into components; inside a component, again by pairs of blocks,
    all pairs go through the pruning and the survivors are verified exactly on their shingles.
 
-A task sees two blocks at most, whatever the size of a bucket or of a group of near copies,
-and gives out as many rows as it has nodes: their links and a spanning forest of them.
+A task sees two blocks at a time, whatever the size of a bucket or of a group of near copies,
+and gives out as many rows as it has nodes: their links and a spanning forest of them. A block
+is bounded in nodes and, where it holds shingles, in their number. Shingles stand for their
+64-bit hashes and nodes for the 128-bit hash of their set: two sets are taken for one with a
+chance of about n^2 / 2^129 over n texts, which is not checked further.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, text_of
+from ._common import materialise, text_keys, text_of
 
 WORDS, THRESHOLD = 5, 0.8
 #: MinHash values in all and in a band: a pair at 0.8 misses all 32 bands with a chance of 3e-6.
 VALUES, BAND = 160, 5
 #: Posterior probability below which a pair is dropped; values compared at a time.
 TOLERANCE, STEP = 1e-6, 16
-#: Nodes up to which a bucket gives its pairs; nodes of a block.
-SMALL, BLOCK = 24, 512
+#: Nodes and shingles of a block.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 22
+#: Nodes up to which groups are compared side by side; pairs that are compared at a time.
+SMALL, PAIRS = 64, 1 << 17
 #: Documents up to which the table of those to verify is broadcast (16 MB); it is shuffled beyond.
 BROADCAST_NODES = 500_000
 CACHE = 100_000
@@ -120,90 +124,146 @@ def surviving(x: np.ndarray, y: np.ndarray, same: bool, least: dict[int, int]) -
     return i, j
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def still_alike(values: np.ndarray, i: np.ndarray, j: np.ndarray, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows (i, j) that survive the pruning."""
+    n, matches = 0, np.zeros(len(i), np.int64)
+    while n < VALUES and len(i):
+        matches += (values[i, n : n + STEP] == values[j, n : n + STEP]).sum(axis=1)
+        n += STEP
+        kept = matches >= least[n]
+        i, j, matches = i[kept], j[kept], matches[kept]
+    return i, j
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
 
-    def link(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
+def roots_of(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least row that each of n rows is connected to by the pairs (i, j)."""
+    up = np.arange(n)
+    while True:
+        low, new = np.minimum(up[i], up[j]), up.copy()
+        for at in (i, j, up[i], up[j]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == up).all():
+            return up
+        up = new
 
 
 def nodes_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, node (128-bit hash of the shingle set), n_shingles, values: one row per row with words."""
+    """doc_id, t1, t2, node (128-bit hash of the shingle set), n_shingles, values: one row per row.
+
+    t1, t2: a 128-bit key of the text, as `text_keys` gives it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, n, values = [], [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(3).to_pylist():
                 sh = shingles(t)
                 node.append(xxhash.xxh3_128_digest(sh.tobytes()))
                 n.append(len(sh))
                 values.append(minhash(sh).tobytes())
             _words.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(n, pa.int32()), pa.array(values, pa.binary())], names=["doc_id", "node", "n_shingles", "values"])
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node binary, n_shingles int, values binary")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node, pa.binary()), pa.array(n, pa.int32()), pa.array(values, pa.binary())], names=["doc_id", "t1", "t2", "node", "n_shingles", "values"])
 
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *text_keys(text), text_of(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, t1 long, t2 long, node binary, n_shingles int, values binary")
 
-def _values(series: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(series), np.uint32).reshape(-1, VALUES)
 
-
-def _by_blocks(rows: DataFrame, group: str) -> DataFrame:
-    """rows (node, <group>, n_group, ...) dealt to pairs of blocks: with lo, hi and side.
+def _dealt(rows: DataFrame, blocks: Column) -> DataFrame:
+    """rows (g, node, ...) dealt to pairs of blocks of their group g: with lo, hi and block.
 
     A node goes to every pair that its block is in: (block, other) for all blocks of its
     group. The block is drawn from the node, and there are as many as the group needs.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n_group") / BLOCK)).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("blocks", F.greatest(F.lit(1), blocks).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks")
+    rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks")
+    return rows.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
 
 
-def _bucket_edges(buckets: DataFrame) -> DataFrame:
-    """(a, b): spanning edges of the pairs that survive the pruning inside large buckets."""
-    least = least_matches()
+def _over_groups(rows: DataFrame, work: Callable[[pa.Table, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """`work` over rows that are dealt and sorted by (g, lo, hi): it gets whole groups, as many as a batch holds, and where they start."""
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = bool(pdf["lo"].iloc[0] == pdf["hi"].iloc[0])
-        x = pdf if same else pdf[pdf["block"] == pdf["lo"]]
-        y = pdf if same else pdf[pdf["block"] == pdf["hi"]]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": []})
-        i, j = surviving(_values(x["values"]), _values(y["values"]), same, least)
-        nodes, forest = [*x["node"], *(() if same else y["node"])], _Forest(len(x) + (0 if same else len(y)))
-        edges = [(nodes[p], nodes[q]) for p, q in zip(i.tolist(), (j if same else j + len(x)).tolist()) if forest.link(p, q)]
-        return pd.DataFrame(edges, columns=["a", "b"])
+    def starts(batch) -> np.ndarray:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("g", "lo", "hi")])
+        return np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
 
-    return _by_blocks(buckets.withColumnRenamed("n_bucket", "n_group"), "bucket").groupBy("bucket", "lo", "hi").applyInPandas(work, "a binary, b binary")
+    def key(batch, at: int) -> tuple:
+        return tuple(batch.column(c)[at].as_py() for c in ("g", "lo", "hi"))
 
+    def told(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        return work(table, np.concatenate([[0], starts(table), [len(table)]]))
 
-def _pruned_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that survive the pruning, from single pairs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = starts(batch).tolist()
+            if held and key(batch, 0) != key(held[-1], held[-1].num_rows - 1):
+                new = [0, *new]
+            if new:
+                ready = [*held, *([batch.slice(0, new[-1])] if new[-1] else [])]
+                if ready:
+                    yield told(ready)
+                held = []
+            held.append(batch.slice(new[-1]) if new else batch)
+        if held:
+            yield told(held)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _matrix_of(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, VALUES)
+
+
+def alike_rows(table: pa.Table, starts: np.ndarray, least: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (i, j) that survive the pruning inside the groups of a table, by stretches: small groups side by side, then each large one."""
+    values, (lo, hi, block) = _matrix_of(table["values"]), (table[c].to_numpy() for c in ("lo", "hi", "block"))
+    ends, sizes = starts[1:], np.diff(starts)
+    small = (sizes <= SMALL) & (lo[starts[:-1]] == hi[starts[:-1]])
+    rows = np.flatnonzero(np.repeat(small, sizes))
+    after = np.repeat(ends, sizes)[rows] - rows - 1  # rows of the group that come after
+    total = np.cumsum(after)
+    at = 0
+    while at < len(rows):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+        n = after[at:end]
+        i = np.repeat(rows[at:end], n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        yield still_alike(values, i, j, least)
+        at = end
+    for k in np.flatnonzero(~small).tolist():
+        group = np.arange(starts[k], ends[k])
+        low, high = group[block[group] == lo[starts[k]]], group[block[group] == hi[starts[k]]]
+        if len(low) and len(high):
+            i, j = surviving(values[low], values[high], bool(lo[starts[k]] == hi[starts[k]]), least)
+            yield low[i], high[j]
+
+
+def _bucket_edges(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): spanning edges of the pairs that survive the pruning inside buckets (g, node, n_bucket)."""
     least = least_matches()
-    v = nodes.select("node", "values")
-    both = pairs.join(v.toDF("a", "va"), "a").join(v.toDF("b", "vb"), "b")
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                equal = _values(f["va"]) == _values(f["vb"])
-                keep = np.ones(len(f), bool)
-                for n, m in least.items():
-                    keep[keep] = equal[keep, :n].sum(axis=1) >= m
-                yield f.loc[keep, ["a", "b"]]
+    def work(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        found = [*alike_rows(table, starts, least)]
+        root = roots_of(len(table), np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found]))
+        lower = np.flatnonzero(root != np.arange(len(root)))
+        node = table["node"].combine_chunks()
+        return pa.RecordBatch.from_arrays([node.take(pa.array(lower)), node.take(pa.array(root[lower]))], names=["a", "b"])
 
-    return both.mapInPandas(work, "a binary, b binary")
+    rows = met.join(nodes.select("node", "values"), "node")
+    return _over_groups(_dealt(rows, F.ceil(F.col("n_bucket") / BLOCK)), work, "a binary, b binary")
+
+
+def _once(met: DataFrame) -> DataFrame:
+    """met (bucket, node) with one of all buckets that hold the same nodes: (g, node, n_bucket)."""
+    drawn = [F.bit_xor(F.xxhash64(F.lit(k), F.col("node"))).alias(f"x{k}") for k in (0, 1)]
+    sets = met.groupBy("bucket").agg(F.count("*").alias("n_bucket"), *drawn)
+    kept = materialise(sets.groupBy("n_bucket", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket", "n_bucket"), "sets")
+    return met.join(kept, "bucket").withColumnRenamed("bucket", "g")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,21 +301,21 @@ def _with_shingles(docs: DataFrame, members: DataFrame, text: str, doc_id: str)
     return rows.select("text").mapInArrow(run, "node binary, sh binary")
 
 
-def exact_links(x: pd.DataFrame, y: pd.DataFrame, same: bool, least: dict[int, int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that survive the pruning and whose exact Jaccard similarity reaches the threshold."""
-    i, j = surviving(_values(x["values"]), _values(y["values"]), same, least)
-    if not len(i):
-        return i, j
-    sx = [np.frombuffer(s, np.uint64) for s in x["sh"]]
-    sy = sx if same else [np.frombuffer(s, np.uint64) for s in y["sh"]]
-    nx, ny = np.array([len(s) for s in sx]), np.array([len(s) for s in sy])
-    ok = np.minimum(nx[i], ny[j]) >= threshold * np.maximum(nx[i], ny[j]) - 1e-9
+def _sets_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def exact_links(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of sets whose Jaccard similarity reaches the threshold."""
+    sizes = np.array([len(s) for s in sets])
+    ok = np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9
     i, j = i[ok], j[ok]
-    if len(i) < 4 * (len(x) + len(y)):
-        both = np.array([len(np.intersect1d(sx[p], sy[q], assume_unique=True)) for p, q in zip(i, j)], float)
+    rows, cols = np.unique(i), np.unique(j)
+    if len(i) < 4 * (len(rows) + len(cols)) or len(i) < len(rows) * len(cols) // 8:
+        both = np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in zip(i.tolist(), j.tolist())], float)
     else:
-        both = _common_counts(sx, sy)[i, j]
-    hit = both >= threshold * (nx[i] + ny[j] - both) - 1e-9
+        both = _common_counts([sets[p] for p in rows], [sets[q] for q in cols])[np.searchsorted(rows, i), np.searchsorted(cols, j)]
+    hit = both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
     return i[hit], j[hit]
 
 
@@ -279,55 +339,64 @@ def _matrix(sets: list[np.ndarray], terms: np.ndarray) -> np.ndarray:
     return m
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, class_id, n_links, class_size: one row per row of docs.
+def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, t1, t2, class_id, n_links, class_size, kept, alone: one row per row of docs.
 
-    n_links: other rows whose shingles have a Jaccard similarity of at least THRESHOLD,
-    copies included; class_id: the least doc_id among the rows that links connect, directly
-    or through others. A text without words, null counted as empty, has no links and is a
-    class of its own. Null ids are rows; repeated rows are copies. Empty tables give no rows.
+    As `near_duplicates`, with a key of the text (t1, t2), whether the row is the one of its
+    class that stays (the least doc_id, null last, then the least key; repeated rows agree), and
+    whether its text has no words.
     """
     least = least_matches()
     rows = materialise(nodes_of(docs, text, doc_id), "nodes")
     solid = rows.filter("n_shingles > 0")
-    nodes = materialise(solid.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("values").alias("values")), "distinct")
+    first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t1", "t2")
+    nodes = materialise(solid.groupBy("node").agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.min("values").alias("values"), F.min("n_shingles").alias("n")), "distinct")
     width = 4 * BAND
     bands = nodes.select("node", F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("values", b * width + 1, width)) for b in range(VALUES // BAND)])).alias("band", "bucket"))
     bands = bands.select("node", F.xxhash64("band", "bucket").alias("bucket"))
-    shared = materialise(bands.groupBy("bucket").agg(F.count("*").alias("n_bucket")).filter("n_bucket > 1"), "buckets")
+    shared = materialise(bands.groupBy("bucket").agg(F.count("*").alias("n_bucket")).filter("n_bucket > 1").select("bucket"), "buckets")
     met = materialise(bands.join(shared, "bucket"), "met")
-    few, many = met.filter(F.col("n_bucket") <= SMALL), met.filter(F.col("n_bucket") > SMALL)
-    pairs = few.select("bucket", F.col("node").alias("a")).join(few.select("bucket", F.col("node").alias("b")), "bucket").filter("a < b").select("a", "b").distinct()
-    edges = _pruned_pairs(pairs, nodes).unionByName(_bucket_edges(many.join(nodes.select("node", "values"), "node")))
-    groups = components(edges)
-    sizes = materialise(groups.groupBy("label").agg(F.count("*").alias("n_group")), "sizes")
+    groups = components(_bucket_edges(_once(met), nodes))
+    members = groups.join(nodes, "node")
+    sizes = materialise(members.groupBy("label").agg(F.count("*").alias("n_group"), F.sum("n").alias("n_all")), "sizes")
     members = materialise(groups.join(sizes, "label").join(nodes, "node"), "members")
-    sh = _with_shingles(docs, members.select(F.col("first").alias("doc_id"), "node"), text, doc_id)
+    sh = _with_shingles(docs, members.select(F.col("first.doc_id").alias("doc_id"), "node"), text, doc_id)
     ready = members.join(sh.groupBy("node").agg(F.min("sh").alias("sh")), "node")
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = bool(pdf["lo"].iloc[0] == pdf["hi"].iloc[0])
-        x = pdf if same else pdf[pdf["block"] == pdf["lo"]]
-        y = pdf if same else pdf[pdf["block"] == pdf["hi"]]
-        both = pdf if same else pd.concat([x, y])
-        links, up = np.zeros(len(both), np.int64), _Forest(len(both))
-        if len(x) and len(y):
-            i, j = exact_links(x, y, same, least, THRESHOLD)
-            j = j if same else j + len(x)
-            copies = both["copies"].to_numpy()
+    def work(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        sets, copies = _sets_of(table["sh"]), table["copies"].to_numpy()
+        links, found = np.zeros(len(table), np.int64), []
+        for i, j in alike_rows(table, starts, least):
+            i, j = exact_links(sets, i, j)
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
-            for p, q in zip(i.tolist(), j.tolist()):
-                up.link(p, q)
-        node = both["node"].tolist()
-        return pd.DataFrame({"a": node, "b": [node[up.root(p)] for p in range(len(node))], "links": links})
+            found.append((i, j))
+        root = roots_of(len(table), np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])) if found else np.arange(len(table))
+        node = table["node"].combine_chunks()
+        return pa.RecordBatch.from_arrays([node, node.take(pa.array(root)), pa.array(links)], names=["a", "b", "links"])
 
-    found = materialise(_by_blocks(ready.select("node", "label", "n_group", "values", "copies", "sh"), "label").groupBy("label", "lo", "hi").applyInPandas(work, "a binary, b binary, links long"), "links")
+    dealt = _dealt(ready.select(F.xxhash64("label").alias("g"), "n_group", "n_all", "node", "values", "copies", "sh"), F.greatest(F.ceil(F.col("n_group") / BLOCK), F.ceil(F.col("n_all") / BLOCK_SHINGLES)))
+    found = materialise(_over_groups(dealt.drop("n_group", "n_all"), work, "a binary, b binary, links long"), "links")
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classes = components(found.select("a", "b"))
     about = nodes.select("node", "first", "copies").join(links, "node", "left").join(classes, "node", "left")
     about = materialise(about.select("node", "copies", F.coalesce("links", F.lit(0)).alias("links"), "first", F.coalesce("label", "node").alias("label")), "about")
-    least_id = materialise(about.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size")), "classes")
-    told = materialise(about.join(least_id, "label").select("node", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links")), "told")
-    alone = rows.filter("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"))
-    return solid.join(told, "node").select("doc_id", "class_id", "n_links", "class_size").unionByName(alone)
+    whole = materialise(about.groupBy("label").agg(F.min("first").alias("stays"), F.sum("copies").alias("class_size")), "classes")
+    told = materialise(about.join(whole, "label").select("node", "stays", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links")), "told")
+    stays = F.col("stays.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("stays.t1") == F.col("t1")) & (F.col("stays.t2") == F.col("t2"))
+    joined = solid.join(told, "node").select("doc_id", "t1", "t2", F.col("stays.doc_id").alias("class_id"), "n_links", "class_size", stays.alias("kept"), F.lit(False).alias("alone"))
+    no, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    empty = rows.filter("n_shingles = 0").select("doc_id", "t1", "t2", F.col("doc_id").alias("class_id"), no.alias("n_links"), one.alias("class_size"), F.lit(True).alias("kept"), F.lit(True).alias("alone"))
+    return joined.unionByName(empty)
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, class_id, n_links, class_size: one row per row of docs.
+
+    n_links: other rows whose shingles have a Jaccard similarity of at least THRESHOLD,
+    copies included; class_id: the least doc_id among the rows that links connect, directly
+    or through others. A text without words, null counted as empty, has no links and is a
+    class of its own. Null ids are rows; repeated rows are copies. Empty tables give no rows.
+    Texts of any length count whole, and other columns of docs, whatever their names, play no part.
+    """
+    return near_classes(docs, text, doc_id).select("doc_id", "class_id", "n_links", "class_size")

@@ -25,10 +25,10 @@ def test_query(spark, sf_dir):
 def test_small_blocks_and_edges(edge_docs, no_docs):
     docs = [(r.doc_id, r.text) for r in edge_docs.collect()]
     for block in (5000, 60000):
-        assert sorted(map(tuple, exact_dedup(edge_docs, block=block).drop("rid").collect()), key=repr) == expected(docs)
+        assert sorted(map(tuple, exact_dedup(edge_docs, block=block).drop("t1", "t2").collect()), key=repr) == expected(docs)
     assert exact_dedup(no_docs).count() == 0
 
 
 def test_levels(spark):
     docs = [(i, t) for i, t in enumerate(["abcdefg", "ab cd efg", "abcdef", "gabcdef", "abcabc", "abc", "abca bc", "abcabd", "a", ""])]
-    assert sorted(map(tuple, exact_dedup(spark.createDataFrame(docs, "doc_id long, text string"), block=2).drop("rid").collect()), key=repr) == expected(docs)
+    assert sorted(map(tuple, exact_dedup(spark.createDataFrame(docs, "doc_id long, text string"), block=2).drop("t1", "t2").collect()), key=repr) == expected(docs)

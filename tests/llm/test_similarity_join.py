@@ -58,9 +58,13 @@ def near_copies(n, seed=1, words=120):
     return out
 
 
-def test_large_groups_by_blocks(spark, monkeypatch):
+def test_large_groups_by_blocks(spark, monkeypatch, request):
     monkeypatch.setattr(sj, "SMALL", 3)
     monkeypatch.setattr(sj, "BLOCK", 16)
+    monkeypatch.setattr(sj, "BLOCK_SHINGLES", 1000)
+    monkeypatch.setattr(sj, "PAIRS", 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # groups go over batches
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch"))
     texts = near_copies(70) + near_copies(9, 2) + near_copies(2, 3) + ["alone in the world with nobody near"] * 3 + ["tiny", "tiny ", "tiny text", "", None]
     docs = [(i * 3 % 257, t, "x") for i, t in enumerate(texts)] + [(None, texts[0], "y"), (0, texts[0], "y")]
     frame = spark.createDataFrame(docs, "doc_id long, text string, node string")
@@ -80,6 +84,29 @@ def test_pruning_keeps_what_reaches_the_threshold():
     assert (low[:, 31] >= least[32]).mean() < 0.5 and (low[:, 159] >= least[160]).mean() < 1e-3
 
 
+def test_pairs_by_rows_and_by_blocks_agree():
+    r = np.random.default_rng(1)
+    values = np.where(r.random((60, sj.VALUES)) < 0.85, np.arange(sj.VALUES), r.integers(1000, 9000, (60, sj.VALUES))).astype(np.uint32)
+    least = sj.least_matches()
+    i, j = np.triu_indices(60, 1)
+    assert 0 < len(sj.still_alike(values, i, j, least)[0]) < len(i)
+    for a, b in zip(sj.still_alike(values, i, j, least), sj.surviving(values, values, True, least)):
+        assert a.tolist() == b.tolist()
+
+
+def test_roots_are_components():
+    r = np.random.default_rng(3)
+    for n, m in ((50, 30), (400, 380), (9, 0), (300, 900)):
+        i, j = r.integers(0, n, (2, m))
+        up = list(range(n))
+        for a, b in zip(i.tolist(), j.tolist()):
+            x, y = up[a], up[b]
+            up = [min(x, y) if u in (x, y) else u for u in up]
+        assert sj.roots_of(n, i, j).tolist() == up
+    chain = np.arange(4999)
+    assert not sj.roots_of(5000, chain, chain + 1).any()
+
+
 def test_both_ways_of_counting_agree():
     r = np.random.default_rng(2)
     a = [np.unique(r.integers(0, 9000, 300).astype(np.uint64)) for _ in range(20)]
