@@ -78,6 +78,11 @@ def bounded(c: Column, low: float, high: float) -> Column:
     return F.when(c.between(low, high), c)
 
 
+def fallback(*columns: Column) -> Column:
+    """The first of the columns that has text, trimmed; empty counts as missing."""
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns])
+
+
 def nan_to_null(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 

@@ -59,8 +59,11 @@ def outside_share(pilots: DataFrame, peers: DataFrame, keys: list[str], value: s
     """
     from pyspark.sql import Window
 
-    every = pilots.withColumn("__peer", F.lit(0)).unionByName(peers.select(*keys, value).withColumn("__peer", F.lit(1)), allowMissingColumns=True)
+    peer = "peer"
+    while peer in pilots.columns:
+        peer += "_"
+    every = pilots.withColumn(peer, F.lit(0)).unionByName(peers.select(*keys, value).withColumn(peer, F.lit(1)), allowMissingColumns=True)
     group = Window.partitionBy(*keys)
-    below = F.sum("__peer").over(group.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
-    total = F.sum("__peer").over(group)
-    return every.withColumn(f"{out}_n", total).withColumn(out, 100.0 * below / F.nullif(total, F.lit(0))).filter("__peer = 0").drop("__peer")
+    below = F.sum(peer).over(group.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
+    total = F.sum(peer).over(group)
+    return every.withColumn(f"{out}_n", total).withColumn(out, 100.0 * below / F.nullif(total, F.lit(0))).filter(F.col(peer) == 0).drop(peer)

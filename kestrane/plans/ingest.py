@@ -129,7 +129,7 @@ def pending_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     batches = table(spark, sf_dir, "events").groupBy(F.to_date("ts").cast("string").alias("dia")).agg(F.count("*").alias("n")).withColumn("sha256", F.sha2(F.concat_ws("|", "dia", "n"), 256))
     day = F.substring("dia", -2, 2).cast("int")
-    ledger = batches.select("sha256", F.when(day % 3 == 0, "ok").otherwise("error").alias("status")).filter(day % 2 * day % 3 < 2)
+    ledger = batches.select("sha256", F.when(day % 3 == 0, "ok").otherwise("error").alias("status"))
     return pending(batches, ledger).drop("sha256")
 
 

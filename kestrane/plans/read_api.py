@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import norm_rbd
 from ..functions.labels import GRADES, SUBJECTS, fixed, lookup
-from .analytics import _MELT_SQL, CTE_METRICS, METRIC_COLUMNS, grade_series, metrics, score_series_melt
-from .model import rnd
+from .analytics import (
+    _GRADE_TREND_CTE, _MELT_SQL, _SEGMENTS, _TREND_COLUMNS, CTE_METRICS, KEYS, METRIC_COLUMNS, _sql_trend, _told_trend, _trends, grade_series, metrics, score_series_melt, trend_grades)
+from .model import CTE_SERIES, rnd, score_series
 from .registry import query
 
 SCHOOL = "00000001"
@@ -31,9 +32,13 @@ _SQL_ROUNDED = ", ".join(f"(round({c} + 1e-7, 2) + 0e0) AS {c}" if t == "double"
 
 
 @query(f"WITH {CTE_METRICS} SELECT {_SQL_ROUNDED}, count(*) FILTER (WHERE alerta) OVER () AS n_alertas FROM metrics WHERE rbd = '{SCHOOL}'")
-def metrics_by_school(spark: SparkSession, sf_dir: str, rbd: str | None = SCHOOL, segment: str | None = None, source: str | None = None) -> DataFrame:
-    """All metrics of a school, or with None of every school, with optional segment and source, and how many of the school's are alerts."""
-    m = metrics(spark, sf_dir)
+def metrics_by_school(spark: SparkSession, sf_dir: str, rbd: str | None = SCHOOL, segment: str | None = None, source: str | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """All metrics of a school, or with None of every school, with optional segment and source, and how many of the school's are alerts.
+
+    `stored`: the table of all metrics as `runner.store_metrics` wrote it, of which only the
+    school's part is read; without it the metrics are worked out.
+    """
+    m = metrics(spark, sf_dir) if stored is None else stored
     for column, value in (("rbd", rbd), ("segmento", segment), ("fuente", source)):
         if value is not None:
             m = m.filter(F.col(column) == value)
@@ -44,8 +49,9 @@ def metrics_by_school(spark: SparkSession, sf_dir: str, rbd: str | None = SCHOOL
 
 
 @query(f"WITH {CTE_METRICS} SELECT {_SQL_ROUNDED} FROM metrics WHERE rbd = '{SCHOOL}' AND alerta")
-def active_alerts(spark: SparkSession, sf_dir: str, rbd: str | None = SCHOOL) -> DataFrame:
-    m = metrics(spark, sf_dir).filter("alerta")
+def active_alerts(spark: SparkSession, sf_dir: str, rbd: str | None = SCHOOL, stored: DataFrame | None = None) -> DataFrame:
+    """A school's alerts, or with None every school's; `stored` as in `metrics_by_school`."""
+    m = (metrics(spark, sf_dir) if stored is None else stored).filter("alerta")
     return _rounded(m if rbd is None else m.filter(F.col("rbd") == rbd)).orderBy("fuente", "metrica", F.asc_nulls_last("grado"), F.asc_nulls_last("asignatura"))
 
 
@@ -93,6 +99,44 @@ def grades_by_grade_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grades_by_grade(spark, sf_dir, None, None)
 
 
+# Series with trends -------------------------------------------------------------------------
+
+_TREND_FIELDS = {"valor_proyectado": "proyectado", "tendencia_slope": "slope", "tendencia_r2": "r2", "alerta": "alerta", "confianza": "confianza"}
+
+
+def _beside(series: DataFrame, trends: DataFrame, segments: dict[str, str], subject: Column) -> DataFrame:
+    """series with the trend of its school, grade and subject beside each row, <field>_<short name> per segment."""
+    told = F.struct(*[F.col(c).alias(name) for c, name in _TREND_FIELDS.items()])
+    wide = trends.groupBy(*[F.col(k).alias(f"t_{k}") for k in KEYS]).agg(*[F.max(F.when(F.col("segmento") == s, told)).alias(f"t_{short}") for s, short in segments.items()])
+    joined = series.join(wide, (F.col("rbd") == F.col("t_rbd")) & (F.col("grado") == F.col("t_grado")) & (subject == F.col("t_asignatura")), "left")
+    return joined.select(*series.columns, *[F.col(f"t_{short}.{name}").alias(f"{name}_{short}") for short in segments.values() for name in _TREND_FIELDS.values()])
+
+
+def _sql_beside(segments: dict[str, str], subject: str) -> str:
+    fields = ", ".join(f"t_{short}.{c} AS {name}_{short}" for short in segments.values() for c, name in _TREND_FIELDS.items())
+    joins = " ".join(f"LEFT JOIN told t_{short} ON t_{short}.rbd = x.rbd AND t_{short}.grado = x.grado AND t_{short}.asignatura = {subject} AND t_{short}.segmento = '{s}'" for s, short in segments.items())
+    return f"SELECT x.*, {fields} FROM x {joins}"
+
+
+SCORE_SEGMENTS, GRADE_SEGMENTS = {"full_excl_hiatus": "full", "post_hiatus": "post"}, {"full": "full"}
+
+
+@query(f"WITH {CTE_SERIES}, {_SEGMENTS}, {_sql_trend('segs')}, told AS ({_TREND_COLUMNS}), x AS ({_MELT_SQL}) {_sql_beside(SCORE_SEGMENTS, 'x.asignatura')}")
+def scores_with_trends_all(spark: SparkSession, sf_dir: str, rbd: str | None = None, grade: str | None = None) -> DataFrame:
+    """Every school's score series against the mean of all, with the trends of both segments; or one school's, one grade's."""
+    trends = _told_trend(_trends(score_series(spark, sf_dir)), *KEYS, "segmento")
+    return _beside(_of_grade(score_series_melt(spark, sf_dir, rbd), grade), trends, SCORE_SEGMENTS, F.col("asignatura"))
+
+
+@query(f"""WITH {_GRADE_TREND_CTE}, told AS ({_TREND_COLUMNS.replace("asignatura, segmento", "asignatura, 'full' AS segmento")}),
+x AS (SELECT rbd, agno, grado, asignatura, prom_notas, tasa_aprobacion, tasa_asistencia, n_alumnos FROM grade_rows) {_sql_beside(GRADE_SEGMENTS, 'substr(x.asignatura, 1, 40)')}""")
+def grades_with_trends_all(spark: SparkSession, sf_dir: str, rbd: str | None = None, grade: str | None = None) -> DataFrame:
+    """Every school's marks by subject and year, with their trend; or one school's, one grade's."""
+    g = grade_series(spark, sf_dir)
+    g = _of_grade(g if rbd is None else g.filter(F.col("rbd") == rbd), grade)
+    return _beside(g, trend_grades(spark, sf_dir), GRADE_SEGMENTS, F.substring("asignatura", 1, 40))
+
+
 # Texts --------------------------------------------------------------------------------------
 
 # The texts of the insights. {c}: grade and subject; {s}: slope; {g}: segment;

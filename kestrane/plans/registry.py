@@ -26,4 +26,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from . import analytics, ingest, read_api, relational  # noqa: E402, F401  they register their queries
+from . import analytics, files, ingest, read_api, relational  # noqa: E402, F401  they register their queries

@@ -92,7 +92,7 @@ def view_course_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
        CASE WHEN cod_grado <= 4 THEN 'primer_ciclo' WHEN cod_grado <= 8 THEN 'segundo_ciclo' ELSE 'EM' END AS ciclo
 FROM range(2013, 2031) a(agno), range(1, 13) g(cod_grado)""")
 def dim_time_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """School years by grade, generated: 18 by 12 rows, whatever the data."""
+    """School years by grade, generated: 18 by 12 rows, whatever the data. The labels are fixed values."""
     grid = spark.range(1).select(F.explode(F.sequence(F.lit(2013), F.lit(2030))).alias("agno")).select("agno", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("cod_grado"))
     g = F.col("cod_grado")
     return grid.select("agno", "cod_grado", F.when(g <= 8, F.concat(g, F.lit("° básico"))).otherwise(F.concat(g - 8, F.lit("° medio"))).alias("grado_label"),
@@ -173,6 +173,57 @@ def insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insert_ignore(*_old_and_new(spark, sf_dir), ["id"]).withColumn("a", rnd("a", 2))
 
 
+# A batch that names a customer once for each of their orders; the last order in time counts.
+_BATCH = """batch AS (SELECT o_custkey AS id, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS a, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS b,
+  o_orderpriority AS c, o_orderdate AS dia, o_orderkey AS k FROM orders)"""
+_CHOSEN = "SELECT id, (round(a + 1e-7, 2) + 0e0) AS a, b, c"
+
+
+def _old_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The old table, and a batch with the columns dia and k that its rows are in order of."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    batch = o.select(F.col("o_custkey").alias("id"), F.when(k % 5 != 0, F.col("o_totalprice")).alias("a"), F.when(k % 3 != 0, F.col("o_orderstatus")).alias("b"),
+                     F.col("o_orderpriority").alias("c"), F.col("o_orderdate").alias("dia"), k.alias("k"))
+    old = _old_and_new(spark, sf_dir)[0]
+    return old.select("*", F.lit(None).cast("timestamp").alias("dia"), F.lit(None).cast("bigint").alias("k")), batch.select(*[F.col(c).cast(old.schema[c].dataType).alias(c) if c in old.columns else c for c in batch.columns])
+
+
+def _chosen(merged: DataFrame) -> DataFrame:
+    return merged.select("id", rnd("a", 2).alias("a"), "b", "c")
+
+
+@query(f"""WITH {_OLD}, {_BATCH}, last AS (SELECT id, a, b, c FROM batch QUALIFY row_number() OVER (PARTITION BY id ORDER BY dia DESC, k DESC) = 1)
+{_CHOSEN} FROM (SELECT * FROM last UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM last))""")
+def upsert_replace_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch whose keys repeat: the last row of a key wins."""
+    return _chosen(merge_replace(*_old_and_batch(spark, sf_dir), ["id"], ["dia", "k"]))
+
+
+@query(f"""WITH {_OLD}, {_BATCH}, folded AS (
+  SELECT id, last(a ORDER BY dia, k) FILTER (WHERE a IS NOT NULL) AS a, last(b ORDER BY dia, k) FILTER (WHERE b IS NOT NULL) AS b, last(c ORDER BY dia, k) AS c FROM batch GROUP BY id)
+SELECT id, (round(coalesce(n.a, o.a) + 1e-7, 2) + 0e0) AS a, coalesce(n.b, o.b) AS b, coalesce(n.c, o.c) AS c FROM old o FULL JOIN folded n USING (id)""")
+def upsert_coalesce_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch whose keys repeat: column by column the last value that is not null wins."""
+    return _chosen(merge_coalesce(*_old_and_batch(spark, sf_dir), ["id"], ["dia", "k"]))
+
+
+@query(f"""WITH {_OLD}, {_BATCH}, firsts AS (SELECT id, a, b, c FROM batch QUALIFY row_number() OVER (PARTITION BY id ORDER BY dia, k) = 1)
+{_CHOSEN} FROM (SELECT * FROM old UNION ALL SELECT * FROM firsts WHERE id NOT IN (SELECT id FROM old))""")
+def insert_or_ignore_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch whose keys repeat: the first row of a new key is added."""
+    return _chosen(insert_ignore(*_old_and_batch(spark, sf_dir), ["id"], ["dia", "k"]))
+
+
+@query(f"""WITH {_OLD}, {_BATCH},
+lasts AS (SELECT id, a FROM batch QUALIFY row_number() OVER (PARTITION BY id ORDER BY dia DESC, k DESC) = 1),
+firsts AS (SELECT id, b, c FROM batch QUALIFY row_number() OVER (PARTITION BY id ORDER BY dia, k) = 1)
+SELECT id, (round(CASE WHEN n.id IS NOT NULL THEN n.a ELSE o.a END + 1e-7, 2) + 0e0) AS a, CASE WHEN o.id IS NOT NULL THEN o.b ELSE f.b END AS b,
+       CASE WHEN o.id IS NOT NULL THEN o.c ELSE f.c END AS c FROM old o FULL JOIN lasts n USING (id) LEFT JOIN firsts f USING (id)""")
+def upsert_partial_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch whose keys repeat: the last value of column a, the other columns of the first row of a new key."""
+    return _chosen(merge_partial(*_old_and_batch(spark, sf_dir), ["id"], ["a"], ["dia", "k"]))
+
+
 @query("""SELECT user_id, event_type, event_id, (round(value + 1e-7, 4) + 0e0) AS value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""")
 def dedupe_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,8 +32,12 @@ class Run:
 
 
 def run(spark: SparkSession, sf_dir: str, out: str, modules: Sequence[str] = tuple(MODULES), queries: dict[str, Callable[[SparkSession, str], DataFrame]] | None = None) -> Run:
-    """Write the modules' tables under `out`; a module that fails does not stop the others. Unknown names are errors."""
+    """Write the modules' tables under `out`; a module that fails does not stop the others. Unknown names are errors.
+
+    The ledger gets an event for each module as the run starts, and one with its outcome.
+    """
     told, known = Run(uuid.uuid4().hex), queries or QUERIES
+    _record(spark, out, [(told.run_id, m, "running", None) for m in modules])
     for name in modules:
         try:
             for q in MODULES[name]:
@@ -42,10 +46,34 @@ def run(spark: SparkSession, sf_dir: str, out: str, modules: Sequence[str] = tup
                 told.paths[q] = path
         except Exception as e:  # noqa: BLE001  the next module is independent
             told.errors[name] = f"{type(e).__name__}: {e}".splitlines()[0][:500]
-    events = [(told.run_id, m, "error" if m in told.errors else "ok", told.errors.get(m)) for m in modules]
+    _record(spark, out, [(told.run_id, m, "error" if m in told.errors else "ok", told.errors.get(m)) for m in modules])
+    return told
+
+
+def _record(spark: SparkSession, out: str, events: list[tuple]) -> None:
     rows = spark.createDataFrame(events, "run_id string, module string, status string, message string")
     rows.withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{out}/_ledger")
-    return told
+
+
+def store_metrics(spark: SparkSession, sf_dir: str, out: str, files: int | None = None) -> str:
+    """Write the table of all metrics, worked out once, by ranges of schools; gives its path.
+
+    Within a file rows are sorted by school, so that a read of one school skips all files and
+    row groups whose range of schools does not hold it.
+    """
+    from .analytics import metrics
+
+    m, path = metrics(spark, sf_dir), f"{out}/metrics"
+    dealt = m.repartitionByRange(files, "rbd") if files else m.repartitionByRange("rbd")
+    dealt.sortWithinPartitions("rbd").write.mode("overwrite").parquet(path)
+    return path
+
+
+def stored_metrics(spark: SparkSession, out: str) -> DataFrame:
+    """The table that `store_metrics` wrote."""
+    from .analytics import METRIC_COLUMNS
+
+    return spark.read.schema(", ".join(f"{c} {t}" for c, t in METRIC_COLUMNS.items())).parquet(f"{out}/metrics")
 
 
 def status(spark: SparkSession, out: str, run_id: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Messy delimited files: sniffing, header union and all-text scans.
 
-The driver reads only names and the first bytes of files, through Spark, so any file system
-will do; rows are read, cut and aligned on the executors.
+The driver reads only names and the first bytes of files, as streams of Spark's file systems,
+so neither their kind nor a file's size matters; rows are read, cut and aligned on the executors.
 """
 
 from __future__ import annotations
@@ -12,49 +12,81 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import canonical_header, year_in_name
+from ..scratch import hadoop_path
 
-# Encodings and separators in the order in which they are tried; every byte is a character in the second.
-ENCODINGS = ("utf-8", "iso-8859-1")
+# Separators in the order in which they are tried.
 SEPARATORS = (";", ",", "\t", "|", "~")
 SAMPLE_BYTES, SAMPLE_ROWS = 65_536, 5
+#: What Windows-1252 has in the place of Latin-1's second set of controls.
+SIGNS = tuple("".join(bytes([b]).decode(e) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)) for e in ("latin-1", "cp1252"))
+# Labels of grades in names of columns and files.
+GRADE_LABELS = ("2b", "4b", "6b", "8b", "2m")
+# Byte order marks and their encodings.
+MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16le"), (b"\xfe\xff", "utf-16be"))
 
 
-def sniff_bytes(head: bytes) -> tuple[str, str] | None:
-    """(encoding, separator): the first pair with which the first rows have two columns or more, evenly.
+def guess_encoding(head: bytes) -> str:
+    """The encoding of the first bytes of a file.
 
-    A byte order mark decides the encoding. None for what is not text.
+    A byte order mark decides; then UTF-8 if they are valid, but for a cut last character;
+    else Windows-1252 where a byte stands for a control in Latin-1 and for a sign there, or Latin-1.
     """
-    if not head or b"\x00" in head and head[:2] not in (b"\xff\xfe", b"\xfe\xff"):
+    for mark, encoding in MARKS:
+        if head.startswith(mark):
+            return encoding
+    try:
+        head.decode("utf-8")
+        return "utf-8"
+    except UnicodeDecodeError as e:
+        if e.reason == "unexpected end of data":
+            return "utf-8"
+    signs = [b for b in head if 0x80 <= b < 0xA0]
+    return "windows-1252" if signs and not set(signs) & {0x81, 0x8D, 0x8F, 0x90, 0x9D} else "iso-8859-1"
+
+
+def sniff_bytes(head: bytes, forced: str | None = None) -> tuple[str, str] | None:
+    """(encoding, separator): the first separator with which the first rows have two columns or more.
+
+    `forced` names the encoding. None for what is not text.
+    """
+    encoding = forced or guess_encoding(head)
+    if not head or (b"\x00" in head and not encoding.lower().startswith("utf-16")):
         return None
-    marked = "utf-16" if head[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8" if head[:3] == b"\xef\xbb\xbf" else None
-    for encoding in (marked,) if marked else ENCODINGS:
-        try:
-            text = head.decode(encoding)
-        except UnicodeDecodeError as e:
-            if len(head) - e.start > 4 or encoding != "utf-8":  # more than a cut last character
-                continue
-            text = head[: e.start].decode(encoding)
-        lines = [x for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n") if x.strip()][: SAMPLE_ROWS + 1]
-        if any(ord(c) < 32 and c not in "\t" for x in lines for c in x):
-            continue
-        for sep in SEPARATORS:
-            if lines and all(sep in x for x in lines):
-                return encoding, sep
-    return None
-
+    try:
+        text = head.decode(encoding, "ignore" if encoding == "utf-8" else "strict")
+    except UnicodeDecodeError:
+        return None
+    lines = [x for x in text.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n").split("\n") if x.strip()][: SAMPLE_ROWS + 1]
+    if any(ord(c) < 32 and c not in "\t" for x in lines for c in x):
+        return None
+    return next(((encoding, sep) for sep in SEPARATORS if lines and all(sep in x for x in lines)), None)
 
-def headers(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[tuple[str, str, str, list[str]]]:
-    """(path, encoding, separator, column names) of every readable file, in the order of their paths.
 
-    One small row a file reaches the driver: the first bytes, cut on the executors.
-    """
+def listed(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """(path, length) of the files under a folder, in no order; their content is not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return files.select("path", "length")
+
+
+def first_bytes(spark: SparkSession, path: str, length: int) -> bytes:
+    """The first SAMPLE_BYTES of a file, from a stream."""
+    p, fs = hadoop_path(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(length, SAMPLE_BYTES)))
+    finally:
+        stream.close()
+
+
+def headers(spark: SparkSession, folder: str, pattern: str = "*.csv", forced: str | None = None) -> list[tuple[str, str, str, list[str]]]:
+    """(path, encoding, separator, column names) of every readable file, in the order of their paths."""
     out = []
-    for r in files.select("path", F.substring("content", 1, SAMPLE_BYTES).alias("head")).orderBy("path").toLocalIterator():
-        found = sniff_bytes(bytes(r.head))
+    for r in listed(spark, folder, pattern).orderBy("path").toLocalIterator():
+        head = first_bytes(spark, r.path, r.length)
+        found = sniff_bytes(head, forced)
         if found:
             encoding, sep = found
-            first = bytes(r.head).decode(encoding, "replace").lstrip("﻿").replace("\r", "\n").split("\n")[0]
+            first = head.decode(encoding, "replace").lstrip("\ufeff").replace("\r", "\n").split("\n")[0]
             out.append((r.path, encoding, sep, distinct_names([x.strip().strip('"') for x in first.split(sep)])))
     return out
 
@@ -86,16 +118,19 @@ def read_text_rows(spark: SparkSession, path: str | list[str], encoding: str, se
     The row as it stands is kept next to its cells, to count them.
     """
     schema = ", ".join(f"`{c}` string" for c in columns) + ", `__bad` string"
-    rows = spark.read.csv(path, schema=schema, sep=sep, encoding=encoding, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="__bad", enforceSchema=True, quote='"', escape='"')
+    read_as = "iso-8859-1" if encoding == "windows-1252" else encoding  # Spark has no other charset with one byte a character
+    rows = spark.read.csv(path, schema=schema, sep=sep, encoding=read_as, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="__bad", enforceSchema=True, quote='"', escape='"',
+                          lineSep="\n" if encoding.startswith("utf-16") else None)
     outside_quotes = F.regexp_replace(F.col("__bad"), '"[^"]*"', "")
     cells = F.length(outside_quotes) - F.length(F.replace(outside_quotes, F.lit(sep), F.lit(""))) + 1
     source = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("_source_file")
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("__folder")
-    return rows.select("*", source, folder).filter(F.col("__bad").isNull() | (cells <= len(columns))).drop("__bad")
+    text = lambda c: F.translate(f"`{c}`", *SIGNS).alias(c) if encoding == "windows-1252" else F.col(f"`{c}`")
+    return rows.select(*[text(c) for c in columns], "__bad", source, folder).filter(F.col("__bad").isNull() | (cells <= len(columns))).drop("__bad")
 
 
 def read_folder(spark: SparkSession, folder: str, pattern: str = "*.csv", priority: Sequence[str] = (), mandatory: Sequence[str] = ("agno",), aliases: dict[str, str] | None = None,
-                transforms: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+                transforms: dict[str, Callable[[Column], Column]] | None = None, forced: str | None = None) -> DataFrame:
     """All files of a folder as one all-text table with the union of their columns.
 
     Files with the same encoding, separator and header are scanned together. Aliases rename
@@ -103,7 +138,7 @@ def read_folder(spark: SparkSession, folder: str, pattern: str = "*.csv", priori
     or the folder's name; nulls become empty text, as in a delimited file.
     """
     kinds: dict[tuple, list[str]] = {}
-    for path, encoding, sep, columns in headers(spark, folder, pattern):
+    for path, encoding, sep, columns in headers(spark, folder, pattern, forced):
         kinds.setdefault((encoding, sep, tuple(columns)), []).append(path)
     rename = aliases or {}
     order = union_columns([[rename.get(c, c) for c in k[2]] for k in kinds], priority, mandatory)
@@ -121,6 +156,25 @@ def read_folder(spark: SparkSession, folder: str, pattern: str = "*.csv", priori
     return out if out is not None else spark.createDataFrame([], ", ".join(f"`{c}` string" for c in order))
 
 
+def blank_to_null(df: DataFrame) -> DataFrame:
+    """Cells trimmed; those of white space alone are null."""
+    return df.select(*[F.nullif(F.trim(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
+
+
+def without_empty_rows(df: DataFrame) -> DataFrame:
+    """df without the rows that have no value in any column."""
+    return df.dropna("all")
+
+
+def grade_in_names(columns: Sequence[str], file: str) -> str | None:
+    """The first grade label that a column name holds, else one that the file's name holds."""
+    for name in (*columns, file):
+        for label in GRADE_LABELS:
+            if label in name.lower():
+                return label
+    return None
+
+
 def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """df, or ValueError if a required column is missing."""
     missing = [c for c in columns if c not in df.columns]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import hadoop_path
+
 LEDGER = "sha256 string, path string, status string, at timestamp"
 
 
@@ -13,9 +15,25 @@ def pending(files: DataFrame, ledger: DataFrame, done: str = "ok") -> DataFrame:
     return files.join(ledger.filter(F.col("status") == done).select("sha256"), "sha256", "left_anti")
 
 
-def hashed_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """(path, sha256, length) of the files under a folder, hashed on the executors."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).select("path", F.sha2("content", 256).alias("sha256"), "length")
+#: Files up to which the executors hash them, each in one piece; larger ones are hashed as streams.
+WHOLE = 1 << 30
+
+
+def hashed_files(spark: SparkSession, folder: str, pattern: str = "*.csv", whole: int = WHOLE) -> DataFrame:
+    """(path, sha256, length) of the files under a folder; Spark cannot load a file of 2 GB as one value, so files above `whole` are read by streams."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    small = files.filter(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("sha256"), "length")
+    large = [(r.path, _streamed_sha256(spark, r.path), r.length) for r in files.filter(F.col("length") > whole).select("path", "length").toLocalIterator()]
+    return small.unionByName(spark.createDataFrame(large, "path string, sha256 string, length long")) if large else small
+
+
+def _streamed_sha256(spark: SparkSession, path: str) -> str:
+    p, fs = hadoop_path(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
 
 
 def record(files: DataFrame, ledger_path: str, status: str) -> None:

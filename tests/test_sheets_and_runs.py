@@ -1,5 +1,6 @@
 from kestrane.functions.clean import last_year_in_text, sheet_fields
-from kestrane.plans import registry, runner
+from kestrane.plans import read_api, registry, runner
+from kestrane.plans.analytics import metrics
 from kestrane.sources import sheets
 from pyspark.sql import functions as F
 
@@ -43,4 +44,25 @@ def test_runs_are_independent(spark, sf_dir, tmp_path):
     told = runner.run(spark, sf_dir, str(tmp_path), ["simce_serie", "cruce", "unknown"], bad)
     assert told.status == "error" and set(told.errors) == {"simce_serie", "unknown"} and set(told.paths) == {"cross_gap", "cross_correlation"}
     assert {r.module: r.status for r in runner.status(spark, str(tmp_path), told.run_id).collect()} == {"simce_serie": "error", "cruce": "ok", "unknown": "error"}
+    events = spark.read.parquet(f"{tmp_path}/_ledger")
+    assert {(r.status, r["count"]) for r in events.groupBy("status").count().collect()} == {("running", 3), ("ok", 1), ("error", 2)}
     assert runner.health(spark)
+
+
+def test_reads_of_stored_metrics(spark, sf_dir, tmp_path):
+    path = runner.store_metrics(spark, sf_dir, str(tmp_path), 4)
+    stored = runner.stored_metrics(spark, str(tmp_path))
+    assert path.endswith("/metrics") and stored.count() == metrics(spark, sf_dir).count()
+    for read in (read_api.metrics_by_school, read_api.active_alerts):
+        got = read(spark, sf_dir, stored=stored)
+        assert sorted(map(str, got.collect())) == sorted(map(str, read(spark, sf_dir).collect()))
+    plan = read_api.metrics_by_school(spark, sf_dir, stored=stored)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(rbd), EqualTo(rbd,00000001)]" in plan
+    files = stored.select(F.input_file_name().alias("f"), "rbd").distinct().groupBy("rbd").count()
+    assert files.filter("count > 1").isEmpty()  # a school lies in one file
+
+
+def test_trends_beside_series(spark, sf_dir):
+    one = read_api.scores_with_trends_all(spark, sf_dir, "00000001", "4B").collect()
+    assert one and {(r.rbd, r.grado) for r in one} == {("00000001", "4b")} and any(r.slope_full is not None for r in one)
+    assert {r.rbd for r in read_api.grades_with_trends_all(spark, sf_dir, "00000002").collect()} == {"00000002"}
