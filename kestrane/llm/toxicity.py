@@ -1,13 +1,13 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Terms are all words and the beginnings of words in a bounded sample of labelled rows; those
-that go with the label weigh more. Their document frequencies are counted over the whole
-corpus. The examples' vectors lie in an inverted index of blocks, each with the greatest weight that any term has
-in it. A search visits blocks by falling upper bound and stops when none can reach the k-th
-best, so its neighbours are exact; all that tie with the k-th count. Their votes, weighted
-by cosine and by the share of the labelled rows that their class's sample is, give a raw
-score, which is calibrated by isotonic regression on the examples, each left out of its own
-neighbours.
+Terms are the stems (first letters) of all words in a bounded sample of labelled rows, and a
+mark of how dense a text is in stems that go with the label; those stems and marks weigh more.
+Their document frequencies are counted over the whole corpus. The examples' vectors lie in an
+inverted index of blocks, each with the greatest weight that any term has in it. A search
+visits blocks by falling upper bound and stops when none can reach the k-th best, so its
+neighbours are exact; all that tie with the k-th count. Their votes, weighted by cosine and by
+the share of the labelled rows that their class's sample is, give a raw score, which is
+calibrated by isotonic regression on the examples, each left out of its own neighbours.
 """
 
 from __future__ import annotations
@@ -16,32 +16,31 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SLICE, map_rows, text_of
+from ._common import SLICE, map_rows, materialise, text_of
 
-#: Labelled rows in the sample, of each label; terms that weigh more; neighbours; examples in a block.
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 2500, 2048, 15, 64
-#: How many times the weight a term has that goes with the label.
-BOOST = 16.0
+#: Labelled rows in the sample, of each label; neighbours; examples in a block.
+EXAMPLES, NEIGHBOURS, BLOCK = 1000, 15, 64
+#: Share of the examples above which a term's weights lie in the dense matrix.
+OFTEN = 1 / 16
+#: Letters of a stem; marks of density, each twice as dense as the one before.
+STEM, DENSITIES = 5, 11
+#: How many times the weight a term has that goes with the label: the log-likelihood ratio and the lift from which it does.
+BOOST, RATIO, LIFT = 16.0, 15.0, 4.0
 THRESHOLD = 0.7
-HEADS = (4, 5, 6)
-#: Words whose terms one worker keeps, and vectors whose scores it keeps.
-CACHE, KNOWN = 100_000, 10_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Texts whose scores one worker remembers.
+KNOWN = 10_000
+_STEM = re.compile(r"([^\W\d_]{1,%d})[^\W\d_]*" % STEM)
 
 
-def words_of(text: str) -> Counter:
-    return Counter(_WORD.findall(text.lower()))
-
-
-def terms_of_word(word: str) -> list[str]:
-    """The word itself, marked at its end, and its beginnings."""
-    return [word + "$", *(word[:n] for n in HEADS if len(word) >= n)]
+def stems_of(text: str) -> list[str]:
+    return _STEM.findall(text.lower())
 
 
 class Vectors:
@@ -50,36 +49,33 @@ class Vectors:
     def __init__(self, terms: list[str], marked: int):
         self.marked = marked
         self.terms = {t: i for i, t in enumerate(terms)}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def counts(self, text: str) -> dict[int, int]:
-        """Counts by term number; the number len(terms) + b marks a density of about 2^b marked words in 1024."""
-        out: dict[int, int] = {}
-        known, terms = self.known, self.terms
-        if len(known) > CACHE:
-            known.clear()
-        words = words_of(text)
-        hits = 0
-        for w, n in words.items():
-            got = known.get(w)
-            if got is None:
-                got = known[w] = tuple(terms[t] for t in terms_of_word(w) if t in terms)
-            if got:
-                if min(got) < self.marked:
-                    hits += n
-                for i in got:
-                    out[i] = out.get(i, 0) + n
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and their counts; the term len(terms) + b marks a density of about 2^b marked stems in 1024."""
+        stems = stems_of(text)
+        found = Counter(stems)
+        terms = np.array(list(map(self.terms.get, found, repeat(-1))), np.int64)
+        counts = np.fromiter(found.values(), np.int64, len(found))
+        here = terms >= 0
+        terms, counts = terms[here], counts[here]
+        hits = int(counts[terms < self.marked].sum())
         if hits:
-            out[len(terms) + int(np.log2(1 + 1023 * hits / words.total()))] = 1
-        return out
+            terms, counts = np.append(terms, len(self.terms) + int(np.log2(1 + 1023 * hits / len(stems)))), np.append(counts, 1)
+        return terms, counts
 
 
 class Index:
-    """Exact top-k cosine over the examples, by blocks with the greatest weight of each term."""
+    """Exact top-k cosine over the examples, by blocks with the greatest weight of each term.
 
-    def __init__(self, vectors: list, idf: np.ndarray, labels: np.ndarray, ids: list[int]):
-        """vectors: counts by term, or pairs of arrays of terms and counts."""
-        unit = [self._weighed(*(v if isinstance(v, tuple) else _arrays(v)), idf) for v in vectors]
+    Terms that many examples hold would have postings nearly everywhere: their weights lie in
+    a dense matrix, with which the shares of a batch of texts in all cosines are one product.
+    The greatest of those shares in a block and the greatest weights of the other terms there
+    bound the block's cosines; blocks are visited by falling bound.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, labels: np.ndarray, ids: list[int]):
+        """vectors: terms and their counts."""
+        unit = [self.weighed(*v, idf) for v in vectors]
         # alike examples side by side: by their heaviest terms
         order = sorted(range(len(unit)), key=lambda i: (unit[i][0][np.lexsort((unit[i][0], -unit[i][1]))[:3]].tolist(), i))
         unit = [unit[i] for i in order]
@@ -88,67 +84,74 @@ class Index:
         self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.row_terms = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in unit)]).astype(np.int32)
         self.row_weights = np.concatenate([np.zeros(0), *(w for _, w in unit)])
-        # postings by term and example, and the runs of a term in a block, each with its greatest weight
-        by = np.argsort(self.row_terms, kind="stable")
-        self.at, self.weight = np.repeat(np.arange(len(unit)), sizes)[by], self.row_weights[by]
-        terms, block = self.row_terms[by], self.at // BLOCK
+        self.blocks = np.arange(0, len(unit), BLOCK)
+        rows = np.repeat(np.arange(len(unit)), sizes)
+        often = np.bincount(self.row_terms, minlength=len(idf)) > len(unit) * OFTEN
+        self.column = np.where(often, np.cumsum(often) - 1, -1)
+        dense = often[self.row_terms]
+        self.dense = np.zeros((int(often.sum()), len(unit)))
+        self.dense[self.column[self.row_terms[dense]], rows[dense]] = self.row_weights[dense]
+        # postings of the other terms, by term and example, and the runs of a term in a block, each with its greatest weight
+        by = np.flatnonzero(~dense)[np.argsort(self.row_terms[~dense], kind="stable")]
+        self.at, self.weight, terms = rows[by], self.row_weights[by], self.row_terms[by]
+        block = self.at // BLOCK
         new = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])])) if len(by) else np.zeros(0, np.int64)
         self.run = np.append(new, len(by))
         self.block = block[new]
         self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
         self.runs = np.searchsorted(terms[new], np.arange(len(idf) + 1))
 
-    @property
-    def unit(self) -> list[dict[int, float]]:
-        return [self.row(i) for i in range(len(self.labels))]
-
-    def row(self, i: int) -> dict[int, float]:
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of an example, a vector of length 1."""
         a, b = self.starts[i], self.starts[i + 1]
-        return dict(zip(self.row_terms[a:b].tolist(), self.row_weights[a:b].tolist()))
+        return self.row_terms[a:b], self.row_weights[a:b]
 
     @staticmethod
-    def _weighed(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def weighed(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = (1 + np.log(counts)) * idf[terms]
         norm = np.sqrt((x * x).sum())
         return (terms, x / norm) if norm else (terms[:0], x[:0])
 
-    @classmethod
-    def weigh(cls, counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-        terms, x = cls._weighed(*_arrays(counts), idf)
-        return dict(zip(terms.tolist(), x.tolist()))
-
-    def nearest(self, v: dict[int, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[int, float]]:
-        """(example, cosine) of the k nearest and of all that tie with the last, by falling cosine; only cosines above 0."""
-        if not v or not len(self.block):
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[list[tuple[int, float]]]:
+        """For each vector (terms, weights) the (example, cosine) of the k nearest and of all that tie with the last, by falling cosine.
+
+        Only cosines above 0. `without`: an example for each vector that is left out.
+        """
+        q = np.zeros((len(texts), len(self.dense)))
+        for i, (terms, weights) in enumerate(texts):
+            column = self.column[terms]
+            q[i, column[column >= 0]] = weights[column >= 0]
+        shares = q @ self.dense
+        return [self._nearest(shares[i], *v, k, without[i] if without else -1) for i, v in enumerate(texts)]
+
+    def _nearest(self, scores: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: int) -> list[tuple[int, float]]:
+        """The search of one text; scores: the dense terms' shares in all cosines."""
+        if not len(scores):
             return []
-        terms = np.fromiter(v.keys(), np.int64, len(v))
-        weights = np.fromiter(v.values(), float, len(v))
+        rare = self.column[terms] < 0
+        terms, weights = terms[rare], weights[rare]
         runs, sizes = _expanded(self.runs[terms], self.runs[terms + 1])
-        weights, blocks = np.repeat(weights, sizes), self.block[runs]
-        n = -(-len(self.labels) // BLOCK)
-        bound = np.bincount(blocks, weights * self.most[runs], n)
-        order = np.argsort(-bound, kind="stable")
-        scores, kth, lo, step = np.zeros(len(self.labels)), 0.0, 0, 4
+        weights, blocks, n = np.repeat(weights, sizes), self.block[runs], len(self.blocks)
+        bound = np.maximum.reduceat(scores, self.blocks) + np.bincount(blocks, weights * self.most[runs], n)
+        order, done = np.argsort(-bound, kind="stable"), np.zeros(n, bool)
+        kth, lo, step, found = 0.0, 0, 4, np.zeros(len(scores))
         while lo < n and bound[order[lo]] > 0 and bound[order[lo]] >= kth - 1e-9:
             visit = np.zeros(n, bool)
             visit[order[lo : lo + step]] = True
             visit &= bound >= kth - 1e-9
             at = visit[blocks]
-            some = runs[at]
-            postings, sizes = _expanded(self.run[some], self.run[some + 1])
+            postings, sizes = _expanded(self.run[runs[at]], self.run[runs[at] + 1])
             scores += np.bincount(self.at[postings], self.weight[postings] * np.repeat(weights[at], sizes), len(scores))
+            done |= visit
+            found = np.where(np.repeat(done, BLOCK)[: len(scores)], scores, 0.0)
             if without >= 0:
-                scores[without] = 0.0
-            if len(scores) >= k:
-                kth = np.partition(scores, -k)[-k]
+                found[without] = 0.0
+            if len(found) >= k:
+                kth = np.partition(found, -k)[-k]
             lo, step = lo + step, 4 * step
-        near = np.flatnonzero(scores >= max(kth - 1e-9, 1e-12))
-        near = near[np.lexsort((near, -scores[near]))]
-        return list(zip(near.tolist(), scores[near].tolist()))
-
-
-def _arrays(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    return np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+        near = np.flatnonzero(found >= max(kth - 1e-9, 1e-12))
+        near = near[np.lexsort((near, -found[near].round(9)))]
+        return list(zip(near.tolist(), found[near].tolist()))
 
 
 def _expanded(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +186,9 @@ class Scorer:
         """Pools of adjacent raw scores, so that the share of label 1 never falls as the score rises."""
         pools = []
         labels, row = self.index.labels, self.index.row
-        raw = sorted((self._raw(self.index.nearest(row(i), without=i)), self.class_weight[int(y)], int(y)) for i, y in enumerate(labels) if self.index.starts[i] < self.index.starts[i + 1])
+        known = np.flatnonzero(np.diff(self.index.starts)).tolist()
+        near = [x for lo in range(0, len(known), SLICE) for x in self.index.nearest([row(i) for i in known[lo : lo + SLICE]], without=known[lo : lo + SLICE])]
+        raw = sorted((self._raw(x), self.class_weight[int(labels[i])], int(labels[i])) for i, x in zip(known, near))
         for r, w, y in raw:
             pools.append([r, r, w, w * y])
             while len(pools) > 1 and (pools[-2][1] == pools[-1][0] or pools[-2][3] * pools[-1][2] >= pools[-1][3] * pools[-2][2]):
@@ -195,20 +200,28 @@ class Scorer:
             return np.array([0.0, 1.0]), np.array([0.0, 1.0])
         return np.array([x for p in pools for x in p[:2]]), np.array([p[3] / p[2] for p in pools for _ in (0, 1)])
 
+    def scores(self, texts: list[str]) -> list[tuple[float, str]]:
+        """The score of each text and up to three nearest examples as id:label:cosine; equal texts are looked up once."""
+        keys = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
+        out = {k: self.known[k] for k in keys if k in self.known}
+        new = {k: t for k, t in zip(keys, texts) if k not in out}
+        vectors = {k: v for k, v in zip(new, map(self.vectors.counts, new.values())) if len(v[0])}
+        near = self.index.nearest([self.index.weighed(*v, self.index.idf) for v in vectors.values()])
+        out |= dict.fromkeys(new.keys() - vectors.keys(), (float(min(1.0, max(0.0, self.base))), ""))
+        out |= {k: self._told(x) for k, x in zip(vectors, near)}
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        self.known |= {k: out[k] for k in new}
+        return [out[k] for k in keys]
+
+    def _told(self, near: list[tuple[int, float]]) -> tuple[float, str]:
+        raw = self._raw(near)
+        # the raw score breaks ties between equal pools; digits that depend on the order of addition go
+        value = round(0.999 * float(np.interp(raw, self.cuts, self.values)) + 0.001 * raw, 9)
+        return min(1.0, max(0.0, value)), ",".join(f"{self.index.ids[i]}:{int(self.index.labels[i])}:{s:.3f}" for i, s in near[:3])
+
     def score(self, text: str) -> tuple[float, str]:
-        counts = self.vectors.counts(text)
-        if not counts:
-            return float(min(1.0, max(0.0, self.base))), ""
-        key = hashlib.blake2b(np.array(sorted(counts.items()), np.int32).tobytes(), digest_size=16).digest()
-        if key not in self.known:
-            if len(self.known) > KNOWN:
-                self.known.clear()
-            near = self.index.nearest(self.index.weigh(counts, self.index.idf))
-            # the raw score breaks ties between equal pools
-            raw = self._raw(near)
-            value = 0.999 * float(np.interp(raw, self.cuts, self.values)) + 0.001 * raw
-            self.known[key] = (min(1.0, max(0.0, value)), ",".join(f"{self.index.ids[i]}:{int(self.index.labels[i])}:{s:.3f}" for i, s in near[:3]))
-        return self.known[key]
+        return self.scores([text])[0]
 
 
 def fold(doc_id: Column) -> Column:
@@ -230,17 +243,19 @@ def _examples(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
     weight = tuple(totals.get(y, 0) / taken[y] if taken[y] else 1.0 for y in (0, 1))
     sample = docs.sparkSession.createDataFrame(picked, known.schema)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text")).join(F.broadcast(sample), "id")
-    return rows, weight
+    # where an id repeats, the text that hashes lowest
+    rows = rows.groupBy("id").agg(F.min_by(F.struct("label", "text"), F.struct(F.xxhash64("text"), F.col("text"))).alias("r"))
+    return materialise(rows.select("id", "r.label", "r.text"), "examples"), weight
 
 
 def _terms(sample: DataFrame) -> tuple[list[str], int]:
-    """All terms of the sample, first those that go with label 1, by the log-likelihood ratio of their document counts, and how many these are."""
+    """All stems of the sample, first those that go with label 1, by the log-likelihood ratio of their document counts, and how many these are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n[label].update({"", *(t for w in words_of(text) for t in terms_of_word(w))})
+                n[label].update({"", *stems_of(text)})
         terms = sorted(n[0].keys() | n[1].keys())
         yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "n0": pa.array([n[0][t] for t in terms], pa.int64()), "n1": pa.array([n[1][t] for t in terms], pa.int64())})
 
@@ -252,21 +267,21 @@ def _terms(sample: DataFrame) -> tuple[list[str], int]:
     share = (a + b) / (na + nb)
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     ratio = 2 * (part(a, na * share) + part(b, nb * share) + part(na - a, na * (1 - share)) + part(nb - b, nb * (1 - share)))
-    best = counts.filter("term <> ''").withColumn("g", F.round(ratio, 9)).filter((F.col("g") > 15.0) & (b / nb > 4 * a / na) & (b >= 3))
-    marked = [r.term for r in best.orderBy(F.desc("g"), "term").limit(TERMS).collect()]
+    best = counts.filter("term <> ''").withColumn("g", F.round(ratio, 9)).filter((F.col("g") > RATIO) & (b / nb > LIFT * a / na) & (b >= 3))
+    marked = [r.term for r in best.orderBy(F.desc("g"), "term").collect()]
     every = counts.filter("term <> ''").select("term").toArrow().column(0).to_pylist()  # as many as two samples of a fixed size hold
     return marked + sorted(set(every) - set(marked)), len(marked)
 
 
 def _document_counts(docs: DataFrame, terms: list[str], marked: int, text: str) -> tuple[np.ndarray, int]:
     """How many documents of the corpus hold each term, and how many there are."""
-    size = len(terms) + 11
+    size = len(terms) + DENSITIES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, n = Vectors(terms, marked), np.zeros(size + 1, np.int64)
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                n[list(vectors.counts(t))] += 1
+                n[vectors.counts(t)[0]] += 1
             n[size] += batch.num_rows
         yield pa.RecordBatch.from_pydict({"term": pa.array(np.arange(size + 1), pa.int64()), "n": pa.array(n)})
 
@@ -285,21 +300,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     idf = np.log((1 + n) / (1 + df)) + 1
     idf[:marked] *= BOOST
     idf[len(terms) :] *= BOOST
-    vectors = map_rows(sample, lambda: _vector_rows(terms, marked), "id long, label int, terms array<int>, counts array<int>")
-    rows = vectors.dropDuplicates(["id"]).orderBy("id").toArrow()  # at most two samples of a fixed size
-    ids, labels = rows.column("id").to_pylist(), rows.column("label").to_numpy()
-    pairs = [(t.values.to_numpy(), c.values.to_numpy()) for t, c in zip(rows.column("terms"), rows.column("counts"))]
-    return Scorer(Vectors(terms, marked), Index(pairs, idf, labels.astype(int), ids), weight)
-
-
-def _vector_rows(terms: list[str], marked: int):
+    rows = sample.orderBy("id").toArrow()  # two samples of a fixed size
     vectors = Vectors(terms, marked)
-
-    def work(id, text, label):
-        got = [sorted(vectors.counts(t).items()) for t in text]
-        return {"id": id, "label": label, "terms": [[t for t, _ in v] for v in got], "counts": [[n for _, n in v] for v in got]}
-
-    return work
+    index = Index([vectors.counts(t) for t in rows.column("text").to_pylist()], idf, rows.column("label").to_numpy().astype(int), rows.column("id").to_pylist())
+    return Scorer(vectors, index, weight)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
@@ -315,7 +319,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
         scorer = handed.value
 
         def work(doc_id, text):
-            got = [scorer.score(t) for t in text]
+            got = scorer.scores(text)
             return {"doc_id": doc_id, "score": [s for s, _ in got], "evidence": [e for _, e in got]}
 
         return work
@@ -336,6 +340,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
         for whole in batches:
             for lo in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(lo, SLICE)
-                yield batch.filter(pa.array([scorer.score(t or "")[0] < THRESHOLD for t in batch.column(at).to_pylist()], pa.bool_()))
+                got = scorer.scores([t or "" for t in batch.column(at).to_pylist()])
+                yield batch.filter(pa.array([s < THRESHOLD for s, _ in got], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

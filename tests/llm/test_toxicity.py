@@ -1,21 +1,26 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from kestrane.llm import toxicity as tox
 from kestrane.llm.queries import op9_toxicity
 from kestrane.llm.toxicity import Index, fit, toxicity, without_toxic
 
 
-def test_index_is_exact():
+@pytest.mark.parametrize("often", [0.0, 0.09, 2.0])
+def test_index_is_exact(monkeypatch, often):
+    monkeypatch.setattr(tox, "OFTEN", often)  # all terms dense, some, none
     r = np.random.default_rng(4)
     idf = r.uniform(1, 5, 40)
-    vectors = [{int(t): int(n) for t, n in zip(r.choice(40, r.integers(0, 6), False), r.integers(1, 9, 6))} for _ in range(700)]
+    vectors = [(r.choice(40, n, False), r.integers(1, 9, n)) for n in r.integers(0, 6, 700)]
     index = Index(vectors, idf, r.integers(0, 2, 700), list(range(700)))
+    unit = [dict(zip(*map(np.ndarray.tolist, index.row(i)))) for i in range(700)]
     for q in vectors[:200]:
-        v = Index.weigh(q, idf)
-        sims = np.array([sum(x * u.get(t, 0.0) for t, x in v.items()) for u in index.unit])
-        got = index.nearest(v, 7)
+        v = Index.weighed(*q, idf)
+        sims = np.array([sum(x * u.get(t, 0.0) for t, x in zip(*v)) for u in unit])
+        (got,) = index.nearest([v], 7)
         positive = np.sort(sims[sims > 1e-12])[::-1]
         if not len(positive):
             assert got == []
