@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Plausible years; shares of bad values above which a finding is critical.
@@ -12,6 +12,8 @@ YEARS = (1990, 2030)
 CRITICAL_NUMERIC, CRITICAL_NULL = 0.05, 0.10
 DATE_PATTERN = r"^\d{4}-\d{2}(-\d{2})?$"
 FEW_ROWS = 1000
+#: Values shown of a column; parts in which they are looked for.
+SAMPLES, PARTS = 3, 64
 
 
 def _filled(c: str) -> Column:
@@ -46,10 +48,11 @@ def row_count_level(df: DataFrame) -> DataFrame:
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """(col, type, nulls, null_pct, cardinality, least, greatest) of all-text columns.
+    """(col, type, nulls, null_pct, cardinality, least, greatest, samples) of all-text columns.
 
     Rows are first counted by (column, value), combined before the shuffle, so a column's
-    distinct values are exact and need no task that sees them all.
+    distinct values are exact and need no task that sees them all. Samples are its SAMPLES
+    least values, from the least of each of many parts of the values.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.nullif(F.col(c), F.lit("")).alias("v")) for c in df.columns])
     values = df.select(F.inline(pairs)).groupBy("col", "v").agg(F.count("*").alias("n"))
@@ -58,4 +61,8 @@ def column_profile(df: DataFrame) -> DataFrame:
         F.sum("n").alias("rows"), F.sum(F.when(v.isNull(), n).otherwise(0)).alias("nulls"), F.count("v").alias("cardinality"), F.count(v.try_cast("double")).alias("numbers"),
         F.count_if(v.rlike(DATE_PATTERN)).alias("dates"), F.min("v").alias("least"), F.max("v").alias("greatest"))
     kind = F.when(F.col("cardinality") == 0, "empty").when(F.col("numbers") == F.col("cardinality"), "numeric").when(F.col("dates") == F.col("cardinality"), "date").otherwise("string")
-    return stats.select("col", kind.alias("type"), "nulls", F.round(100e0 * F.col("nulls") / F.col("rows"), 1).alias("null_pct"), "cardinality", "least", "greatest")
+    few = values.filter(v.isNotNull()).withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
+    for by in (["col", "part"], ["col"]):
+        few = few.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("v"))).filter(F.col("place") <= SAMPLES)
+    samples = few.groupBy("col").agg(F.array_join(F.array_sort(F.collect_list("v")), "|").alias("samples"))
+    return stats.join(samples, "col", "left").select("col", kind.alias("type"), "nulls", F.round(100e0 * F.col("nulls") / F.col("rows"), 1).alias("null_pct"), "cardinality", "least", "greatest", "samples")

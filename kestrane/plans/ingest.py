@@ -201,7 +201,8 @@ def quality_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_DIRTY_TABLE}, l AS (SELECT unnest(['agno', 'mrun', 'fec_nac_alu', '_source_file']) AS col, unnest([nullif(agno, ''), nullif(mrun, ''), nullif(fec_nac_alu, ''), nullif(_source_file, '')]) AS v FROM dirty)
 SELECT col, CASE WHEN count(v) = 0 THEN 'empty' WHEN count(TRY_CAST(v AS DOUBLE)) = count(v) THEN 'numeric'
        WHEN count(CASE WHEN regexp_full_match(v, '\\d{{4}}-\\d{{2}}(-\\d{{2}})?') THEN 1 END) = count(v) THEN 'date' ELSE 'string' END AS type,
-       count(*) - count(v) AS nulls, (round(100e0 * (count(*) - count(v)) / count(*) + 1e-7, 1) + 0e0) AS null_pct, count(DISTINCT v) AS cardinality, min(v) AS least, max(v) AS greatest
+       count(*) - count(v) AS nulls, (round(100e0 * (count(*) - count(v)) / count(*) + 1e-7, 1) + 0e0) AS null_pct, count(DISTINCT v) AS cardinality, min(v) AS least, max(v) AS greatest,
+       array_to_string(list_sort(list(DISTINCT v))[1:3], '|') AS samples
 FROM l GROUP BY col""")
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_of(_dirty_table(spark, sf_dir))

@@ -61,6 +61,18 @@ def view_marks_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unpivot_marks(wide, len(_SLOTS))
 
 
+ALL_SLOTS = 25
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(slot AS INTEGER) AS slot, v / 10e0 AS nota FROM (
+  SELECT *, (l_partkey * 7 + l_linenumber * 3 + slot * 13) % 71 AS v FROM lineitem, range(1, {ALL_SLOTS + 1}) s(slot)) WHERE v >= 10""")
+def view_marks_long_all_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record sheet's 25 slots of marks as rows, empty ones left out."""
+    raw = lambda i: (F.col("l_partkey") * 7 + F.col("l_linenumber") * 3 + i * 13) % 71
+    wide = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.when(raw(i) >= 10, raw(i) / 10.0).alias(f"nota_{i}") for i in range(1, ALL_SLOTS + 1)])
+    return unpivot_marks(wide, ALL_SLOTS)
+
+
 def unpivot_marks(wide: DataFrame, slots: int) -> DataFrame:
     """nota_1..nota_n to rows (slot, nota)."""
     columns = [f"nota_{i}" for i in range(1, slots + 1)]
