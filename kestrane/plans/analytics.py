@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import confidence, grade_label, in_range
 from ..operators.stats import correlation, outside_share, peer_share, trend
 from .model import (
-    CONFIG, CTE_MARKS, CTE_SCHOOLS, CTE_SCORES, CTE_SERIES, half_up, hundredths, marks, rnd, schools, score_series, scores_wide, sql_confidence, sql_half_up)
+    CONFIG, CTE_MARKS, CTE_SCHOOLS, CTE_SCORES, CTE_SERIES, half_up, hundredths, marks, rnd, schools, score_series, scores_wide, sql_confidence, sql_half_up, stored_fact, stored_facts)
 from .registry import query
 
 KEYS = ["rbd", "grado", "asignatura"]
@@ -134,6 +134,8 @@ def regression_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grade_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rbd, agno, cod_grado, grado, asignatura, prom_notas, tasa_aprobacion, tasa_asistencia, n_alumnos."""
+    if (stored := stored_fact("grades")) is not None:
+        return stored
     m = marks(spark, sf_dir).groupBy("rbd", "agno", "cod_grado", "subsector").agg(
         hundredths("promedio").alias("p"), F.count("promedio").alias("np"), hundredths("asistencia_pct").alias("a"), F.count("asistencia_pct").alias("na"),
         F.count_if(F.col("situacion_final") == "APR").alias("apr"), F.count("situacion_final").alias("ns"), F.countDistinct("alumno_id").alias("n_alumnos"))
@@ -309,13 +311,14 @@ def _family(df: DataFrame, metric: str, source: str, **constant) -> DataFrame:
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every metric of every school in one long table; missing measures are null."""
-    families = [
-        _family(_told_trend(_trends(score_series(spark, sf_dir)), *KEYS, "segmento"), "simce_tendencia", "simce"),
-        _family(percentile_records(spark, sf_dir), "simce_percentil", "simce", confianza="alta", alerta=False),
-        _family(trend_grades(spark, sf_dir), "sige_tendencia", "sige"),
-        _family(cross_gap(spark, sf_dir), "cruce_brecha_interno_simce", "cruce", segmento="current"),
-        _family(cross_correlation(spark, sf_dir), "cruce_correlacion_interno_simce", "cruce", segmento="full", alerta=False)]
+    """Every metric of every school in one long table; missing measures are null. The two facts below are worked out first, and once."""
+    with stored_facts(scores=scores_wide(spark, sf_dir), grades=grade_rows(spark, sf_dir)):
+        families = [
+            _family(_told_trend(_trends(score_series(spark, sf_dir)), *KEYS, "segmento"), "simce_tendencia", "simce"),
+            _family(percentile_records(spark, sf_dir), "simce_percentil", "simce", confianza="alta", alerta=False),
+            _family(trend_grades(spark, sf_dir), "sige_tendencia", "sige"),
+            _family(cross_gap(spark, sf_dir), "cruce_brecha_interno_simce", "cruce", segmento="current"),
+            _family(cross_correlation(spark, sf_dir), "cruce_correlacion_interno_simce", "cruce", segmento="full", alerta=False)]
     return reduce(DataFrame.unionByName, families)
 
 
