@@ -218,6 +218,18 @@ def decompressed(raw: bytes, at: int = 0) -> tuple[bytes, int, bool] | None:
     return (b"".join(out), end, whole) if any(out) else None
 
 
+def inflated(raw: bytes) -> bytes | None:
+    """Deflate data without a header, which nothing but its end at the end of the bytes tells apart; OverflowError beyond MAX_LAYER."""
+    d = zlib.decompressobj(-15)
+    try:
+        out = d.decompress(raw, MAX_LAYER + 1)
+    except zlib.error:
+        return None
+    if len(out) > MAX_LAYER:
+        raise OverflowError
+    return out if d.eof and not d.unused_data else None
+
+
 def _unbase64(run: str) -> bytes | None:
     body = re.sub(r"[\r\n]", "", run).rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
@@ -305,18 +317,33 @@ def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
                 out, end, whole = got
                 at = end if whole else at
                 first = first or not m.start()
-                inner = Layer(out.decode("latin-1"), [0], [(*layer.original(m.start(), end), 0)])
-                key = (hashlib.sha256(out).digest(), *inner.spans[0])
-                if key not in seen:
-                    seen.add(key)
-                    packed.append((inner, out))
+                put(layer, m.start(), end, out)
         return first
 
+    def put(layer: Layer, start: int, end: int, out: bytes) -> None:
+        """Bytes that the layer's from start to end unpack to."""
+        inner = Layer(out.decode("latin-1"), [0], [(*layer.original(start, end), 0)])
+        key = (hashlib.sha256(out).digest(), *inner.spans[0])
+        if key not in seen:
+            seen.add(key)
+            packed.append((inner, out))
+
+    def inflate(layer: Layer, raw: bytes) -> bool:
+        nonlocal oversize
+        try:
+            out = inflated(raw)
+        except OverflowError:
+            oversize += 1
+            return False
+        if out:
+            put(layer, 0, len(raw), out)
+        return bool(out)
+
     def take(layer: Layer, raw: bytes) -> bool:
         """Take up all that the bytes may be; whether they read as text or begin with compressed data."""
         for new in _texts(layer, raw):
             push(new)
-        return unpack(layer, raw) or _plain(raw)
+        return unpack(layer, raw) or _plain(raw) or inflate(layer, raw)
 
     def base64_run(layer: Layer, start: int, run: str) -> bool:
         raw = _unbase64(run)
@@ -350,7 +377,10 @@ def secret_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_layers, n_oversize: one row per row.
 
     The counts and the hash are of the base rules over the text itself; `spans` adds what the
-    unwrapped layers hold. Null text counts as empty: no spans, the hash of nothing.
+    unwrapped layers hold. Null text counts as empty: no spans, the hash of nothing. Null and
+    repeated ids and repeated rows pass through, an empty table gives no rows, and other columns
+    of docs, whatever their names, play no part. Texts of any length are scanned whole; only a
+    layer that unpacks to more than MAX_LAYER bytes is not, and is counted in n_oversize.
     """
 
     def make():

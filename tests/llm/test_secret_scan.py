@@ -1,13 +1,16 @@
 import base64
 import bz2
 import gzip
+import hashlib
 import lzma
+import random
 import re
 import urllib.parse
 import zlib
 
 import zstandard
 
+from kestrane.llm.queries import op1_secret_scans
 from kestrane.llm.secret_scan import all_spans, base_spans, secret_scan
 
 KEY = "AKIA" + "ABCDEFGH01234567"
@@ -91,3 +94,69 @@ def test_bytes_of_any_kind():
             assert "assign" in {k for k, _, _ in got}, (pack, text)
             assert all(6 <= a < b <= len(text) - 4 for _, a, b in got)
     assert found("see " + "".join(f"%{b:02x}" for b in inner.encode("utf-16-le")) + " end")
+
+
+def decoded(text):
+    """(start, end, inner text) of runs of a text that decode as a whole, one step deep; plain and slow."""
+    out = []
+    for m in re.finditer(r"(?:%[0-9A-Fa-f]{2})+", text):
+        out.append((*m.span(), urllib.parse.unquote_to_bytes(m.group())))
+    for m in re.finditer(r"(?:\\u[0-9a-f]{4})+", text):
+        out.append((*m.span(), "".join(chr(int(x, 16)) for x in m.group().split("\\u")[1:]).encode("utf-8", "replace")))
+    for m in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", text):
+        try:
+            out.append((*m.span(), base64.b64decode(m.group(), validate=True)))
+        except ValueError:
+            pass
+    for a, b, raw in out:
+        for unpack in (gzip.decompress, zlib.decompress, bz2.decompress, lzma.decompress, lambda x: zlib.decompress(x, -15), lambda x: zstandard.ZstdDecompressor().decompressobj().decompress(x)):
+            try:
+                yield a, b, unpack(raw).decode("utf-8", "ignore")
+            except Exception:  # noqa: BLE001
+                pass
+        yield a, b, raw.decode("utf-8", "ignore")
+
+
+def kinds(text, deep=6):
+    return {k for k, _, _ in brute(text)} | {k for _, _, t in decoded(text) if deep for k in kinds(t, deep - 1)}
+
+
+def test_query_against_a_recursive_decoder(spark, sf_dir, tmp_path):
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    inner = [f'a note: {x} and on, as long as it takes' for x in ('token="abcdef0123"', KEY, "deadbeef" * 3, "nothing")]
+    coded = [f(x) for x in inner for f in (urllib.parse.quote, lambda x: base64.b64encode(x.encode()).decode(), lambda x: base64.b64encode(gzip.compress(x.encode())).decode(), lambda x: base64.b64encode(base64.b64encode(x.encode())).decode())]
+    made = spark.createDataFrame([(10**6 + i, f"été {x} fin") for i, x in enumerate(coded)], "doc_id long, text string")
+    sf_dir = str(tmp_path)
+    whole.unionByName(made, allowMissingColumns=True).write.parquet(f"{sf_dir}/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    order, deep = ["assign", "access", "hex"], 0
+    for r in op1_secret_scans(spark, sf_dir).collect():
+        base = brute(text[r.doc_id])
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == kind for k, _, _ in base) for kind in order]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)]
+        assert set(base) <= set(spans) and spans == sorted(spans, key=lambda s: (s[1], order.index(s[0]), s[2]))
+        more = [s for s in spans if s not in base]
+        for a, b, inner in decoded(text[r.doc_id]):
+            for k in kinds(inner):
+                deep += 1
+                assert any(s[0] == k and s[1] < b and s[2] > a for s in spans), (r.doc_id, k, a, b)
+        for k, a, b in more:  # nothing is found that is not there
+            assert any(x < b and y > a for x, y, _ in decoded(text[r.doc_id])) or any(x < b and y > a for _, x, y in base) or re.search("%|&|\\\\", text[r.doc_id][a:b])
+    assert deep
+
+
+def test_random_nesting():
+    r = random.Random(11)
+    steps = [
+        lambda x: base64.b64encode(x).decode(), lambda x: "".join(f"%{b:02X}" for b in x), lambda x: base64.b64encode(gzip.compress(x)).decode(), lambda x: base64.b64encode(zlib.compress(x)[2:-4]).decode(),
+        lambda x: base64.b64encode(bz2.compress(x)).decode(), lambda x: base64.b64encode(lzma.compress(x)).decode(), lambda x: base64.b64encode(zstandard.compress(x)).decode(),
+        lambda x: base64.b64encode(gzip.compress(b"first ") + gzip.compress(x)).decode(), lambda x: base64.b64encode(("\u00a0\u200b" + x.decode()).encode()).decode(), lambda x: base64.b64encode(x.decode().encode("utf-16")).decode()]
+    secrets = {"assign": 'password: "hunter2hunter2"', "access": KEY, "hex": "deadbeef" * 4}
+    for _ in range(300):
+        kind = r.choice(list(secrets))
+        code = "text " + secrets[kind] + " more text"
+        for _ in range(r.randrange(1, 5)):
+            code = r.choice(steps)(code.encode())
+        got = found(f"héllo {code} .")
+        assert any(k == kind and 6 <= a < b <= 6 + len(code) for k, a, b in got), (kind, code[:200])
