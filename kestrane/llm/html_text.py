@@ -4,10 +4,10 @@ The markup is cut into blocks (paragraphs, headings, list items, cells). Scripts
 controls and hidden parts give no blocks. Parts that the markup names as something else than
 the article (menus, footers, side bars, notices, adverts, forms, reader comments) are left
 out, unless they hold most of the page's long text dense in stop words, or its articles.
-The first pass looks at each block alone: much of it in links is bad, long text or text
-dense in stop words is good, the rest is undecided. In the second pass undecided short
-blocks take the label of the nearest decided block of the same container. Blocks outside the
-articles of a page that marks some need good blocks of their own.
+The first pass looks at each block alone: much of it in links is bad, long text dense in stop
+words is good, the rest is undecided. In the second pass undecided blocks take the label of
+the nearest decided block; those in an article stay, as only links are bad there. Blocks outside
+the articles of a page that marks some need good blocks of their own.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _NAME = re.compile(r"[a-z]+")
 
 #: Characters from which a block is long; share of stop words; share of characters in links, outside and inside an article.
-LONG, DENSE, LINKED, LINKED_INSIDE = 70, 0.2, 0.33, 0.8
+LONG, DENSE, LINKED, LINKED_INSIDE = 70, 0.2, 0.33, 0.95
 #: Good blocks from which a part is more than a notice.
 BODY = 3
 
@@ -217,17 +217,17 @@ class _Blocks(HTMLParser):
 
 
 def _label(text: str, linked: int, container: int) -> bool | None:
-    """First pass: good, bad or undecided, from the block alone."""
-    size = max(1, len(text.replace(" ", "")))
+    """First pass: good, bad or undecided, from the block alone.
+
+    Links make a block bad, in an article only where nothing else is in it and it does not read
+    as running text. Long text dense in stop words is good. Other text, as figures, names or
+    a language without stop words here, is undecided, however long.
+    """
+    size, words = max(1, len(text.replace(" ", ""))), _WORD.findall(text.lower())
+    running = len(text) >= LONG and sum(w in STOP_WORDS for w in words) >= DENSE * max(1, len(words))
     if linked / size > (LINKED_INSIDE if container else LINKED):
-        return False
-    if container:
-        return True if len(text) >= LONG else None
-    words = _WORD.findall(text.lower())
-    dense = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if len(text) >= LONG:
-        return dense >= DENSE or (None if dense >= DENSE / 2 else False)
-    return False if linked else None
+        return True if container and running else False
+    return True if running else False if linked and not container and len(text) < LONG else None
 
 
 def main_text(markup: str) -> str:
@@ -239,6 +239,8 @@ def main_text(markup: str) -> str:
     blocks = page.kept()
     marked = any(c for *_, c in blocks)  # the page marks its article
     labels = [_label(*b) for b in blocks]
+    if not marked and not any(labels):  # no text known as such: the long blocks are it
+        labels = [True if x is None and len(b[0]) >= LONG else x for x, b in zip(labels, blocks)]
     decided = [i for i, x in enumerate(labels) if x is not None]
     final, k = [], 0
     for i, x in enumerate(labels):
@@ -247,7 +249,8 @@ def main_text(markup: str) -> str:
                 k += 1
             near = [j for j in (*decided[max(0, k - 1) : k], *decided[k : k + 1]) if blocks[j][2] == blocks[i][2]]
             best = min((abs(j - i) for j in near), default=0)
-            x = any(labels[j] for j in near if abs(j - i) == best) if near else bool(blocks[i][2]) or not (decided or marked)
+            # in an article, a link beside a block says nothing about it
+            x = bool(blocks[i][2]) or (any(labels[j] for j in near if abs(j - i) == best) if near else not (decided or marked))
         final.append(x)
     return "\n\n".join(b[0] for b, x in zip(blocks, final) if x)
 
@@ -256,7 +259,9 @@ def html_text(pages: DataFrame, html: str = "html", page_id: str = "page_id", ur
     """page_id, url, text, n_chars: one row per row of pages.
 
     Null or empty markup gives the empty text, as does a page without article blocks;
-    null ids and urls pass through, and plain text without markup is one block.
+    null ids and urls pass through, and plain text without markup is one block. Repeated rows
+    are rows, an empty table gives no rows, pages of any length are read whole, and other
+    columns of pages, whatever their names, play no part.
     """
 
     def make():

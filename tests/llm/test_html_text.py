@@ -72,3 +72,21 @@ def test_text_outside_the_articles():
 
 def test_comments_longer_than_the_article_stay_out():
     assert main_text(f'<div><p>{LONG}</p></div><div id="comments"><p>{LONG}</p><p>{LONG}</p></div>') == LONG
+
+
+def test_nothing_else_is_dropped_from_an_article():
+    item = "<ul><li>see <a>this long link text here</a></li></ul>"
+    assert main_text(f"<article><p>Hello world.</p>{item}<p>Short.</p></article>").split("\n\n") == ["Hello world.", "see this long link text here", "Short."]
+    assert main_text(f"<article><h2>Head</h2><p><a href=x>{LONG}</a></p><p>{LONG}</p></article>").split("\n\n") == ["Head", LONG, LONG]
+    assert main_text("<article><p>Hello.</p><ul><li><a href=y>Share this</a></li></ul><p>Short.</p></article>").split("\n\n") == ["Hello.", "Short."]
+
+
+def test_figures_and_unknown_languages_stay():
+    figures = "11 22 33 44 55.6 " * 9
+    for page in (f"<div><p>{figures}</p></div>", f"<article><p>{figures}</p></article>"):
+        assert main_text(page) == figures.strip()
+    page = f"<div><p>{LONG}</p><table><tr><td>{figures}</td></tr></table><p>{LONG}</p></div>"
+    assert main_text(page).split("\n\n") == [LONG, figures.strip(), LONG]
+    other = "Þetta er texti á máli sem engin orð hér þekkja, og hann er nógu langur til að standa einn og sér."
+    assert main_text(f"<ul><li><a href=x>Heim</a></li></ul><div><p>{other}</p></div><p>{other}</p>").split("\n\n")[-1] == other
+    assert main_text(f"<div><p>{other}</p><p>{other}</p></div>").split("\n\n") == [other, other]
