@@ -103,7 +103,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
     taken: words that the mix takes of the row, epochs counted. Null text has no words; a null
     source is a source; a null or repeated doc_id is drawn by its text as well. An empty table
-    gives no rows. The draw depends on seed, doc_id and text only, so reruns agree.
+    gives no rows. The draw depends on seed, doc_id and text only, so reruns agree; repeated rows
+    have the same key and share what is left at the cut. `weight` replaces `quality`, the default
+    weight of a document. Other columns of docs, whatever their names, play no part.
     """
     drawn = with_draw(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")), seed=seed, weight=weight)
     drawn = materialise(drawn.select("doc_id", "source", F.col("mix_size").alias("size"), F.col("mix_key").alias("key")), "drawn")
@@ -120,7 +122,9 @@ def taken(size: str, key: str) -> Column:
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 17) -> DataFrame:
     """The mix itself: the rows of docs, each as many times as the mix takes it, whole.
 
-    The document in which a source's budget ends is taken if half of it or more fits.
+    Null text has no words and is taken by epochs alone; a null source is a source; repeated
+    rows share a key and are taken alike. An empty table gives no rows. All columns pass, whatever
+    their names. The document in which a source's budget ends is taken if half of it or more fits.
     """
     row = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"))
     drawn = with_draw(row, seed=seed)

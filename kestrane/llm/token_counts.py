@@ -91,7 +91,11 @@ def counter_for(path: str) -> PieceCounter:
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit: one row per row; null text counts as empty (0 tokens)."""
+    """doc_id, n_bytes, n_tokens, over_limit: one row per row; null text counts as empty (0 tokens).
+
+    Null and repeated ids and repeated rows pass through, an empty table gives no rows, texts of
+    any length are counted whole, and other columns of docs, whatever their names, play no part.
+    """
 
     def make():
         counter = counter_for(path)

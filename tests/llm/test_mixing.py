@@ -1,6 +1,9 @@
 import re
+from collections import Counter
 
-from kestrane.llm.mixing import mix, mixed_documents
+from pyspark.sql import functions as F
+
+from kestrane.llm.mixing import mix, mixed_documents, with_draw
 from kestrane.llm.queries import op6_mixing
 
 
@@ -73,3 +76,36 @@ def test_quality_weighs(spark):
     both = docs.unionByName(spark.range(4000, 4600).selectExpr("id as doc_id", "'a' as source", "repeat('w ', 60) as text"))
     got = {r.q: r.n for r in mix(both).filter("source = 's' and taken > size").selectExpr("doc_id % 2 = 0 as q").groupBy("q").count().withColumnRenamed("count", "n").collect()}
     assert got.get(True, 0) > 2 * got.get(False, 0)
+
+
+def brute(docs, drawn):
+    """(doc_id, taken) of the method, source by source; drawn: key of each doc_id."""
+    size = {d: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, _, t in docs}
+    sizes, out = {}, {}
+    for d, s, _ in docs:
+        sizes[s] = sizes.get(s, 0) + size[d]
+    for s, target in targets(sizes).items():
+        epochs = int(target // sizes[s]) if sizes[s] else 0
+        left = int(target - epochs * sizes[s] + 0.5)
+        for d in sorted((d for d, x, _ in docs if x == s), key=lambda d: drawn[d]):
+            part = min(left, size[d])
+            left -= part
+            out[d] = epochs * size[d] + part
+    return out
+
+
+def test_which_documents_are_drawn(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = [(r.doc_id, r.source, r.text) for r in table.collect()]
+    keys = {r.doc_id: r.mix_key for r in with_draw(table).collect()}
+    assert {r.doc_id: r.taken for r in op6_mixing(spark, sf_dir).collect()} == brute(docs, keys)
+
+
+def test_whole_copies_edges(spark, edge_docs):
+    docs = edge_docs.withColumn("source", F.when(F.col("doc_id") > 5, "s"))
+    got = mixed_documents(docs)
+    assert got.columns == docs.columns and mixed_documents(docs.limit(0)).count() == 0
+    assert {r.doc_id for r in got.collect()} <= {r.doc_id for r in docs.collect()}
+    same = spark.createDataFrame([(1, "a", "x y z")] * 4 + [(2, "b", "w " * 50), (None, None, None)], "doc_id long, source string, text string")
+    n = Counter(r.doc_id for r in mixed_documents(same).collect())
+    assert n[1] in (4, 8) and n[2] in (1, 2)  # repeated rows are taken alike
