@@ -3,13 +3,17 @@
 A document's sketch keeps every hash of its five-word shingles that lies below a fixed
 fraction of the hash range. Sketches of any two documents are samples by the same rule, so
 the share of one's hashes that the other has estimates containment however unequal their
-sizes, and the sketch of a union is the union of sketches. A document of fewer than five
-words has its words as its one shingle; a document none of whose hashes lies below the
-threshold keeps its smallest one, so that only documents without words have empty sketches.
+sizes. A document of fewer than five words has its words as its one shingle; a document none
+of whose hashes lies below the threshold keeps its smallest one, so that only documents
+without words have empty sketches. Such a hash shows itself by lying above the threshold, and
+`united` merges sketches with that in mind: the result is the sketch of the union.
 """
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +21,12 @@ from ._common import text_of
 
 WORDS = 5
 FRACTION = 0.25
-#: Ranges of doc_id that are handled apart; their bounds are quantiles.
-RANGES = 1024
+#: Rows of a range of doc_id that is handled apart, on average, and most ranges; their bounds are quantiles.
+ROWS, RANGES = 2048, 1 << 16
+
+
+def _threshold(fraction: float) -> int:
+    return int(-(1 << 63) + fraction * (1 << 64))
 
 
 def with_sketch(df: DataFrame, text: str, out: str, fraction: float = FRACTION, words: int = WORDS) -> DataFrame:
@@ -28,7 +36,7 @@ def with_sketch(df: DataFrame, text: str, out: str, fraction: float = FRACTION,
     Hashes are signed and even over 64 bits. Each step is a column of its own, so that it
     is worked out once.
     """
-    threshold = int(-(1 << 63) + fraction * (1 << 64))
+    threshold = _threshold(fraction)
     w, h, k = (f"{out}_{x}" for x in ("words", "hashes", "kept"))
     last = F.greatest(F.size(w) - (words - 1), F.lit(1))
     runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(F.col(w), i, words)))
@@ -40,6 +48,13 @@ def with_sketch(df: DataFrame, text: str, out: str, fraction: float = FRACTION,
     )
 
 
+def united(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """The sketch of the union of two documents' shingles, from their sketches."""
+    below = F.filter(F.array_union(a, b), lambda x: x < F.lit(_threshold(fraction)))
+    least = F.filter(F.array(F.least(F.array_min(a), F.array_min(b))), lambda x: x.isNotNull())
+    return F.when(F.size(below) > 0, F.array_sort(below)).otherwise(least)
+
+
 def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """df with near_<out>: containment of the smaller sketch in the larger, and jaccard_<out>.
 
@@ -60,45 +75,51 @@ def told(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, carry: list[str], doc_id: str = "doc_id") -> DataFrame:
+def with_next(docs: DataFrame, carry: list[str], doc_id: str = "doc_id", enrich: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """docs with next_<column> for each carried column: those of the next row by descending doc_id.
 
-    After the last comes the first; null ids come last, equal ids by text. Rows are dealt by
-    ranges of doc_id whose bounds are quantiles, and each range also gets the row that follows
-    its last one, so no task sees more than a range. doc_id and text must be columns.
+    After the last comes the first; null ids come last, equal ids by a hash of the text. Rows
+    are dealt by ranges of doc_id whose bounds are quantiles, as many as there are rows for; an
+    id, or the absent one, that holds more than two ranges' rows has ranges of its own, by that
+    hash. Each range also gets the row that follows its last one, so no task sees more than a
+    range; only rows that agree in id and text cannot be parted. doc_id (long) and text must
+    be columns; enrich adds others to the rows once they are dealt, which may be carried too.
     """
-    spark = docs.sparkSession
-    ids = docs.select(F.col(doc_id).alias("id"))
-    quantiles = ids.approxQuantile("id", [i / RANGES for i in range(1, RANGES)], 0.25 / RANGES) if ids.head(1) else []
-    bounds = sorted({int(q) for q in quantiles})
-    # one bound per range at most: a lookup of bounded size
-    place = F.lit(0)
-    if bounds:
-        table = F.array(*[F.lit(b).cast("long") for b in bounds])
-        place = F.coalesce(_rank(F.col(doc_id).cast("long"), bounds, table), F.lit(-1))
-    rows = docs.withColumn("range", place)
-    heads = {r["range"]: r["head"] for r in rows.groupBy("range").agg(F.max(doc_id).alias("head")).collect()}  # as many as ranges
-    order = sorted(heads, reverse=True)
-    if not order:
-        return rows.withColumn("guest", F.lit(0)).select("*", *[F.col(c).alias(f"next_{c}") for c in carry]).drop("range", "guest")
+    spark, i = docs.sparkSession, F.col(doc_id)
+    ids = docs.select(i.alias("id"))
+    n = ids.count()
+    ranges = min(RANGES, -(-n // ROWS))
+    quantiles = ids.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
+    often = ids.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * ROWS).collect()  # at most a half of n / ROWS
+    top = (1 << 63) - 1
+    bounds = sorted({min(int(q), top) for q in quantiles} | {b for r in often if r.id is not None for b in (r.id, min(r.id + 1, top))})
+    place = F.when(i.isNull(), F.lit(-1)).otherwise(_rank(i, bounds))
+    parts = {-1 if r.id is None else bisect.bisect_right(bounds, r.id): -(-r.n // ROWS) for r in often}
+    of = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("range")), F.lit(1)) if parts else F.lit(1)
+    share = F.col("hash") / float(1 << 64) + 0.5
+    rows = docs.withColumn("hash", F.xxhash64("text")).withColumn("range", place).withColumn("part", F.least(F.floor(share * of), of - 1).cast("int"))
+    first = F.min(F.struct(F.bitwise_not(i).alias("d"), F.col("hash").alias("h"))).alias("first")
+    heads = {(r["range"], r["part"]): (r["first"].d, r["first"].h) for r in rows.groupBy("range", "part").agg(first).collect()}  # as many as ranges
+    order = sorted(heads, key=lambda k: (k[0] < 0, -k[0], k[1]))
     # the row that follows a range's last is the first of the next range, after the last range of the first one
-    follow = {heads[b]: a for a, b in zip(order, order[1:] + order[:1])}
-    known = [(int(h), a) for h, a in follow.items() if h is not None]
-    guests = rows.join(F.broadcast(spark.createDataFrame(known, "head long, host int")), F.col(doc_id).cast("long") == F.col("head"))
-    guests = guests.withColumn("range", F.col("host")).drop("head", "host") if known else rows.limit(0)
-    if None in follow:  # the range of null ids: its rows follow by text, its first is the one to pass on
-        guests = guests.unionByName(rows.filter(F.col(doc_id).isNull()).orderBy("text").limit(1).withColumn("range", F.lit(follow[None])))
-    every = rows.withColumn("guest", F.lit(0)).unionByName(guests.withColumn("guest", F.lit(1)))
-    w = Window.partitionBy("range").orderBy("guest", F.col(doc_id).desc_nulls_last(), F.col("text").asc_nulls_first())
+    follow = [(*heads[b], *a) for a, b in zip(order, order[1:] + order[:1])]
+    wanted = F.broadcast(spark.createDataFrame(follow, "d long, h long, host int, host_part int"))
+    guests = rows.join(wanted, F.bitwise_not(i).eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")))
+    guests = guests.withColumn("range", F.col("host")).withColumn("part", F.col("host_part")).drop("d", "h", "host", "host_part").dropDuplicates(["range", "part"])
+    every = enrich(rows.withColumn("guest", F.lit(0))).unionByName(enrich(guests.withColumn("guest", F.lit(1))))
+    w = Window.partitionBy("range", "part").orderBy("guest", i.desc_nulls_last(), "hash", "text")
     out = every.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry])
-    return out.filter("guest = 0").drop("range", "guest")
+    return out.filter("guest = 0").drop("range", "part", "guest", "hash")
 
 
-def _rank(value: Column, bounds: list[int], table: Column) -> Column:
-    """How many bounds are at most the value, by a binary search of the sorted table; -1 for null."""
+def _rank(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most the value, by a binary search of a constant table."""
+    if not bounds:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded once into a constant
     steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
     further = lambda at, step: F.when(F.coalesce(F.try_element_at(table, at + step) <= value, F.lit(False)), at + step).otherwise(at)
-    return F.when(value.isNull(), F.lit(-1)).otherwise(F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), further)).cast("int")
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), further).cast("int")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fraction: float = FRACTION) -> DataFrame:
@@ -106,11 +127,12 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fr
 
     One row per row. The edited text is the text with its last floor(n/2) code points
     replaced by the first as many of the next document's. Null text counts as empty; the
-    sketch of a text without words is empty. One document alone is its own next. An empty
-    table gives no rows.
+    sketch of a text without words is empty. One document alone is its own next. Null and
+    repeated ids and repeated rows are rows, in the order that `with_next` tells. An empty
+    table gives no rows. Other columns of docs, whatever their names, play no part.
     """
-    rows = with_sketch(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")), "text", "sketch", fraction)
-    rows = with_next(rows, ["text", "sketch"])
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    rows = with_next(rows, ["text", "sketch"], enrich=lambda df: with_sketch(df, "text", "sketch", fraction))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("n_chars", F.char_length("text"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("next_text", F.lit(1), half)))
