@@ -1,65 +1,23 @@
-"""Helpers shared by the operators: shared scratch tables and Arrow map functions."""
+"""Helpers shared by the operators: Arrow map functions, and what the contracts call text and white space."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import materialise, shared_path  # noqa: F401  for the operators
+
 #: Fixed value: one run of characters that the contracts call white space.
 WHITE = r"[\x20\x09-\x0D]+"
 
-#: Used only where the session names no shared folder (tests, one machine).
-LOCAL_SCRATCH = "/tmp/checkpoints/kestrane"
-
 #: Rows of a batch that are worked on at a time.
 SLICE = 1000
 
-_runs: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local default."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and spark.sparkContext.master.split("[")[0] != "local":
-        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
-    return (named or LOCAL_SCRATCH).rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
-    root = shared_root(spark)
-    if root not in _runs:
-        _runs[root] = f"{root}/kestrane-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _runs[root])
-    return f"{_runs[root]}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session is already gone  # noqa: BLE001
-        pass
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back.
-
-    Cuts lineage (a lost executor costs a re-read, not a recomputation), and turns
-    what follows into a plain scan, so that adaptive execution can split skewed joins.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def docs_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -75,17 +33,33 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., dict[str, list]]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(lo, SLICE)
-                out = work(**{n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in types], schema=types)
+        for batch in sliced(batches):
+            out = work(**{n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in types], schema=types)
         if close:
             close()
+        tidy()
 
     return df.mapInArrow(run, schema)
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks, and so would their heaps."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def _arrow_schema(schema: str, spark: SparkSession) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -100,3 +74,11 @@ def text_of(col: str = "text") -> "F.Column":
 def text_keys(col: str = "text") -> list["F.Column"]:
     """t1, t2: a 128-bit key of a text; null and the empty text have the same."""
     return [F.xxhash64(F.lit(k), text_of(col)).alias(f"t{k}") for k in (1, 2)]
+
+
+def small_batches(spark: SparkSession, rows: int = SLICE) -> None:
+    """Hand texts to Python workers in smaller batches than the default, which both sides hold outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= rows:
+        spark.conf.set(name, str(rows))

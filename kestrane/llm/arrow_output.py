@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import shared_path, text_of
+from ._common import shared_path, text_of, tidy
 from .pieces import BLANK, MARK, SPACE, Remembered, char_classes, code_points, grouped, single_word
 
 #: Ids of a row, rows of a batch.
@@ -115,10 +115,10 @@ def encoder_for(path: str) -> ByteEncoder:
 
 
 def filesystem(uri: str):
-    """The Arrow file system of a Hadoop-style URI, and the path in it."""
+    """The Arrow file system of a Hadoop-style URI, and the path in it; Hadoop's names of the object stores are Arrow's with a letter more."""
     from pyarrow import fs
 
-    uri = re.sub(r"^file:/+", "/", uri)
+    uri = re.sub(r"^file:/+", "/", re.sub(r"^s3[an]:", "s3:", re.sub(r"^wasbs?:", "abfs:", uri)))
     return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
 
 
@@ -172,7 +172,8 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
     A shard is written under a name of its attempt and then renamed, so a task that is
     run again leaves the same files.
     """
-    ordered = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("hash", F.xxhash64("text"))
+    ordered = texts.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -201,6 +202,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
             out.close()
         for kind in ("ids", "docs"):
             fs.move(name(kind, mark), name(kind))
+        tidy()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_ids": pa.array([out.total], pa.int64()), "n_docs": pa.array([n_docs], pa.int64())})
 
     return ordered.mapInArrow(write, "shard int, n_ids long, n_docs long")
@@ -263,8 +265,10 @@ class Places:
 def token_id_output(docs: DataFrame, path: str, folder: str | None = None, **options) -> DataFrame:
     """Write the shards, then give doc_id, start, n_tokens, ids_crc32 as read back.
 
-    Rows are in ascending order of doc_id, nulls first, equal ids by text; a null text
-    counts as empty and has the end id alone. An empty table gives no rows.
+    Rows are in ascending order of doc_id, nulls first, equal ids by a hash of the text, so that
+    an id with many rows spreads over shards; a null text counts as empty and has the end id
+    alone. Repeated rows are rows, an empty table gives no rows, texts of any length are encoded
+    whole, and other columns of docs, whatever their names, play no part.
     """
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "token-ids")

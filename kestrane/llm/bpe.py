@@ -3,8 +3,9 @@
 Two bytes that are adjacent inside no vocabulary token can never be merged, so between them
 lies a certain cut. `ForcedCuts` reads the adjacent byte pairs off the vocabulary and cuts
 every text wherever a pair of it is absent from that table. A cut at a border of the
-tokenizer's words ends a word there; at a cut inside a word the left fragment is encoded
-without the end-of-word mark. Fragments are encoded independently by the tokenizers library,
+tokenizer's words ends a word there; at a cut inside a word the left fragment has no
+end-of-word mark: it is encoded with the sign after the cut, whose own ids are taken off again.
+Fragments are encoded independently by the tokenizers library,
 each distinct one once while it is remembered, and their ids are concatenated.
 
 The table of pairs covers code points below LIMIT, whose lower case and class are single and
@@ -16,7 +17,6 @@ borders of words only.
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 
 import numpy as np
@@ -24,11 +24,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ._common import map_rows, text_of
+from ._common import map_rows, text_of, tidy
 from .pieces import DIGIT, FAR, LIMIT, SPACE, Remembered, char_classes, code_points, grouped, single_word
 
-#: Code points of the texts that are split at a time; bytes of ids that are decoded at a time.
-GROUP, PART = 1 << 18, 1 << 22
+#: Code points of the texts that are split at a time; bytes of ids that are decoded at a time; fragments of a generation.
+GROUP, PART, REMEMBERED = 1 << 17, 1 << 20, 60_000
 
 _loaded: dict[str, "ForcedCuts"] = {}
 
@@ -58,25 +58,20 @@ class ForcedCuts:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        suffix = spec["model"].get("end_of_word_suffix") or ""
-        special = [x["content"] for x in spec["added_tokens"]]
-        pairs = token_pairs([t for t in spec["model"]["vocab"] if t not in special], suffix)
-        spaced = any(b in p for p in pairs for b in b" \t\n\v\f\r")
-        if not suffix or spaced or spec["decoder"] is not None or any(not s.startswith("<|") or " " in s for s in special):
-            raise ValueError("this vocabulary has no ends of words, joins tokens across spaces, or decodes across tokens")
         self.tokenizer = Tokenizer.from_file(path)
-        spec["model"]["end_of_word_suffix"] = None
-        self.unended = Tokenizer.from_str(json.dumps(spec))
-        for t in (self.tokenizer, self.unended):
-            t.no_truncation()
-            t.no_padding()
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.suffix = self.tokenizer.model.end_of_word_suffix or ""
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         tokens = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        pairs = token_pairs((t for t in tokens if t not in special), self.suffix)
+        spaced = any(b in p for p in pairs for b in b" \t\n\v\f\r")
+        if not self.suffix or spaced or self.tokenizer.decoder is not None or any(not s.startswith("<|") or " " in s for s in special):
+            raise ValueError("this vocabulary has no ends of words, joins tokens across spaces, or decodes across tokens")
         self.tokens = pa.array(tokens, pa.string()).cast(pa.binary())
-        self.ends = np.array([t.endswith(suffix) for t in tokens])
+        self.ends = np.array([t.endswith(self.suffix) for t in tokens])
         self._table(pairs)
-        self.known = Remembered(self._encode)
+        self.known = Remembered(self._encode, REMEMBERED)
 
     def _table(self, pairs: set[tuple[int, int]]) -> None:
         """cut[c, d]: 1 for a cut between c and d at a border of words, 2 inside a word, 3 for a border without a cut."""
@@ -96,7 +91,7 @@ class ForcedCuts:
         self.cut = cut.ravel()
 
     def fragments(self, text: str) -> tuple[list[str], np.ndarray]:
-        """The fragments of a text and the places where they start; a space at the end of one says that its word goes on."""
+        """The fragments of a text and the places where they start; one whose word goes on has the sign after the cut and a space at its end."""
         raw = code_points(text)
         if not len(raw):
             return [], np.zeros(0, np.int64)
@@ -128,7 +123,7 @@ class ForcedCuts:
         out = [lowered[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
         inside = np.append(cut == 2, False)
         for i in np.flatnonzero(inside[ends - 1]).tolist():
-            out[i] += " "
+            out[i] += lowered[ends[i]] + " "
         return out, starts
 
     def _encode(self, fragments: list[str]) -> dict[str, bytes]:
@@ -141,11 +136,19 @@ class ForcedCuts:
             flat = ids.tobytes()
             out = {w: flat[a:b] for w, a, b in zip(words, [0, *after[:-1].tolist()], after.tolist(), strict=True)}
         rest = [f for f in fragments if f not in out]
-        for tokenizer, some in ((self.tokenizer, [f for f in rest if f[-1] != " "]), (self.unended, [f for f in rest if f[-1] == " "])):
-            for f, got in zip(some, tokenizer.encode_batch_fast([f.rstrip(" ") for f in some], add_special_tokens=False)):
-                out[f] = np.array(got.ids, "<u4").tobytes()
+        self._single([f for f in rest if f[-1] != " "], out)
+        self._single(sorted({f[-2] for f in rest if f[-1] == " "} - out.keys()), out)
+        whole: dict[str, bytes] = {}
+        self._single([f[:-1] for f in rest if f[-1] == " "], whole)
+        for f in rest:
+            if f[-1] == " ":  # the sign after the cut ends the word; its own ids go
+                out[f] = whole[f[:-1]].removesuffix(out[f[-2]])
         return out
 
+    def _single(self, fragments: list[str], out: dict[str, bytes]) -> None:
+        for f, got in zip(fragments, self.tokenizer.encode_batch_fast(fragments, add_special_tokens=False)):
+            out[f] = np.array(got.ids, "<u4").tobytes()
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
         out = []
@@ -182,12 +185,12 @@ class ForcedCuts:
 def forget() -> None:
     """Let go of the tokenizer and of the pieces it remembers."""
     _loaded.clear()
-    pa.default_memory_pool().release_unused()
 
 
 def cuts_for(path: str) -> ForcedCuts:
     if path not in _loaded:
         _loaded[path] = ForcedCuts(path)
+        tidy()  # what the vocabulary took to read
     return _loaded[path]
 
 

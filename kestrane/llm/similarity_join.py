@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, text_keys, text_of
+from ._common import materialise, sliced, text_keys, text_of, tidy
 
 WORDS, THRESHOLD = 5, 0.8
 #: MinHash values in all and in a band: a pair at 0.8 misses all 32 bands with a chance of 3e-6.
@@ -155,7 +155,7 @@ def nodes_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             node, n, values = [], [], []
             for t in batch.column(3).to_pylist():
                 sh = shingles(t)
@@ -164,6 +164,7 @@ def nodes_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
                 values.append(minhash(sh).tobytes())
             _words.clear()
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node, pa.binary()), pa.array(n, pa.int32()), pa.array(values, pa.binary())], names=["doc_id", "t1", "t2", "node", "n_shingles", "values"])
+        tidy()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *text_keys(text), text_of(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, t1 long, t2 long, node binary, n_shingles int, values binary")
@@ -211,6 +212,8 @@ def _over_groups(rows: DataFrame, work: Callable[[pa.Table, np.ndarray], pa.Reco
             held.append(batch.slice(new[-1]) if new else batch)
         if held:
             yield told(held)
+        held = []
+        tidy()
 
     return rows.mapInArrow(run, schema)
 
@@ -290,10 +293,12 @@ def _with_shingles(docs: DataFrame, members: DataFrame, text: str, doc_id: str)
     members: doc_id, node. The texts are read again and only those asked for are kept.
     """
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
             sh = [shingles(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sh], pa.binary()), pa.array([s.tobytes() for s in sh], pa.binary())], names=["node", "sh"])
+        _words.clear()
+        tidy()
 
     wanted = members.select(F.col("doc_id").alias("wanted")).distinct()
     wanted = F.broadcast(wanted) if members.count() <= BROADCAST_NODES else wanted

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SLICE, map_rows, materialise, text_of
+from ._common import SLICE, map_rows, materialise, sliced, text_of, tidy
 
 #: Labelled rows in the sample, of each label; neighbours; examples in a block.
 EXAMPLES, NEIGHBOURS, BLOCK = 1000, 15, 64
@@ -279,10 +279,11 @@ def _document_counts(docs: DataFrame, terms: list[str], marked: int, text: str)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, n = Vectors(terms, marked), np.zeros(size + 1, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for t in batch.column(0).to_pylist():
                 n[vectors.counts(t)[0]] += 1
             n[size] += batch.num_rows
+        tidy()
         yield pa.RecordBatch.from_pydict({"term": pa.array(np.arange(size + 1), pa.int64()), "n": pa.array(n)})
 
     got = docs.select(text_of(text).alias("text")).mapInArrow(count, "term long, n long").filter("n > 0").groupBy("term").agg(F.sum("n").alias("n"))
@@ -310,8 +311,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     """doc_id, held_out, score, predicted, evidence: one row per row of docs.
 
     evidence: up to three nearest examples as doc_id:label:cosine. Only the text is scored.
-    Null text counts as empty; a text without any term of the examples has
-    the share of label 1 among the examples without terms. Without labels every score is 0. Null and repeated ids pass through.
+    Null text counts as empty; a text without any term of the examples has the share of label 1
+    among the examples without terms. Without labels every score is 0. Null and repeated ids and
+    repeated rows pass through, an empty table gives no rows, texts of any length are scored
+    whole, and other columns of docs and labels, whatever their names, play no part. Labels
+    without an id or a value teach nothing; an id with several labels has the greatest.
     """
     handed = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, doc_id, text, label))  # bounded: the words of two samples
 
@@ -325,22 +329,26 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
         return work
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    out = map_rows(rows, make, "doc_id long, score double, evidence string")
+    out = map_rows(rows, make, "doc_id long, score double, evidence string", lambda: handed.value.known.clear())
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """The rows of docs that score below THRESHOLD."""
+    """The rows of docs that score below THRESHOLD, with all their columns, whatever their names.
+
+    Null text counts as empty; null and repeated ids and repeated rows are judged by their text.
+    Without labels all rows stay. An empty table gives no rows.
+    """
     handed = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, doc_id, text, label))
 
     at = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = handed.value
-        for whole in batches:
-            for lo in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(lo, SLICE)
-                got = scorer.scores([t or "" for t in batch.column(at).to_pylist()])
-                yield batch.filter(pa.array([s < THRESHOLD for s, _ in got], pa.bool_()))
+        for batch in sliced(batches):
+            got = scorer.scores([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array([s < THRESHOLD for s, _ in got], pa.bool_()))
+        scorer.known.clear()
+        tidy()
 
     return docs.mapInArrow(keep, docs.schema)

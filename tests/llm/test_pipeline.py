@@ -2,6 +2,8 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from kestrane.llm import filters
 from kestrane.llm.toxicity import fit
 
@@ -64,3 +66,14 @@ def test_rows_that_share_an_id(spark):
     for f in (filters.without_near_copies, filters.without_exact_copies):
         assert [(r.doc_id, r.text) for r in f(repeats).collect()] == [(3, "one two three")]
         assert f(repeats).collect() == f(repeats).collect()
+
+
+def test_the_pipeline_on_edges(spark, edge_docs, tmp_path):
+    docs = edge_docs.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.when(F.col("doc_id") > 3, "s").alias("source"), F.length("text").cast("long").alias("n_chars"), "kept", F.col("rid").alias("row"))
+    for name, rows in (("some", docs), ("none", docs.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, i % 2, 0) for i in range(9)] + [(None, 0, 1), (7, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    n = Counter(r.doc_id for r in got)
+    assert {1, 10, 11} & set(n) and 2 not in n and max(n.values()) <= 2 and all(r.n_tokens * 4 == len(r.ids) for r in got)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

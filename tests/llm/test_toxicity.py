@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -72,3 +75,54 @@ def test_a_copy_of_an_example_in_plain_words_is_found(spark, edge_docs):
     for i in ids:
         score, evidence = scorer.score(texts[i][1] + " more")
         assert evidence.startswith(f"{i}:1:") and score > scorer.score("shared plain words")[0]
+
+
+def test_scores_against_brute_force(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    scorer, text = fit(docs, labels), {r.doc_id: r.text or "" for r in docs.collect()}
+    index, terms = scorer.index, scorer.vectors.terms
+    stem = lambda t: [w[: tox.STEM] for w in re.findall(r"[^\W\d_]+", t.lower())]
+    held = {w: sum(w in set(stem(t)) for t in text.values()) for w in list(terms)[:50]}
+    assert all(abs(index.idf[terms[w]] / (tox.BOOST if terms[w] < scorer.vectors.marked else 1) - (np.log((1 + len(text)) / (1 + n)) + 1)) < 1e-9 for w, n in held.items())
+    assert set(index.ids) == {r.doc_id for r in labels.collect() if r.doc_id in text and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    assert set(terms) == {s for i in index.ids for s in stem(text[i])}
+
+    def vector(t):
+        words = Counter(stem(t))
+        v = {terms[w]: 1 + math.log(n) for w, n in words.items() if w in terms}
+        hits = sum(n for w, n in words.items() if terms.get(w, 10**9) < scorer.vectors.marked)
+        if hits:
+            v[len(terms) + int(math.log2(1 + 1023 * hits / words.total()))] = 1.0
+        v = {k: x * index.idf[k] for k, x in v.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {k: x / norm for k, x in v.items()}
+
+    examples = [vector(text[i]) for i in index.ids]
+    for r in toxicity(docs, labels).collect():
+        v = vector(text[r.doc_id])
+        sims = np.array([sum(x * e.get(k, 0.0) for k, x in v.items()) for e in examples])
+        kth = np.sort(sims)[-tox.NEIGHBOURS] if len(sims) >= tox.NEIGHBOURS else 0
+        near = [i for i in range(len(sims)) if sims[i] >= max(kth - 1e-9, 1e-12)]
+        w = [(sims[i] ** 2 * scorer.class_weight[int(index.labels[i])], index.labels[i]) for i in near]
+        prior = min(scorer.class_weight)
+        raw = (sum(x for x, y in w if y) + prior * scorer.base) / (sum(x for x, _ in w) + prior)
+        want = 0.999 * np.interp(raw, scorer.cuts, scorer.values) + 0.001 * raw if v else scorer.base
+        assert abs(r.score - want) < 1e-6, r.doc_id
+        if v and r.evidence:
+            assert float(r.evidence.split(",")[0].split(":")[2]) == round(float(sims.max()), 3)
+
+
+def test_without_toxic_edges(spark, edge_docs, no_docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    scores = toxicity(edge_docs, labels).collect()
+    kept = without_toxic(edge_docs, labels)
+    assert kept.columns == edge_docs.columns and kept.count() == sum(r.score < tox.THRESHOLD for r in scores)
+    assert without_toxic(no_docs, labels).count() == 0
+
+
+def test_repeated_ids_give_the_same_scorer(spark):
+    rows = [(i % 40, f"plain words of {i} kind{i % 7}") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(40)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (sorted(map(tuple, toxicity(d, labels).collect())) for d in (docs, docs.repartition(7)))
+    assert a == b
