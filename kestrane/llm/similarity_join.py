@@ -315,6 +315,8 @@ def exact_links(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold:
     sizes = np.array([len(s) for s in sets])
     ok = np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9
     i, j = i[ok], j[ok]
+    if not len(i):
+        return i, j
     rows, cols = np.unique(i), np.unique(j)
     if len(i) < 4 * (len(rows) + len(cols)) or len(i) < len(rows) * len(cols) // 8:
         both = np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in zip(i.tolist(), j.tolist())], float)

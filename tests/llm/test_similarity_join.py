@@ -113,6 +113,13 @@ def test_both_ways_of_counting_agree():
     assert sj._common_counts(a, a[:7]).tolist() == [[float(len(np.intersect1d(x, y))) for y in a[:7]] for x in a]
 
 
+def test_pairs_of_unlike_sizes_have_no_links():
+    sets = [np.arange(n, dtype=np.uint64) for n in (10, 100, 100)]
+    assert [x.tolist() for x in sj.exact_links(sets, np.array([0, 0]), np.array([1, 2]))] == [[], []]
+    assert [x.tolist() for x in sj.exact_links(sets, np.array([], int), np.array([], int))] == [[], []]
+    assert [x.tolist() for x in sj.exact_links(sets, np.array([0, 1]), np.array([1, 2]))] == [[1], [2]]
+
+
 def test_edges(edge_docs, no_docs):
     docs = [(r.doc_id, r.text) for r in edge_docs.collect()]
     assert sorted(map(tuple, sj.near_duplicates(edge_docs).collect()), key=repr) == brute(docs)
