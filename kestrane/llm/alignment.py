@@ -43,8 +43,8 @@ def group_sizes(a_ends: np.ndarray, b_ends: np.ndarray, size: int) -> tuple[np.n
     labels[a_ends - 1] = 1
     labels[b_ends - 1] += 2
     spans = _SPAN.findall((labels + 48).tobytes().translate(None, b"0"))
-    kinds = {s: (s.count(b"1") + 1, s.count(b"2") + 1) for s in set(spans)}
-    return tuple(np.fromiter((x[i] for x in map(kinds.__getitem__, spans)), np.int64, len(spans)) for i in (0, 1))
+    kinds = set(spans)
+    return tuple(np.fromiter(map({s: s.count(k) + 1 for s in kinds}.__getitem__, spans), np.int64, len(spans)) for k in (b"1", b"2"))
 
 
 class Aligner:
@@ -70,16 +70,23 @@ class Aligner:
         got_a = [np.frombuffer(x, self.a.dtype).astype(np.int64) for x in self.a.encode_batch([" " + t for t in texts])]
         short = [i for i, t in enumerate(texts) if len(t) <= self.b.chunk]
         got_b = dict(zip(short, self.b.model.encode([texts[i] for i in short], num_threads=1)))
-        out = []
-        for i, (text, a) in enumerate(zip(texts, got_a)):
-            b = np.array(got_b[i], np.int64) if i in got_b else self.b.pieces(text)
-            whole = b" " + text.encode()
-            same = text and all(self._joined(k, x) == whole for k, x in enumerate((a, b)))
-            out.append((a, b) if same else (a[:0], b[:0]))
+        got_b = [np.array(got_b[i], np.int64) if i in got_b else self.b.pieces(t) for i, t in enumerate(texts)]
+        whole = [b" " + t.encode() if t else b"" for t in texts]
+        same = self._told(0, got_a, whole) & self._told(1, got_b, whole)
+        return [(a, b) if held else (a[:0], b[:0]) for a, b, held in zip(got_a, got_b, same)]
+
+    def _told(self, k: int, ids: list[np.ndarray], whole: list[bytes]) -> np.ndarray:
+        """Whether the ids of each text stand for these bytes, and it has any."""
+        sizes = np.array([len(w) for w in whole], np.int64)
+        ends = np.append(0, np.cumsum(self.width[k][np.concatenate([np.zeros(0, np.int64), *ids])]))[np.cumsum([0] + [len(x) for x in ids])]
+        out = (np.diff(ends) == sizes) & (sizes > 0)
+        own = np.flatnonzero(out).tolist()
+        if own and self._joined(k, np.concatenate([ids[i] for i in own])) != b"".join([whole[i] for i in own]):
+            out[own] = [self._joined(k, ids[i]) == whole[i] for i in own]
         return out
 
     def _joined(self, k: int, ids: np.ndarray) -> bytes:
-        return b"".join(self.bytes[k].take(pa.array(ids)).to_pylist())
+        return b"".join(_text_of(self.bytes[k].take(pa.array(ids[lo : lo + PAIRS]))) for lo in range(0, len(ids), PAIRS))
 
     def groups(self, ids: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
         """Ids of all texts and sizes of all groups, and how many groups are before each text."""
@@ -156,8 +163,8 @@ class Aligner:
         }
 
 
-def _text_of(words: pa.StringArray) -> bytes:
-    """All strings of the array, one after the other."""
+def _text_of(words: pa.StringArray | pa.BinaryArray) -> bytes:
+    """All values of the array, one after the other."""
     offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
     return words.buffers()[2][int(offsets[0]) : int(offsets[-1])].to_pybytes()
 
