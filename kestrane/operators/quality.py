@@ -12,6 +12,8 @@ YEARS = (1990, 2030)
 CRITICAL_NUMERIC, CRITICAL_NULL = 0.05, 0.10
 DATE_PATTERN = r"^\d{4}-\d{2}(-\d{2})?$"
 FEW_ROWS = 1000
+#: Rows that a sampled report looks at.
+SAMPLE_ROWS = 200_000
 #: Values shown of a column; parts in which they are looked for.
 SAMPLES, PARTS = 3, 64
 
@@ -66,3 +68,34 @@ def column_profile(df: DataFrame) -> DataFrame:
         few = few.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("v"))).filter(F.col("place") <= SAMPLES)
     samples = few.groupBy("col").agg(F.array_join(F.array_sort(F.collect_list("v")), "|").alias("samples"))
     return stats.join(samples, "col", "left").select("col", kind.alias("type"), "nulls", F.round(100e0 * F.col("nulls") / F.col("rows"), 1).alias("null_pct"), "cardinality", "least", "greatest", "samples")
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a row's values; nulls and empty texts are alike."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]))
+
+
+def bottom_rows(df: DataFrame, n: int, total: int | None = None) -> DataFrame:
+    """The n rows with the least hashes, the same ones at every run; all rows if there are no more.
+
+    Only rows below a bound on the hash, under which about n rows are expected, come to the sort;
+    the bound is widened while it holds fewer. `total`: the rows of df, if known.
+    """
+    total = df.count() if total is None else total
+    rows, share = df.withColumn("__hash", row_hash(df)), (n + 10 * n**0.5 + 10) / max(1, total)
+    while share < 1:
+        below = rows.filter(F.col("__hash") < f"{int(share * 16**8):08x}")
+        if below.count() >= n:
+            rows = below
+            break
+        share *= 2
+    return rows.orderBy("__hash").limit(n).drop("__hash")
+
+
+def sampled_counters(df: DataFrame, rows: int = SAMPLE_ROWS, **rules) -> DataFrame:
+    """`value_counters` of a sample of rows, with a row that tells the sample: how many rows, and their share of all in percent."""
+    total = df.count()
+    found = value_counters(bottom_rows(df, rows, total), **rules)
+    size = min(rows, total)
+    told = df.sparkSession.createDataFrame([("INFO", "SAMPLE", size, round(100 * size / max(1, total), 4))], "level string, code string, n long, pct double")
+    return told.unionByName(found)

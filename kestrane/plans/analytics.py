@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import confidence, grade_label, in_range
 from ..operators.stats import correlation, outside_share, peer_share, trend
 from .model import (
-    CONFIG, CTE_MARKS, CTE_SCHOOLS, CTE_SCORES, CTE_SERIES, half_up, hundredths, marks, rnd, schools, score_series, scores_wide, sql_confidence, sql_half_up, stored_fact, stored_facts)
+    CONFIG, CTE_MARKS, CTE_SCHOOLS, CTE_SCORES, CTE_SERIES, half_up, hundredths, marks, rnd, schools, score_series, scores_wide, sql_confidence, sql_half_up)
 from .registry import query
 
 KEYS = ["rbd", "grado", "asignatura"]
@@ -134,8 +134,6 @@ def regression_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grade_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rbd, agno, cod_grado, grado, asignatura, prom_notas, tasa_aprobacion, tasa_asistencia, n_alumnos."""
-    if (stored := stored_fact("grades")) is not None:
-        return stored
     m = marks(spark, sf_dir).groupBy("rbd", "agno", "cod_grado", "subsector").agg(
         hundredths("promedio").alias("p"), F.count("promedio").alias("np"), hundredths("asistencia_pct").alias("a"), F.count("asistencia_pct").alias("na"),
         F.count_if(F.col("situacion_final") == "APR").alias("apr"), F.count("situacion_final").alias("ns"), F.countDistinct("alumno_id").alias("n_alumnos"))
@@ -297,6 +295,15 @@ def cross_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cross(spark, sf_dir).filter(F.col("n_puntos") >= CONFIG.min_points_corr).select("rbd", "agno", "grado", "asignatura", rnd("r", 4).alias("valor_real"), "n_puntos", confidence(F.col("n_puntos")).alias("confianza"))
 
 
+def _cross_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of `cross_gap` and `cross_correlation` from one pass over the pairs."""
+    row = lambda metric, segment, value, alert: F.struct(F.lit(metric).alias("metrica"), F.lit(segment).alias("segmento"), value.alias("valor_real"), alert.alias("alerta"))
+    both = F.array(row("cruce_brecha_interno_simce", "current", rnd("brecha", 2), F.abs("brecha") > CONFIG.gap_alert),
+                   F.when(F.col("n_puntos") >= CONFIG.min_points_corr, row("cruce_correlacion_interno_simce", "full", rnd("r", 4), F.lit(False))))
+    rows = _cross(spark, sf_dir).select("rbd", "agno", "grado", "asignatura", "n_puntos", confidence(F.col("n_puntos")).alias("confianza"), F.explode(F.filter(both, lambda x: x.isNotNull())).alias("m"))
+    return rows.select("rbd", "agno", "grado", "asignatura", "n_puntos", "confianza", "m.*")
+
+
 # All metrics --------------------------------------------------------------------------------
 
 METRIC_COLUMNS = {
@@ -305,20 +312,19 @@ METRIC_COLUMNS = {
     "percentil_gse": "double", "percentil_comuna": "double", "alerta": "boolean", "n_puntos": "bigint", "confianza": "string"}
 
 
-def _family(df: DataFrame, metric: str, source: str, **constant) -> DataFrame:
-    fixed = {"metrica": metric, "fuente": source} | constant
+def _family(df: DataFrame, metric: str | None, source: str, **constant) -> DataFrame:
+    """Rows of one source in the columns of all metrics; without a metric's name df tells it."""
+    fixed = {"fuente": source} | ({"metrica": metric} if metric else {}) | constant
     return df.select(*[(F.lit(fixed[c]) if c in fixed else F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in METRIC_COLUMNS.items()])
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every metric of every school in one long table; missing measures are null. The two facts below are worked out first, and once."""
-    with stored_facts(scores=scores_wide(spark, sf_dir), grades=grade_rows(spark, sf_dir)):
-        families = [
-            _family(_told_trend(_trends(score_series(spark, sf_dir)), *KEYS, "segmento"), "simce_tendencia", "simce"),
-            _family(percentile_records(spark, sf_dir), "simce_percentil", "simce", confianza="alta", alerta=False),
-            _family(trend_grades(spark, sf_dir), "sige_tendencia", "sige"),
-            _family(cross_gap(spark, sf_dir), "cruce_brecha_interno_simce", "cruce", segmento="current"),
-            _family(cross_correlation(spark, sf_dir), "cruce_correlacion_interno_simce", "cruce", segmento="full", alerta=False)]
+    """Every metric of every school in one long table; missing measures are null. A plan, of which nothing runs before it is read."""
+    families = [
+        _family(_told_trend(_trends(score_series(spark, sf_dir)), *KEYS, "segmento"), "simce_tendencia", "simce"),
+        _family(percentile_records(spark, sf_dir), "simce_percentil", "simce", confianza="alta", alerta=False),
+        _family(trend_grades(spark, sf_dir), "sige_tendencia", "sige"),
+        _family(_cross_measures(spark, sf_dir), None, "cruce")]
     return reduce(DataFrame.unionByName, families)
 
 

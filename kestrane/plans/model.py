@@ -7,16 +7,12 @@ and line items with their orders and parts for course marks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import grade_label
-from ..scratch import materialise
 from ..tables import table
 
 
@@ -75,8 +71,6 @@ def scores_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    if (stored := stored_fact("scores")) is not None:
-        return stored
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     price = cents(F.col("l_extendedprice"))
     aggs = [F.count("*").alias("n_rows")]
@@ -91,27 +85,6 @@ def scores_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.col(f"n_eval_{s}").alias(f"n_eval_{s}") for s, _ in SUBJECT_OF_FLAG], *[f"cents_{s}" for s, _ in SUBJECT_OF_FLAG])
 
 
-#: Facts that the plans built just now take from stored tables.
-_FACTS: ContextVar[dict[str, DataFrame]] = ContextVar("facts", default={})
-
-
-@contextmanager
-def stored_facts(**facts: DataFrame) -> Iterator[None]:
-    """Work the facts out once, as tables in the shared folder: plans built inside read them from there.
-
-    Many measures over one fact would each aggregate the rows below it again.
-    """
-    token = _FACTS.set({name: materialise(df, name) for name, df in facts.items()})
-    try:
-        yield
-    finally:
-        _FACTS.reset(token)
-
-
-def stored_fact(name: str) -> DataFrame | None:
-    return _FACTS.get().get(name)
-
-
 def score_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score fact in long form: rbd, agno, cod_grado, grado, gse, asignatura, puntaje, n_evaluados; no null scores."""
     parts = ", ".join(f"'{s}', ptje_{s}, n_eval_{s}" for s, _ in SUBJECT_OF_FLAG)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import norm_rbd
 from ..functions.labels import GRADES, SUBJECTS, fixed, lookup
+from ..scratch import shared_path
 from .analytics import (
     _GRADE_TREND_CTE, _MELT_SQL, _SEGMENTS, _TREND_COLUMNS, CTE_METRICS, KEYS, METRIC_COLUMNS, _sql_trend, _told_trend, _trends, grade_series, metrics, score_series_melt, trend_grades)
 from .model import CTE_SERIES, rnd, score_series
@@ -65,6 +66,26 @@ def active_alerts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return active_alerts(spark, sf_dir, None)
 
 
+@query(f"WITH {CTE_METRICS} SELECT {_SQL_ROUNDED}, count(*) FILTER (WHERE alerta) OVER (PARTITION BY rbd) AS n_alertas FROM metrics")
+def metrics_stored_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`metrics_by_school_all` from the stored table of all metrics, worked out once."""
+    return metrics_by_school(spark, sf_dir, None, stored=_stored(spark, sf_dir))
+
+
+@query(f"WITH {CTE_METRICS} SELECT {_SQL_ROUNDED} FROM metrics WHERE alerta")
+def alerts_stored_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`active_alerts_all` from the stored table of all metrics."""
+    return active_alerts(spark, sf_dir, None, stored=_stored(spark, sf_dir))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runner import store_metrics, stored_metrics
+
+    out = shared_path(spark, "stored")
+    store_metrics(spark, sf_dir, out)
+    return stored_metrics(spark, out)
+
+
 def scores_by_grade(spark: SparkSession, sf_dir: str, rbd: str | None = SCHOOL, grade: str | None = "4B") -> DataFrame:
     """A school's score series of one grade, grades in any case; None stands for all schools or all grades."""
     return _of_grade(score_series_melt(spark, sf_dir, rbd), grade)

@@ -24,6 +24,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return register
-
-
-from . import analytics, files, ingest, read_api, relational  # noqa: E402, F401  they register their queries

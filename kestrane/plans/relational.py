@@ -273,15 +273,20 @@ WHERE regexp_full_match(trim(mrun), '\\d+') AND regexp_full_match(trim(raw.rbd),
 GROUP BY ALL""")
 def enrolment_expr_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dirty enrolment rows: filtered by pattern, coerced, joined to schools on a derived key, one row per key."""
+    return enrolments(spark, sf_dir).groupBy("mrun", "rbd", "agno", "cod_grado").agg(F.max("let_cur").alias("let_cur"), F.count("*").alias("n_filas"), F.max("fec_nac").alias("fec_nac"))
+
+
+def enrolments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enrolment rows that are good, of known schools: mrun, rbd, agno, cod_grado, let_cur, fec_nac, and the order they come from (o_orderkey, o_orderstatus)."""
     k, day = F.col("o_orderkey"), F.col("o_orderdate")
     raw = table(spark, sf_dir, "orders").select(
         F.when(k % 11 == 0, " x1 ").otherwise(F.concat(F.lit(" "), F.col("o_custkey"), F.lit(" "))).alias("mrun"), F.concat(F.lit(" "), k % 150, F.lit(" ")).alias("rbd"),
         F.when(k % 13 == 0, "19").otherwise(F.concat(F.lit(" "), F.year(day))).alias("agno"), F.concat(k % 7 + 1, F.lit(" ")).alias("cod_grado"),
         F.when(k % 3 == 0, F.date_format(day, "yyyy-MM-dd")).when(k % 3 == 1, F.date_format(day, "yyyyMMdd")).otherwise(F.date_format(day, "yyyy-MM")).alias("fec_nac_alu"),
-        F.when(k % 5 == 0, "").otherwise(F.substring("o_orderpriority", 1, 1)).alias("let_cur"))
-    t = {c: F.trim(c) for c in raw.columns}
+        F.when(k % 5 == 0, "").otherwise(F.substring("o_orderpriority", 1, 1)).alias("let_cur"), k, "o_orderstatus")
+    t = {c: F.trim(c) for c in raw.columns[:6]}
     good = raw.filter(t["mrun"].rlike(r"^\d+$") & t["rbd"].rlike(r"^\d+$") & t["agno"].rlike(r"^\d{4}$") & t["cod_grado"].rlike(r"^\d+$"))
     born = F.when(t["fec_nac_alu"].rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t["fec_nac_alu"], "yyyy-MM-dd")).when(t["fec_nac_alu"].rlike(r"^\d{8}$"), F.try_to_date(t["fec_nac_alu"], "yyyyMMdd"))
     rows = good.select(t["mrun"].try_cast("bigint").alias("mrun"), F.lpad(F.regexp_replace(t["rbd"], "[^0-9]", ""), 8, "0").alias("rbd"), t["agno"].try_cast("int").alias("agno"),
-                       t["cod_grado"].try_cast("int").alias("cod_grado"), F.nullif(t["let_cur"], F.lit("")).alias("let_cur"), born.cast("string").alias("fec_nac"))
-    return rows.join(schools(spark, sf_dir).select("rbd"), "rbd", "left_semi").groupBy("mrun", "rbd", "agno", "cod_grado").agg(F.max("let_cur").alias("let_cur"), F.count("*").alias("n_filas"), F.max("fec_nac").alias("fec_nac"))
+                       t["cod_grado"].try_cast("int").alias("cod_grado"), F.nullif(t["let_cur"], F.lit("")).alias("let_cur"), born.cast("string").alias("fec_nac"), "o_orderkey", "o_orderstatus")
+    return rows.join(schools(spark, sf_dir).select("rbd"), "rbd", "left_semi")

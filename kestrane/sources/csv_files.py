@@ -112,10 +112,15 @@ def union_columns(found: Sequence[Sequence[str]], priority: Sequence[str] = (),
     return [*head, *sorted(every.difference(head, last)), *last]
 
 
-def read_text_rows(spark: SparkSession, path: str | list[str], encoding: str, sep: str, columns: Sequence[str]) -> DataFrame:
+#: What is told of a row that was left out: why, and the row as it stands; null for all others.
+REJECTED = ("_motivo", "_fila")
+
+
+def read_text_rows(spark: SparkSession, path: str | list[str], encoding: str, sep: str, columns: Sequence[str], rejected: bool = False) -> DataFrame:
     """An all-text scan of files with one header: rows with too many cells are left out, short ones filled with nulls.
 
-    The row as it stands is kept next to its cells, to count them.
+    The row as it stands is kept next to its cells, to count them. With `rejected`, the rows left
+    out stay, marked by the REJECTED columns.
     """
     schema = ", ".join(f"`{c}` string" for c in columns) + ", `__bad` string"
     read_as = "iso-8859-1" if encoding == "windows-1252" else encoding  # Spark has no other charset with one byte a character
@@ -126,16 +131,21 @@ def read_text_rows(spark: SparkSession, path: str | list[str], encoding: str, se
     source = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("_source_file")
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("__folder")
     text = lambda c: F.translate(f"`{c}`", *SIGNS).alias(c) if encoding == "windows-1252" else F.col(f"`{c}`")
-    return rows.select(*[text(c) for c in columns], "__bad", source, folder).filter(F.col("__bad").isNull() | (cells <= len(columns))).drop("__bad")
+    long = F.col("__bad").isNotNull() & (cells > len(columns))
+    if rejected:
+        marks = [F.when(long, F.concat(cells.cast("string"), F.lit(f" cells, {len(columns)} columns"))).alias(REJECTED[0]), F.when(long, F.col("__bad")).alias(REJECTED[1])]
+        return rows.select(*[text(c) for c in columns], source, folder, "__bad").select(*[f"`{c}`" for c in columns], "_source_file", "__folder", *marks)
+    return rows.select(*[text(c) for c in columns], "__bad", source, folder).filter(~long).drop("__bad")
 
 
 def read_folder(spark: SparkSession, folder: str, pattern: str = "*.csv", priority: Sequence[str] = (), mandatory: Sequence[str] = ("agno",), aliases: dict[str, str] | None = None,
-                transforms: dict[str, Callable[[Column], Column]] | None = None, forced: str | None = None) -> DataFrame:
+                transforms: dict[str, Callable[[Column], Column]] | None = None, forced: str | None = None, rejected: bool = False) -> DataFrame:
     """All files of a folder as one all-text table with the union of their columns.
 
     Files with the same encoding, separator and header are scanned together. Aliases rename
     columns, several of one name are coalesced in order; a missing year comes from the file's
-    or the folder's name; nulls become empty text, as in a delimited file.
+    or the folder's name; nulls become empty text, as in a delimited file. `rejected` as in
+    `read_text_rows`.
     """
     kinds: dict[tuple, list[str]] = {}
     for path, encoding, sep, columns in headers(spark, folder, pattern, forced):
@@ -144,16 +154,27 @@ def read_folder(spark: SparkSession, folder: str, pattern: str = "*.csv", priori
     order = union_columns([[rename.get(c, c) for c in k[2]] for k in kinds], priority, mandatory)
     out = None
     for (encoding, sep, columns), paths in kinds.items():
-        rows = read_text_rows(spark, paths, encoding, sep, columns)
+        rows = read_text_rows(spark, paths, encoding, sep, columns, rejected)
         cells: dict[str, list[Column]] = {}
         for c in columns:
             cells.setdefault(rename.get(c, c), []).append(F.nullif(F.col(f"`{c}`"), F.lit("")))
         if "agno" in order and "agno" not in cells:
             cells["agno"] = [year_in_name(F.col("_source_file"), F.col("__folder")).cast("string")]
         value = lambda c: F.coalesce(*cells[c]) if c in cells else F.lit(None).cast("string")  # noqa: B023, E731
-        part = rows.select(*[(F.col("_source_file") if c == "_source_file" else F.coalesce((transforms or {}).get(c, lambda x: x)(value(c)), F.lit(""))).alias(c) for c in order])
+        part = rows.select(*[(F.col("_source_file") if c == "_source_file" else F.coalesce((transforms or {}).get(c, lambda x: x)(value(c)), F.lit(""))).alias(c) for c in order], *(REJECTED if rejected else ()))
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], ", ".join(f"`{c}` string" for c in order))
+    return out if out is not None else spark.createDataFrame([], ", ".join(f"`{c}` string" for c in [*order, *(REJECTED if rejected else ())]))
+
+
+def load_folder(spark: SparkSession, folder: str, out: str, **how) -> tuple[DataFrame, DataFrame]:
+    """All files of a folder as `read_folder` reads them, stored at `out`, and beside them the rows that were left out: (_source_file, _motivo, _fila).
+
+    One scan writes both. Every line below a header that is not blank is in one of them.
+    """
+    rows = read_folder(spark, folder, rejected=True, **how)
+    rows.withColumn("_rechazada", F.col(REJECTED[0]).isNotNull()).write.mode("overwrite").partitionBy("_rechazada").parquet(out)
+    stored = spark.read.schema(rows.schema.add("_rechazada", "boolean")).parquet(out)
+    return stored.filter("NOT _rechazada").drop("_rechazada", *REJECTED), stored.filter("_rechazada").select("_source_file", *REJECTED)
 
 
 def blank_to_null(df: DataFrame) -> DataFrame:
