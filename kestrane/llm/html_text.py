@@ -3,7 +3,8 @@
 The markup is cut into blocks (paragraphs, headings, list items, cells). Scripts, styles,
 controls and hidden parts give no blocks. Parts that the markup names as something else than
 the article (menus, footers, side bars, notices, adverts, forms, reader comments) are left
-out, unless they hold most of the page's long text dense in stop words, or its articles.
+out, unless they hold most of the page's long text dense in stop words, or its articles. Any such
+word in a name counts, but for names that tell whether the page has such a part, or its topic.
 The first pass looks at each block alone: much of it in links is bad, long text dense in stop
 words is good, the rest is undecided. In the second pass undecided blocks take the label of
 the nearest decided block; those in an article stay, as only links are bad there. Blocks outside
@@ -50,12 +51,19 @@ ARTICLE_TAGS = frozenset("article main".split())
 # Words of class and id that name parts outside the article.
 DROP_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent
-    cookie cookies disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice notices notification
-    pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup
-    skip social sponsor sponsored subscribe subscription toolbar widget widgets""".split()
+    cookie cookies disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter newsletters notice notices
+    notification outbrain pager pagination paywall popup promo promoted promotion recommended related replies reply respond share
+    sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets""".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
-# Words that say nothing beside one of those: comments-area, related-posts; but not no-sidebar, comments-open.
+# Those that also count at an end of a longer word: usercomments, cookiebar.
+JOINED_WORDS = ("advertisement", "breadcrumb", "breadcrumbs", "comments", "commentlist", "cookie", "cookies", "disqus", "navbar", "newsletter", "sidebar")
+# Words before one of those, or last after it, that tell of the page instead: no-sidebar, category-social, comments-open.
+OTHERWISE_BEFORE = frozenset("can category disable disabled enable enabled has have hide is no non not show supports tag topic type with without".split())
+OTHERWISE_LAST = frozenset("allowed closed disabled enabled free layout less off open opened".split())
+# Elements whose names must speak of nothing else: a paragraph or a heading may be about adverts.
+TEXT_TAGS = frozenset("a abbr b blockquote cite code em figcaption h1 h2 h3 h4 h5 h6 i mark p pre q small span strong sub sup time u".split())
+# Words that say nothing beside one of those, in names of such elements: comment-item, related-link.
 LAYOUT_WORDS = frozenset(
     """area article articles bar block bottom box column container entry form global inline inner item items left link links list
     main outer page panel post posts primary right secondary section site slot top unit wrap wrapper zone""".split()
@@ -64,6 +72,7 @@ DROP_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialo
 ARTICLE_WORDS = frozenset("articlebody content entry post story".split())
 _WORD = re.compile(r"[^\W\d_]+")
 _NAME = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 #: Characters from which a block is long; share of stop words; share of characters in links, outside and inside an article.
 LONG, DENSE, LINKED, LINKED_INSIDE = 70, 0.2, 0.33, 0.95
@@ -75,6 +84,23 @@ BODY = 3
 START = (False, 0, False, -1)
 
 
+def _drop_words(of: list[str], alone: bool) -> set[str]:
+    """The words of a name that say it is no article's: user-comments, comments-v2, cookie-policy-bar; none in no-sidebar or comments-open.
+
+    With `alone`, only if the whole name speaks of such a part.
+    """
+    found = set()
+    for i, word in enumerate(of):
+        if word not in DROP_WORDS:
+            joined = next((w for w in JOINED_WORDS if word.startswith(w) or word.endswith(w)), None)
+            if joined is None or word.removesuffix(joined) in OTHERWISE_BEFORE:
+                continue
+            word = joined
+        if not OTHERWISE_BEFORE.intersection(of[:i]) and of[-1] not in OTHERWISE_LAST:
+            found.add(word)
+    return found if found and not (alone and not DROP_WORDS | LAYOUT_WORDS >= set(of)) else set()
+
+
 class _Blocks(HTMLParser):
     """Blocks of a page: [text, characters in links, container]; container 0 is outside any article.
 
@@ -116,7 +142,7 @@ class _Blocks(HTMLParser):
             if doubt:
                 self.doubted.append([part, 0, doubt == "comments"])
                 part = len(self.doubted) - 1
-        if tag in ARTICLE_TAGS and not dropped and not container:
+        if tag in ARTICLE_TAGS and not dropped and not container and not self._in_comments(part):
             self.containers += 1
             container = self.containers
             if part >= 0:
@@ -126,6 +152,14 @@ class _Blocks(HTMLParser):
 
     handle_startendtag = handle_starttag
 
+    def _in_comments(self, part: int) -> bool:
+        """Whether the part, or one around it, is named as comments: articles in there are readers'."""
+        while part >= 0:
+            part, _, comments = self.doubted[part]
+            if comments:
+                return True
+        return False
+
     def _implied_end(self, tag: str) -> None:
         """A block ends an open paragraph; an item, row or cell ends an open one of its kind."""
         ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
@@ -174,19 +208,19 @@ class _Blocks(HTMLParser):
     @staticmethod
     def _doubted(tag: str, attrs: dict, container: int) -> str:
         """Whether the markup names the part as something else than the article: "comments", "other" or ""."""
-        if tag in ("html", "body") or tag in ARTICLE_TAGS:
+        if tag in ("html", "body", "main"):
             return ""
-        words = set()
-        for token in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split():
-            of = set(_NAME.findall(token))
-            if of <= DROP_WORDS | LAYOUT_WORDS | {"header"}:  # the whole token speaks of such a part
-                words |= of
-        named = set(_NAME.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
+        tokens = _CAMEL.sub("-", f"{attrs.get('class') or ''} {attrs.get('id') or ''}").lower().split()
+        named = [_NAME.findall(t) for t in tokens]
+        words = set().union(*(_drop_words(of, tag in TEXT_TAGS) for of in named))
         if words & COMMENT_WORDS:
             return "comments"
-        if tag in DOUBTED_TAGS or (tag == "header" and not container) or (attrs.get("role") or "").lower() in DROP_ROLES:
+        if tag in ARTICLE_TAGS:
+            return ""
+        if tag in DOUBTED_TAGS or (tag == "header" and not container) or (attrs.get("role") or "").lower() in DROP_ROLES or words:
             return "other"
-        return "other" if words & DROP_WORDS or ("header" in words and not container and not named & ARTICLE_WORDS) else ""
+        header = any("header" in of and set(of) <= LAYOUT_WORDS | {"header"} for of in named)
+        return "other" if header and not container and not ARTICLE_WORDS.intersection(sum(named, [])) else ""
 
     def kept(self) -> list[list]:
         """The blocks outside doubted parts, and inside those that hold most of the good text, or all articles and half of it.

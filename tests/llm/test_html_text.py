@@ -90,3 +90,27 @@ def test_figures_and_unknown_languages_stay():
     other = "Þetta er texti á máli sem engin orð hér þekkja, og hann er nógu langur til að standa einn og sér."
     assert main_text(f"<ul><li><a href=x>Heim</a></li></ul><div><p>{other}</p></div><p>{other}</p>").split("\n\n")[-1] == other
     assert main_text(f"<div><p>{other}</p><p>{other}</p></div>").split("\n\n") == [other, other]
+
+
+def test_unknown_words_in_names_do_not_let_comments_and_notices_through():
+    other = LONG.replace("paragraph", "comment")
+    for name in ('class="user-comments"', 'id="fb-comments"', 'class="comment-thread"', 'class="usercomments"', 'class="readerComments"', 'class="comments-v2"', 'class="cookie-policy-bar"', 'class="newsletter-cta"', 'id="cookiebar"', 'class="x-social-strip"'):
+        part = f"<div {name}><p>{other}</p><p>{other}</p></div>"
+        assert main_text(f"<body><div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>{part}</body>").split("\n\n") == ["Head", LONG, LONG, LONG], name
+        for page in (f"<body>{part}<article><p>{LONG}</p></article></body>", f"<body><article><p>{LONG}</p></article>{part}</body>", f"<article><p>{LONG}</p>{part}<p>Short.</p></article>"):
+            assert main_text(page).split("\n\n") in ([LONG], [LONG, "Short."]), (name, page)
+
+
+def test_comments_that_are_articles_themselves():
+    comments = f'<ol><li class="comment"><article id="div-comment-2" class="comment-body"><p>{LONG}</p><p>{LONG}</p></article></li></ol>'
+    assert main_text(f"<article><p>{LONG}</p><p>End.</p></article>{comments}").split("\n\n") == [LONG, "End."]
+    assert main_text(f'<div class="sidebar-layout"><article><p>{LONG}</p></article></div>{comments}') == LONG
+
+
+def test_names_that_tell_of_the_page_or_its_topic():
+    body = f"<p>{LONG}</p><p>Yes.</p>"
+    side = f'<div class="x"><p>{LONG}</p><p>{LONG}</p></div>'
+    for name in ("no-sidebar", "nosidebar", "has-comments", "layout-with-ads", "post-comments-open", "ad-free", "post category-social", "tag-newsletter", "page-without-cookies", "sidebar-layout"):
+        assert main_text(f'<body><div class="{name}">{body}</div>{side}</body>').split("\n\n") == [LONG, "Yes.", LONG, LONG], name
+    assert main_text(f'<article><p class="social-history">{LONG}</p><h2 class="menu-of-the-day">Soup</h2><p>{LONG}</p></article>').split("\n\n") == [LONG, "Soup", LONG]
+    assert main_text(f'<article class="post has-comments"><p>{LONG}</p></article>') == LONG
