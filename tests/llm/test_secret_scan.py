@@ -10,6 +10,7 @@ import zlib
 
 import zstandard
 
+from kestrane.llm import secret_scan as module
 from kestrane.llm.queries import op1_secret_scans
 from kestrane.llm.secret_scan import all_spans, base_spans, secret_scan
 
@@ -29,7 +30,7 @@ def test_base_rules():
 
 
 def found(text):
-    base, spans, _, _ = all_spans(text)
+    base, spans, _ = all_spans(text)
     assert set(base) <= set(spans)
     return [s for s in spans if s not in base]
 
@@ -160,3 +161,57 @@ def test_random_nesting():
             code = r.choice(steps)(code.encode())
         got = found(f"héllo {code} .")
         assert any(k == kind and 6 <= a < b <= 6 + len(code) for k, a, b in got), (kind, code[:200])
+
+
+def test_long_runs_take_neither_much_time_nor_memory():
+    import resource
+    import time
+
+    r = random.Random(3)
+    raw = r.randbytes(6 << 20) + b' token="abcdef0123" ' + r.randbytes(1 << 10)
+    text = "img " + base64.b64encode(raw).decode() + " end"
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+    got = found(text)
+    assert time.process_time() - began < 20  # a third of that on an idle machine; before, it grew with the square
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300 << 10
+    at = (6 << 20) + 1
+    assert ("assign", 4 + at * 4 // 3, 4 + -(-(at + 18) * 4 // 3)) in [(k, a, b) for k, a, b in got if k == "assign"] or any(k == "assign" and abs(a - 4 - at * 4 // 3) <= 2 for k, a, b in got)
+
+
+def test_layers_of_any_size():
+    d = zlib.compressobj(1)
+    packed = b"".join([*(d.compress(b"some words and \n" * (1 << 16)) for _ in range(270)), d.compress(b"password: hunter2hunter2"), d.flush()])
+    text = f"blob {base64.b64encode(packed).decode()} end"
+    assert {k for k, _, _ in found(text)} == {"assign"}
+
+
+def test_what_lies_across_windows(monkeypatch):
+    monkeypatch.setattr(module, "WINDOW", 4000)
+    monkeypatch.setattr(module, "OVERLAP", 200)
+    r = random.Random(5)
+    noise = lambda n: bytes(r.choice(b"abcdefghijklmnop \n") for _ in range(n))
+    inner = b' password="hunter2hunter2" '
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
+        for place in range(3900, 4100, 23):  # the secret itself across a border
+            assert "assign" in {k for k, _, _ in found("see " + base64.b64encode(pack(noise(place) + inner + noise(900))).decode())}, (pack, place)
+        nested = pack(r.randbytes(9000) + gzip.compress(r.randbytes(11_000) + inner + r.randbytes(9000)) + r.randbytes(900))  # a stream inside, over many windows
+        assert "assign" in {k for k, _, _ in found("see " + base64.b64encode(nested).decode())}, pack
+    for shift in range(5):  # a run of base64 over many windows
+        nested = gzip.compress(b"x " * 10 + b"y" * shift + b" " + base64.b64encode(noise(12_000) + inner + noise(9000)) + b" z")
+        assert "assign" in {k for k, _, _ in found("see " + base64.b64encode(nested).decode())}, shift
+
+
+def test_deep_nesting_ends():
+    code = b'token="abcdef0123"'
+    for _ in range(120):
+        code = zlib.compress(code)
+    assert {k for k, _, _ in found("see " + base64.b64encode(code).decode())} == {"assign"}
+
+
+def test_base64_in_lines_whose_ends_are_escaped():
+    body = base64.b64encode(b"filler words " * 4 + b'password = "hunter2hunter2" and more filler words').decode()
+    for width in (64, 76):
+        for end in ("\\n", "\\r\\n", "\n", "\r\n"):
+            text = '{"key": "' + end.join(body[i : i + width] for i in range(0, len(body), width)) + '"}'
+            got = found(text)
+            assert {k for k, _, _ in got} == {"assign"} and all(9 <= a < b <= len(text) - 2 for _, a, b in got), (width, end)
