@@ -25,12 +25,17 @@ from pyspark.sql import functions as F
 from ._common import _arrow_schema, materialise, sliced, text_of, tidy
 from .arrow_output import ByteEncoder
 from .bpe import byte_of_char
+from .pieces import Remembered
 from .token_counts import PieceCounter
 
 #: Code points and rows of a chunk; pairs that are expanded at a time; pairs of a group from which its distinct ids are paired instead.
 TEXT, ROWS, PAIRS, LARGE = 1 << 20, 1000, 1 << 21, 4096
 
+#: Code points of a piece of B's text that is not remembered.
+LONG = 256
+
 _SPAN = re.compile(rb"[12]*3")
+_SPACED = re.compile(" +[^ ]*")
 _CHUNKS = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, place array<int>, links array<long>, pairs array<long>, docs array<long>"
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -59,6 +64,9 @@ class Aligner:
         a_bytes = [bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t in vocabulary]
         b_bytes = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size())]
         self.n_b = len(b_bytes)
+        # no piece goes on over a space after another sign: a text may be cut before its runs of spaces
+        self.cuts = not any(re.search("[^▁]▁", model.id_to_piece(i)) for i in range(model.get_piece_size()))
+        self.words_of_b = Remembered(self._encode_words)
         self.bytes = [pa.array(x, pa.binary()) for x in (a_bytes, b_bytes)]
         self.width = [np.array([len(t) for t in x], np.int64) for x in (a_bytes, b_bytes)]
         # ids as text, with what follows them inside a group and at the end of its part
@@ -68,13 +76,38 @@ class Aligner:
     def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both for each text, none where the bytes they stand for are not those of a space and the text."""
         got_a = [np.frombuffer(x, self.a.dtype).astype(np.int64) for x in self.a.encode_batch([" " + t for t in texts])]
-        short = [i for i, t in enumerate(texts) if len(t) <= self.b.chunk]
-        got_b = dict(zip(short, self.b.model.encode([texts[i] for i in short], num_threads=1)))
-        got_b = [np.array(got_b[i], np.int64) if i in got_b else self.b.pieces(t) for i, t in enumerate(texts)]
+        got_b = self._b_ids(texts)
         whole = [b" " + t.encode() if t else b"" for t in texts]
         same = self._told(0, got_a, whole) & self._told(1, got_b, whole)
         return [(a, b) if held else (a[:0], b[:0]) for a, b, held in zip(got_a, got_b, same)]
 
+    def _b_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """B's ids, by the pieces before each run of spaces, which are encoded once while they are remembered."""
+        if not self.cuts:
+            return [self.b.pieces(t) for t in texts]
+        pieces = [_SPACED.findall(" " + t) if t else [] for t in texts]
+        known = self.words_of_b.of([p for own in pieces for p in own if len(p) <= LONG])
+        out, at = [], 0
+        for own in pieces:
+            n = len(own)
+            if n and max(map(len, own)) > LONG:
+                ids, n = [], 0
+                for p in own:
+                    if len(p) > LONG:
+                        ids.append(self.b.pieces(p[1:]).astype(np.int32).tobytes())
+                    else:
+                        ids.append(known[at + n])
+                        n += 1
+            else:
+                ids = known[at : at + n]
+            out.append(np.frombuffer(b"".join(ids), np.int32).astype(np.int64))
+            at += n
+        return out
+
+    def _encode_words(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that begin with a space, which the model puts there itself."""
+        return {p: np.array(ids, np.int32).tobytes() for p, ids in zip(pieces, self.b.model.encode([p[1:] for p in pieces], num_threads=1))}
+
     def _told(self, k: int, ids: list[np.ndarray], whole: list[bytes]) -> np.ndarray:
         """Whether the ids of each text stand for these bytes, and it has any."""
         sizes = np.array([len(w) for w in whole], np.int64)

@@ -57,16 +57,15 @@ class Remembered:
 
     def of(self, pieces: list[str]) -> list[bytes]:
         """The value of each piece; those not remembered are encoded, each once."""
-        got = list(map(self.young.get, pieces))
-        new = {p for p, v in zip(pieces, got) if v is None}
-        if not new:
-            return got
-        fresh = {k: self.old[k] for k in new if k in self.old}
-        fresh |= self.encode(sorted(new.difference(fresh)))
-        if len(self.young) + len(fresh) > self.size:
-            self.old, self.young = self.young, {p: v for p, v in zip(pieces, got) if v is not None}
-        self.young |= fresh
-        return [fresh[p] if v is None else v for p, v in zip(pieces, got)]
+        distinct = set(pieces)
+        new = distinct.difference(self.young)
+        if new:
+            fresh = {k: self.old[k] for k in new if k in self.old}
+            fresh |= self.encode(sorted(new.difference(fresh)))
+            if len(self.young) + len(fresh) > self.size:
+                self.old, self.young = self.young, {p: self.young[p] for p in distinct.difference(new)}
+            self.young |= fresh
+        return list(map(self.young.__getitem__, pieces))
 
 
 def grouped(texts: list[str], size: int):
