@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Terms are the stems (first letters) of all words in a bounded sample of labelled rows, and a
-mark of how dense a text is in stems that go with the label; those stems and marks weigh more.
+Terms are all words in a bounded sample of labelled rows, pairs of characters where a script has
+no spaces, and a mark of how dense a text is in terms that go with the label; those terms and marks weigh more.
 Their document frequencies are counted over the whole corpus. The examples' vectors lie in an
 inverted index of blocks, each with the greatest weight that any term has in it. A search
 visits blocks by falling upper bound and stops when none can reach the k-th best, so its
@@ -29,18 +29,24 @@ from ._common import SLICE, map_rows, materialise, sliced, text_of, tidy
 EXAMPLES, NEIGHBOURS, BLOCK = 1000, 15, 64
 #: Share of the examples above which a term's weights lie in the dense matrix.
 OFTEN = 1 / 16
-#: Letters of a stem; marks of density, each twice as dense as the one before.
-STEM, DENSITIES = 5, 11
+#: Marks of density, each twice as dense as the one before.
+DENSITIES = 11
 #: How many times the weight a term has that goes with the label: the log-likelihood ratio and the lift from which it does.
 BOOST, RATIO, LIFT = 16.0, 15.0, 4.0
 THRESHOLD = 0.7
 #: Texts whose scores one worker remembers.
 KNOWN = 10_000
-_STEM = re.compile(r"([^\W\d_]{1,%d})[^\W\d_]*" % STEM)
+_WORD = re.compile(r"[^\W\d_]+")
+#: Letters of scripts without spaces between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]")
 
 
-def stems_of(text: str) -> list[str]:
-    return _STEM.findall(text.lower())
+def terms_of(text: str) -> list[str]:
+    """The words of a text in lower case; of a word in a script without spaces, all its pairs of characters."""
+    words = _WORD.findall(text.lower())
+    if text.isascii() or not _UNSPACED.search(text):
+        return words
+    return [t for w in words for t in ([w[i : i + 2] for i in range(max(1, len(w) - 1))] if _UNSPACED.search(w) else (w,))]
 
 
 class Vectors:
@@ -51,16 +57,16 @@ class Vectors:
         self.terms = {t: i for i, t in enumerate(terms)}
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and their counts; the term len(terms) + b marks a density of about 2^b marked stems in 1024."""
-        stems = stems_of(text)
-        found = Counter(stems)
+        """Terms and their counts; the term len(terms) + b marks a density of about 2^b marked terms in 1024."""
+        every = terms_of(text)
+        found = Counter(every)
         terms = np.array(list(map(self.terms.get, found, repeat(-1))), np.int64)
         counts = np.fromiter(found.values(), np.int64, len(found))
         here = terms >= 0
         terms, counts = terms[here], counts[here]
         hits = int(counts[terms < self.marked].sum())
         if hits:
-            terms, counts = np.append(terms, len(self.terms) + int(np.log2(1 + 1023 * hits / len(stems)))), np.append(counts, 1)
+            terms, counts = np.append(terms, len(self.terms) + int(np.log2(1 + 1023 * hits / len(every)))), np.append(counts, 1)
         return terms, counts
 
 
@@ -249,13 +255,13 @@ def _examples(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
 
 
 def _terms(sample: DataFrame) -> tuple[list[str], int]:
-    """All stems of the sample, first those that go with label 1, by the log-likelihood ratio of their document counts, and how many these are."""
+    """All terms of the sample, first those that go with label 1, by the log-likelihood ratio of their document counts, and how many these are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n[label].update({"", *stems_of(text)})
+                n[label].update({"", *terms_of(text)})
         terms = sorted(n[0].keys() | n[1].keys())
         yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "n0": pa.array([n[0][t] for t in terms], pa.int64()), "n1": pa.array([n[1][t] for t in terms], pa.int64())})
 

@@ -34,7 +34,7 @@ def test_index_is_exact(monkeypatch, often):
 
 
 def test_query_on_held_out_rows(spark, sf_dir):
-    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    sf_dir = sf_dir.replace("sf0.001", "sf0.1")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     got = op9_toxicity(spark, sf_dir).collect()
@@ -43,7 +43,7 @@ def test_query_on_held_out_rows(spark, sf_dir):
     test = [r for r in got if r.held_out and r.doc_id in truth]
     caught = [r for r in test if r.predicted]
     hits = sum(truth[r.doc_id] for r in caught)
-    assert hits >= 0.9 * len(caught) and hits >= 0.3 * sum(truth[r.doc_id] for r in test)
+    assert hits >= 0.95 * len(caught) and hits >= 0.85 * sum(truth[r.doc_id] for r in test)
 
 
 def test_labels_of_held_out_rows_play_no_part(spark, sf_dir):
@@ -81,7 +81,7 @@ def test_scores_against_brute_force(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scorer, text = fit(docs, labels), {r.doc_id: r.text or "" for r in docs.collect()}
     index, terms = scorer.index, scorer.vectors.terms
-    stem = lambda t: [w[: tox.STEM] for w in re.findall(r"[^\W\d_]+", t.lower())]
+    stem = lambda t: re.findall(r"[^\W\d_]+", t.lower())
     held = {w: sum(w in set(stem(t)) for t in text.values()) for w in list(terms)[:50]}
     assert all(abs(index.idf[terms[w]] / (tox.BOOST if terms[w] < scorer.vectors.marked else 1) - (np.log((1 + len(text)) / (1 + n)) + 1)) < 1e-9 for w, n in held.items())
     assert set(index.ids) == {r.doc_id for r in labels.collect() if r.doc_id in text and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
@@ -126,3 +126,14 @@ def test_repeated_ids_give_the_same_scorer(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     a, b = (sorted(map(tuple, toxicity(d, labels).collect())) for d in (docs, docs.repartition(7)))
     assert a == b
+
+
+def test_terms_are_whole_words_and_pairs_where_there_are_no_spaces():
+    assert tox.terms_of("Internationalization, internally; don't") == ["internationalization", "internally", "don", "t"]
+    assert tox.terms_of("これは毒 abc 毒") == ["これ", "れは", "は毒", "abc", "毒"]
+
+
+def test_scripts_without_spaces(spark):
+    texts = [(i, f"これは{'日月火水木金土'[i % 7]}曜日の文章です" + ("毒舌" if i % 4 == 0 else "") + f"と{'春夏秋冬'[i % 3]}の話") for i in range(200)]
+    scorer = fit(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int"))
+    assert scorer.score("そして最後に毒舌と言う")[0] > 0.7 > 0.3 > scorer.score("そして最後に文章です")[0]
