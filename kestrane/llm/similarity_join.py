@@ -36,8 +36,8 @@ WORDS, THRESHOLD = 5, 0.8
 VALUES, BAND = 160, 5
 #: Posterior probability below which a pair is dropped; values compared at a time.
 TOLERANCE, STEP = 1e-6, 16
-#: Nodes and shingles of a block.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 22
+#: Nodes and shingles of a block, and nodes of it that are compared with the other block at a time.
+BLOCK, BLOCK_SHINGLES, STRIP = 2048, 1 << 22, 256
 #: Nodes up to which groups are compared side by side; pairs that are compared at a time.
 SMALL, PAIRS = 64, 1 << 17
 #: Documents up to which the table of those to verify is broadcast (16 MB); it is shuffled beyond.
@@ -148,6 +148,16 @@ def roots_of(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         up = new
 
 
+def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """`roots_of` pairs that come by stretches, of which none is kept."""
+    up = np.arange(n)
+    for i, j in pairs:
+        if len(i):
+            lower = np.flatnonzero(up != np.arange(n))
+            up = roots_of(n, np.concatenate([i, lower]), np.concatenate([j, up[lower]]))
+    return up
+
+
 def nodes_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, t1, t2, node (128-bit hash of the shingle set), n_shingles, values: one row per row.
 
@@ -241,9 +251,11 @@ def alike_rows(table: pa.Table, starts: np.ndarray, least: dict[int, int]) -> It
     for k in np.flatnonzero(~small).tolist():
         group = np.arange(starts[k], ends[k])
         low, high = group[block[group] == lo[starts[k]]], group[block[group] == hi[starts[k]]]
-        if len(low) and len(high):
-            i, j = surviving(values[low], values[high], bool(lo[starts[k]] == hi[starts[k]]), least)
-            yield low[i], high[j]
+        same = bool(lo[starts[k]] == hi[starts[k]])
+        for at in range(0, len(low), STRIP) if len(high) else ():
+            others = high[at:] if same else high
+            i, j = surviving(values[low[at : at + STRIP]], values[others], same, least)
+            yield low[at + i], others[j]
 
 
 def _bucket_edges(met: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -251,8 +263,7 @@ def _bucket_edges(met: DataFrame, nodes: DataFrame) -> DataFrame:
     least = least_matches()
 
     def work(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        found = [*alike_rows(table, starts, least)]
-        root = roots_of(len(table), np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found]))
+        root = forest(len(table), alike_rows(table, starts, least))
         lower = np.flatnonzero(root != np.arange(len(root)))
         node = table["node"].combine_chunks()
         return pa.RecordBatch.from_arrays([node.take(pa.array(lower)), node.take(pa.array(root[lower]))], names=["a", "b"])
@@ -372,13 +383,16 @@ def near_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     def work(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         sets, copies = _sets_of(table["sh"]), table["copies"].to_numpy()
-        links, found = np.zeros(len(table), np.int64), []
-        for i, j in alike_rows(table, starts, least):
-            i, j = exact_links(sets, i, j)
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
-            found.append((i, j))
-        root = roots_of(len(table), np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])) if found else np.arange(len(table))
+        links = np.zeros(len(table), np.int64)
+
+        def verified() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for i, j in alike_rows(table, starts, least):
+                i, j = exact_links(sets, i, j)
+                np.add.at(links, i, copies[j])
+                np.add.at(links, j, copies[i])
+                yield i, j
+
+        root = forest(len(table), verified())
         node = table["node"].combine_chunks()
         return pa.RecordBatch.from_arrays([node, node.take(pa.array(root)), pa.array(links)], names=["a", "b", "links"])
 

@@ -61,6 +61,7 @@ def near_copies(n, seed=1, words=120):
 def test_large_groups_by_blocks(spark, monkeypatch, request):
     monkeypatch.setattr(sj, "SMALL", 3)
     monkeypatch.setattr(sj, "BLOCK", 16)
+    monkeypatch.setattr(sj, "STRIP", 5)
     monkeypatch.setattr(sj, "BLOCK_SHINGLES", 1000)
     monkeypatch.setattr(sj, "PAIRS", 10)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # groups go over batches
