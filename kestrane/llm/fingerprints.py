@@ -90,16 +90,18 @@ def with_next(docs: DataFrame, carry: list[str], doc_id: str = "doc_id", enrich:
     n = ids.count()
     ranges = min(RANGES, -(-n // ROWS))
     quantiles = ids.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
-    often = ids.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * ROWS).collect()  # at most a half of n / ROWS
+    per = max(ROWS, -(-n // RANGES))  # rows of a range, so that nothing below has more entries than RANGES
+    often = ids.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * per).collect()
     top = (1 << 63) - 1
     bounds = sorted({min(int(q), top) for q in quantiles} | {b for r in often if r.id is not None for b in (r.id, min(r.id + 1, top))})
     place = F.when(i.isNull(), F.lit(-1)).otherwise(_rank(i, bounds))
-    parts = {-1 if r.id is None else bisect.bisect_right(bounds, r.id): -(-r.n // ROWS) for r in often}
-    of = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("range")), F.lit(1)) if parts else F.lit(1)
+    parts = {-1 if r.id is None else bisect.bisect_right(bounds, r.id): -(-r.n // per) for r in often}
+    sizes = F.split(F.lit(",".join(str(parts.get(k, 1)) for k in range(len(bounds) + 1))), ",").cast("array<int>")  # folded once into a constant
+    of = F.when(F.col("range") < 0, F.lit(parts.get(-1, 1))).otherwise(F.element_at(sizes, F.col("range") + 1)) if parts else F.lit(1)
     share = F.col("hash") / float(1 << 64) + 0.5
     rows = docs.withColumn("hash", F.xxhash64("text")).withColumn("range", place).withColumn("part", F.least(F.floor(share * of), of - 1).cast("int"))
     first = F.min(F.struct(F.bitwise_not(i).alias("d"), F.col("hash").alias("h"))).alias("first")
-    heads = {(r["range"], r["part"]): (r["first"].d, r["first"].h) for r in rows.groupBy("range", "part").agg(first).collect()}  # as many as ranges
+    heads = {(r["range"], r["part"]): (r["first"].d, r["first"].h) for r in rows.groupBy("range", "part").agg(first).collect()}  # at most three times RANGES, whatever the table's size
     order = sorted(heads, key=lambda k: (k[0] < 0, -k[0], k[1]))
     # the row that follows a range's last is the first of the next range, after the last range of the first one
     follow = [(*heads[b], *a) for a, b in zip(order, order[1:] + order[:1])]

@@ -65,6 +65,9 @@ def test_many_ranges_and_ids_with_many_rows(spark, monkeypatch):
     hot = many[:100] + [(7, f"seven {i} of {i * i}") for i in range(300)] + [(None, f"none {i}") for i in range(200)] + [((1 << 63) - 1, f"last {i}") for i in range(90)] + [(7, "seven again")] * 40
     rows = spark.createDataFrame(hot, "doc_id long, text string")
     check(hot, fingerprints(rows).collect(), spark)
+    with monkeypatch.context() as m:  # fewer ranges than there are rows for: the parts of ids with many rows stay few as well
+        m.setattr(fp, "RANGES", 6)
+        check(hot, fingerprints(rows).collect(), spark)
     parted = fp.with_next(rows, ["text"]).withColumn("p", F.spark_partition_id()).groupBy("p").count()
     assert parted.count() > 1
 
