@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.clean import nan_to_null, safe_file_name, to_int
 from ..functions.rounding import half_even
-from ..operators.merge import merge_coalesce
+from ..operators.merge import insert_ignore, merge_coalesce
 from ..operators.numbering import number_new, numbered
 from ..operators.quality import sampled_counters
 from ..scratch import shared_path
-from ..sources import commits, csv_files
+from ..sources import commits, csv_files, ledger
 from ..sources.tables import merge_partitions, merge_write
 from ..streaming.events import EVENTS, merge_batches, read_events
 from ..tables import table
 from .ingest import _DIRTY_TABLE, _dirty_table
-from .model import CTE_SCHOOLS
+from .model import CTE_SCHOOLS, cents, rbd_of, rnd
 from .registry import query
 from .relational import _ENROL_RAW, enrolments
 
@@ -126,3 +127,84 @@ def csv_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     return read.select(F.lit("leida").alias("destino"), none.alias("motivo"), none.alias("fila"), "id", "nombre").unionAll(
         rejected.select(F.lit("rechazada"), "_motivo", "_fila", none, none))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS pasada, CAST(year(o_orderdate) AS VARCHAR) AS agno FROM orders")
+def manifest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files normalised and then loaded by their content: a second run, over more files, takes up the new ones alone."""
+    root, o = shared_path(spark, "manifest"), table(spark, sf_dir, "orders")
+    lines = o.select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("agno"), (F.coalesce("o_orderstatus", F.lit("")) == "P").alias("late"))
+    for run, late in enumerate((False, True), 1):
+        lines.filter(F.col("late") == late).select("id", "agno").repartitionByRange(3, "id").write.mode("append").csv(f"{root}/in", header=True, sep=";")
+        ledger.normalise_pending(spark, f"{root}/in", f"{root}/ledger", f"{root}/normalised", lambda paths: csv_files.read_folder(spark, f"{root}/in", only=set(paths)))
+        ledger.load_normalised(spark, f"{root}/ledger", f"{root}/normalised", f"{root}/loaded", lambda df, run=run: df.withColumn("pasada", F.lit(run)))
+    return spark.read.parquet(f"{root}/loaded").select("id", "pasada", "agno")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, upper(c_name) AS nombre, CAST(c_nationkey AS VARCHAR) AS col_2, coalesce(c_mktsegment, '') AS nombre__2, '' AS sin_dato FROM customer")
+def csv_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose headers have blank and repeated names, with a column transformed, written again in a fixed order of columns."""
+    root = shared_path(spark, "csv-aligned")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    rows = c.select(F.concat_ws(";", "c_custkey", "c_name", "c_nationkey", F.coalesce("c_mktsegment", F.lit(""))).alias("value"), F.lit(1).alias("place"), F.pmod("c_custkey", F.lit(3)).alias("p"))
+    heads = spark.range(3).select(F.lit("ID;Nombre;;nombre").alias("value"), F.lit(0).alias("place"), F.col("id").alias("p"))
+    rows.unionByName(heads).repartition("p").sortWithinPartitions("p", "place").select("p", "value").write.partitionBy("p").text(f"{root}/in")
+    read = csv_files.read_folder(spark, f"{root}/in", "*.txt", mandatory=(), transforms={"nombre": F.upper})
+    columns = ["id", "nombre", "col_2", "nombre__2", "sin_dato"]
+    csv_files.write_aligned(csv_files.require(read, columns[:4]), f"{root}/out", columns)
+    out = spark.read.csv(f"{root}/out", header=True, schema=", ".join(f"{x} string" for x in columns), escape='"')
+    return out.na.fill("")
+
+
+@query("""SELECT c_mktsegment AS segmento, count(*) AS filas, translate(c_mktsegment, '<>:"/\\|?*', '_________') || '.csv' AS archivo FROM customer GROUP BY c_mktsegment""")
+def file_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of files below their headers, by the folder they lie in, and a safe name for each."""
+    path = shared_path(spark, "csv-lines")
+    table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("s")).write.partitionBy("s").csv(path, header=True)
+    segment = F.url_decode(F.regexp_extract("path", "/s=([^/]*)/", 1))
+    n = csv_files.line_counts(spark, path).groupBy(F.nullif(segment, F.lit("__HIVE_DEFAULT_PARTITION__")).alias("segmento")).agg(F.sum("rows").alias("filas"))
+    return n.withColumn("archivo", safe_file_name(F.col("segmento")))
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def upload_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploaded files that hold every event twice, streamed batch by batch into a table that keeps the first row of a key."""
+    files, path = shared_path(spark, "uploads"), shared_path(spark, "uploaded")
+    e = table(spark, sf_dir, "events")
+    for _ in range(2):
+        e.coalesce(2).write.mode("append").parquet(files)
+    stream = read_events(spark, files, 1).select("event_id", "user_id", "event_type")
+    merge_batches(stream, lambda df, n: merge_write(df, path, ["event_id"], how=insert_ignore), shared_path(spark, "upload-stream")).awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 3 <> 0 THEN l_tax END AS tasa, CASE WHEN l_linenumber % 3 = 1 THEN CAST(trunc(l_quantity) AS INTEGER) END AS cantidad FROM lineitem""")
+def safe_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that are NaN, and texts that are none, become null."""
+    k = F.col("l_linenumber") % 3
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(k != 0, F.col("l_tax")).otherwise(float("nan")).alias("x"),
+                                                   F.when(k == 1, F.col("l_quantity").cast("string")).when(k == 2, "n/a").otherwise("NaN").alias("t"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", nan_to_null(F.col("x")).alias("tasa"), to_int(F.col("t")).alias("cantidad"))
+
+
+# The five subjects of scores, by the remainder of the part's key.
+FIVE = ("mat", "lect", "cie", "his", "ing")
+
+
+@query(f"""WITH f AS (
+  SELECT lpad(CAST(l_suppkey AS VARCHAR), CAST(greatest(8, length(CAST(l_suppkey AS VARCHAR))) AS INTEGER), '0') AS rbd, CAST(year(l_shipdate) AS INTEGER) AS agno, l_linenumber AS cod_grado,
+         ['{"', '".join(FIVE)}'][l_partkey % 5 + 1] AS asignatura, CAST(sum(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT)) AS DOUBLE) / 100e0 / count(*) AS puntaje, count(*) AS n_evaluados
+  FROM lineitem GROUP BY ALL), b AS (SELECT agno, cod_grado, asignatura, avg(puntaje) AS prom FROM f GROUP BY ALL)
+SELECT rbd, agno, cod_grado, asignatura, (round(puntaje + 1e-7, 3) + 0e0) AS puntaje, n_evaluados, (round(prom + 1e-7, 3) + 0e0) AS prom_nacional, (round(puntaje - prom + 1e-7, 3) + 0e0) AS dif_nacional
+FROM f JOIN b USING (agno, cod_grado, asignatura)""")
+def score_series_five(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of five subjects, melted from one row a school, year and grade, against the mean of all schools."""
+    l, price = table(spark, sf_dir, "lineitem"), cents(F.col("l_extendedprice"))  # noqa: E741
+    hits = {s: F.col("l_partkey") % 5 == i for i, s in enumerate(FIVE)}
+    wide = l.groupBy(rbd_of("l_suppkey").alias("rbd"), F.year("l_shipdate").alias("agno"), F.col("l_linenumber").alias("cod_grado")).agg(
+        *[F.sum(F.when(h, price)).alias(f"cents_{s}") for s, h in hits.items()], *[F.count_if(h).alias(f"n_{s}") for s, h in hits.items()])
+    rows = F.stack(F.lit(len(FIVE)), *[x for s in FIVE for x in (F.lit(s), F.col(f"cents_{s}"), F.col(f"n_{s}"))]).alias("asignatura", "cents", "n_evaluados")
+    long = wide.select("rbd", "agno", "cod_grado", rows).filter("n_evaluados > 0").withColumn("puntaje", F.col("cents") / 100e0 / F.col("n_evaluados"))
+    bench = long.groupBy("agno", "cod_grado", "asignatura").agg(F.avg("puntaje").alias("prom"))
+    return long.join(bench, ["agno", "cod_grado", "asignatura"]).select(
+        "rbd", "agno", "cod_grado", "asignatura", rnd("puntaje", 3).alias("puntaje"), "n_evaluados", rnd("prom", 3).alias("prom_nacional"), rnd(F.col("puntaje") - F.col("prom"), 3).alias("dif_nacional"))

@@ -6,7 +6,8 @@ so neither their kind nor a file's size matters; rows are read, cut and aligned
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,17 +79,25 @@ def first_bytes(spark: SparkSession, path: str, length: int) -> bytes:
         stream.close()
 
 
-def headers(spark: SparkSession, folder: str, pattern: str = "*.csv", forced: str | None = None) -> list[tuple[str, str, str, list[str]]]:
-    """(path, encoding, separator, column names) of every readable file, in the order of their paths."""
-    out = []
-    for r in listed(spark, folder, pattern).orderBy("path").toLocalIterator():
+#: Files whose first bytes are read at the same time.
+AT_ONCE = 32
+
+
+def headers(spark: SparkSession, folder: str, pattern: str = "*.csv", forced: str | None = None, only: Collection[str] | None = None) -> list[tuple[str, str, str, list[str]]]:
+    """(path, encoding, separator, column names) of every readable file, in the order of their paths; `only`: paths to look at."""
+
+    def told(r) -> tuple[str, str, str, list[str]] | None:
         head = first_bytes(spark, r.path, r.length)
         found = sniff_bytes(head, forced)
-        if found:
-            encoding, sep = found
-            first = head.decode(encoding, "replace").lstrip("\ufeff").replace("\r", "\n").split("\n")[0]
-            out.append((r.path, encoding, sep, distinct_names([x.strip().strip('"') for x in first.split(sep)])))
-    return out
+        if not found:
+            return None
+        encoding, sep = found
+        first = head.decode(encoding, "replace").lstrip("\ufeff").replace("\r", "\n").split("\n")[0]
+        return r.path, encoding, sep, distinct_names([x.strip().strip('"') for x in first.split(sep)])
+
+    files = [r for r in listed(spark, folder, pattern).orderBy("path").toLocalIterator() if only is None or r.path in only]
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return [x for x in pool.map(told, files) if x]
 
 
 def distinct_names(names: Sequence[str]) -> list[str]:
@@ -139,16 +148,16 @@ def read_text_rows(spark: SparkSession, path: str | list[str], encoding: str, se
 
 
 def read_folder(spark: SparkSession, folder: str, pattern: str = "*.csv", priority: Sequence[str] = (), mandatory: Sequence[str] = ("agno",), aliases: dict[str, str] | None = None,
-                transforms: dict[str, Callable[[Column], Column]] | None = None, forced: str | None = None, rejected: bool = False) -> DataFrame:
+                transforms: dict[str, Callable[[Column], Column]] | None = None, forced: str | None = None, rejected: bool = False, only: Collection[str] | None = None) -> DataFrame:
     """All files of a folder as one all-text table with the union of their columns.
 
     Files with the same encoding, separator and header are scanned together. Aliases rename
     columns, several of one name are coalesced in order; a missing year comes from the file's
     or the folder's name; nulls become empty text, as in a delimited file. `rejected` as in
-    `read_text_rows`.
+    `read_text_rows`; `only`: the paths to read.
     """
     kinds: dict[tuple, list[str]] = {}
-    for path, encoding, sep, columns in headers(spark, folder, pattern, forced):
+    for path, encoding, sep, columns in headers(spark, folder, pattern, forced, only):
         kinds.setdefault((encoding, sep, tuple(columns)), []).append(path)
     rename = aliases or {}
     order = union_columns([[rename.get(c, c) for c in k[2]] for k in kinds], priority, mandatory)
@@ -204,6 +213,18 @@ def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
+def write_aligned(df: DataFrame, path: str, columns: Sequence[str]) -> None:
+    """Append rows as delimited text with these columns in this order: those df lacks, and nulls, are empty; others are left out."""
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c in df.columns else F.lit("") for c in columns]
+    df.select(*[x.alias(c) for x, c in zip(cells, columns)]).write.mode("append").csv(path, header=True, emptyValue="", escape='"')
+
+
+def line_counts(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """(path, rows) of the files under a folder: lines below the header."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder)
+    return lines.groupBy(F.col("_metadata.file_path").alias("path")).agg((F.count("*") - 1).alias("rows"))
+
+
 def line_count(spark: SparkSession, path: str) -> int:
     """Rows below the header."""
     return max(0, spark.read.text(path).count() - 1)

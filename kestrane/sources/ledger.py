@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import hadoop_path
+from ..scratch import hadoop_path, materialise
 
 LEDGER = "sha256 string, path string, status string, at timestamp"
 
 
-def pending(files: DataFrame, ledger: DataFrame, done: str = "ok") -> DataFrame:
-    """Files whose content is not in the ledger as done; those that failed come again."""
-    return files.join(ledger.filter(F.col("status") == done).select("sha256"), "sha256", "left_anti")
+def pending(files: DataFrame, ledger: DataFrame, *done: str) -> DataFrame:
+    """Files whose content is not in the ledger as done ("ok", or the states named); those that failed come again."""
+    return files.join(ledger.filter(F.col("status").isin(*(done or ("ok",)))).select("sha256"), "sha256", "left_anti")
+
+
+def normalise_pending(spark: SparkSession, folder: str, ledger_path: str, out: str, read: Callable[[Sequence[str]], DataFrame], pattern: str = "*.csv") -> int:
+    """Normalise the files whose content the ledger does not know yet; how many there were.
+
+    `read` gives the rows of the files at some paths, with _source_file. They are stored at
+    `out` by the hash of their file, so that a run that died is repeated without harm.
+    """
+    files = pending(hashed_files(spark, folder, pattern), latest(spark, ledger_path), "normalized", "loaded")
+    files = materialise(files.withColumn("_source_file", F.element_at(F.split("path", "/"), -1)), "pending")
+    paths = [r.path for r in files.select("path").collect()]  # the driver knows their names already
+    if paths:
+        rows = read(paths).join(files.select("_source_file", "sha256"), "_source_file")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sha256").parquet(out)
+        record(files, ledger_path, "normalized")
+    return len(paths)
+
+
+def load_normalised(spark: SparkSession, ledger_path: str, normalised: str, table: str, change: Callable[[DataFrame], DataFrame] = lambda df: df) -> int:
+    """Load the files that are normalised and not loaded yet, each into its own partition of the table, and mark them loaded; how many there were."""
+    waiting = materialise(latest(spark, ledger_path).filter("status = 'normalized'"), "waiting")
+    n = waiting.count()
+    if n:
+        rows = spark.read.parquet(normalised).join(waiting.select("sha256"), "sha256", "left_semi")
+        change(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sha256").parquet(table)
+        record(waiting, ledger_path, "loaded")
+    return n
 
 
 #: Files up to which the executors hash them, each in one piece; larger ones are hashed as streams.
