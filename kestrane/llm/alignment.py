@@ -4,7 +4,9 @@ Both tokenizers' tokens end at bytes of one string. A label a byte tells which e
 (none, A, B, both); a regular expression scans the labels for spans up to each one that says
 both, and the labels counted in a span give the numbers of A and B tokens of a group.
 
-Documents are aligned in chunks of a bounded text. A chunk keeps its distinct pairs of ids
+No token of either goes on over a space between two other signs than white space, so a text is
+cut there, and each distinct piece is encoded, labelled and scanned once while it is
+remembered; a document is a row of pieces. Documents are aligned in chunks of a bounded text. A chunk keeps its distinct pairs of ids
 once, with how many of its documents hold each, and its documents refer to them by place. The
 corpus counts are sums over chunks; they go back to the chunks' pairs by a join, and a chunk's
 documents meet its pairs again as one small group. No row a link, nor a row a document and pair, is shuffled.
@@ -13,29 +15,31 @@ documents meet its pairs again as one small group. No row a link, nor a row a do
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import _arrow_schema, materialise, sliced, text_of, tidy
-from .arrow_output import ByteEncoder
 from .bpe import byte_of_char
-from .pieces import Remembered
 from .token_counts import PieceCounter
 
 #: Code points and rows of a chunk; pairs that are expanded at a time; pairs of a group from which its distinct ids are paired instead.
 TEXT, ROWS, PAIRS, LARGE = 1 << 20, 1000, 1 << 21, 4096
 
-#: Code points of a piece of B's text that is not remembered.
-LONG = 256
+#: Pieces, and links of pieces, that are remembered before all are forgotten.
+REMEMBERED, LINKS = 500_000, 1 << 23
 
 _SPAN = re.compile(rb"[12]*3")
-_SPACED = re.compile(" +[^ ]*")
+#: A space beside other white space or at the end, where split() would not cut as it should; the places to cut.
+_ODD, _CUT = re.compile(r" (?:\s|\Z)|\s "), re.compile(r"(?<=\S)(?= \S)")
 _CHUNKS = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, place array<int>, links array<long>, pairs array<long>, docs array<long>"
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -52,98 +56,114 @@ def group_sizes(a_ends: np.ndarray, b_ends: np.ndarray, size: int) -> tuple[np.n
     return tuple(np.fromiter(map({s: s.count(k) + 1 for s in kinds}.__getitem__, spans), np.int64, len(spans)) for k in (b"1", b"2"))
 
 
+def pieces_of(text: str) -> list[str]:
+    """The text cut at certain places, each piece without the space before it."""
+    if _ODD.search(" " + text):
+        return [p[1:] for p in _CUT.split(" " + text)]
+    return text.split(" ")
+
+
+def batched(pieces: list[str], size: int) -> Iterator[list[str]]:
+    """Stretches of pieces of about so many code points."""
+    held = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+    at = 0
+    while at < len(pieces):
+        end = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + size, "right")))
+        yield pieces[at:end]
+        at = end
+
+
 class Aligner:
     """Encodes texts with both tokenizers and groups their tokens."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a = ByteEncoder(a_path)
-        self.a.tokenizer.encode_special_tokens = True  # their strings are plain text
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.a = Tokenizer.from_file(a_path)
+        self.a.no_truncation()
+        self.a.no_padding()
+        self.a.encode_special_tokens = True  # their strings are plain text
         self.b = PieceCounter(b_path)
         back, model = byte_of_char(), self.b.model
-        vocabulary = [self.a.tokenizer.id_to_token(i) for i in range(self.a.tokenizer.get_vocab_size())]
+        vocabulary = [self.a.id_to_token(i) for i in range(self.a.get_vocab_size())]
         a_bytes = [bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t in vocabulary]
-        b_bytes = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size())]
+        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        b_bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        if any(re.search(r"\S ", t.decode("utf-8", "replace")) for t in a_bytes) or any(re.search("[^▁]▁", p) for p in pieces):
+            raise ValueError("tokens of these vocabularies go on over spaces between words")
         self.n_b = len(b_bytes)
-        # no piece goes on over a space after another sign: a text may be cut before its runs of spaces
-        self.cuts = not any(re.search("[^▁]▁", model.id_to_piece(i)) for i in range(model.get_piece_size()))
-        self.words_of_b = Remembered(self._encode_words)
         self.bytes = [pa.array(x, pa.binary()) for x in (a_bytes, b_bytes)]
         self.width = [np.array([len(t) for t in x], np.int64) for x in (a_bytes, b_bytes)]
         # ids as text, with what follows them inside a group and at the end of its part
         parts = [[f"{i}{c}" for i in range(n)] for n, last in ((len(a_bytes), "|"), (len(b_bytes), ";")) for c in (",", last)]
         self.words, self.first = pa.array(sum(parts, []), pa.string()), np.cumsum([0] + [len(p) for p in parts])
-
-    def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both for each text, none where the bytes they stand for are not those of a space and the text."""
-        got_a = [np.frombuffer(x, self.a.dtype).astype(np.int64) for x in self.a.encode_batch([" " + t for t in texts])]
-        got_b = self._b_ids(texts)
-        whole = [b" " + t.encode() if t else b"" for t in texts]
-        same = self._told(0, got_a, whole) & self._told(1, got_b, whole)
-        return [(a, b) if held else (a[:0], b[:0]) for a, b, held in zip(got_a, got_b, same)]
-
-    def _b_ids(self, texts: list[str]) -> list[np.ndarray]:
-        """B's ids, by the pieces before each run of spaces, which are encoded once while they are remembered."""
-        if not self.cuts:
-            return [self.b.pieces(t) for t in texts]
-        pieces = [_SPACED.findall(" " + t) if t else [] for t in texts]
-        known = self.words_of_b.of([p for own in pieces for p in own if len(p) <= LONG])
-        out, at = [], 0
-        for own in pieces:
-            n = len(own)
-            if n and max(map(len, own)) > LONG:
-                ids, n = [], 0
-                for p in own:
-                    if len(p) > LONG:
-                        ids.append(self.b.pieces(p[1:]).astype(np.int32).tobytes())
-                    else:
-                        ids.append(known[at + n])
-                        n += 1
-            else:
-                ids = known[at : at + n]
-            out.append(np.frombuffer(b"".join(ids), np.int32).astype(np.int64))
-            at += n
-        return out
-
-    def _encode_words(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that begin with a space, which the model puts there itself."""
-        return {p: np.array(ids, np.int32).tobytes() for p, ids in zip(pieces, self.b.model.encode([p[1:] for p in pieces], num_threads=1))}
-
-    def _told(self, k: int, ids: list[np.ndarray], whole: list[bytes]) -> np.ndarray:
-        """Whether the ids of each text stand for these bytes, and it has any."""
-        sizes = np.array([len(w) for w in whole], np.int64)
-        ends = np.append(0, np.cumsum(self.width[k][np.concatenate([np.zeros(0, np.int64), *ids])]))[np.cumsum([0] + [len(x) for x in ids])]
-        out = (np.diff(ends) == sizes) & (sizes > 0)
-        own = np.flatnonzero(out).tolist()
-        if own and self._joined(k, np.concatenate([ids[i] for i in own])) != b"".join([whole[i] for i in own]):
-            out[own] = [self._joined(k, ids[i]) == whole[i] for i in own]
+        self.forget()
+
+    def forget(self) -> None:
+        """Pieces by number, and by number whether they are told byte for byte, their numbers of A, B, groups and links, their groups as text, and their links."""
+        self.number: dict[str, int] = {}
+        self.told = np.zeros((0, 5), np.int64)
+        self.spelt: list[bytes] = []
+        self.starts, self.pairs, self.counts = np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode and align pieces that are not remembered."""
+        a = [x.ids for x in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
+        if max(map(len, pieces)) <= self.b.chunk:
+            b = self.b.model.encode(pieces, num_threads=1)
+        else:
+            b = [self.b.pieces(p).tolist() for p in pieces]
+        whole = [(" " + p).encode() for p in pieces]
+        sizes = [np.fromiter(map(len, ids), np.int64, len(pieces)) for ids in (a, b)]
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in zip((a, b), sizes))
+        good = self._told(0, a, sizes[0], whole) & self._told(1, b, sizes[1], whole)
+        if not good.all():
+            a, b = (ids[np.repeat(good, n)] for ids, n in zip((a, b), sizes))
+            sizes = [n * good for n in sizes]
+        ends = [np.cumsum(self.width[k][ids]) for k, ids in enumerate((a, b))]
+        n_a, n_b = group_sizes(*ends, int(ends[0][-1]) if len(a) else 0)
+        before = np.searchsorted(np.append(0, np.cumsum(n_a)), np.append(0, np.cumsum(sizes[0])))  # groups before each piece
+        links = np.append(0, np.cumsum(n_a * n_b))[before]
+        of = np.repeat(np.arange(len(pieces)), np.diff(before))
+        keys, counts = self.links(a, b, n_a, n_b, of)
+        span = len(self.bytes[0]) * self.n_b
+        self.number.update(zip(pieces, range(len(self.spelt), len(self.spelt) + len(pieces))))
+        self.told = np.concatenate([self.told, np.stack([good, *sizes, np.diff(before), np.diff(links)], 1)])
+        self.spelt += self._spelt(a, b, n_a, n_b, np.append(0, np.cumsum(sizes[0] + sizes[1])))
+        at = np.searchsorted(keys, np.arange(1, len(pieces) + 1) * span)
+        self.starts = np.concatenate([self.starts, len(self.pairs) + at])
+        self.pairs, self.counts = np.concatenate([self.pairs, (keys % span).astype(np.int32)]), np.concatenate([self.counts, counts])
+
+    def _told(self, k: int, ids: np.ndarray, sizes: np.ndarray, whole: list[bytes]) -> np.ndarray:
+        """Whether the ids of each text, so many of them, stand for its bytes."""
+        at = np.append(0, np.cumsum(sizes))
+        ends = np.append(0, np.cumsum(self.width[k][ids]))[at]
+        out = np.diff(ends) == np.fromiter(map(len, whole), np.int64, len(whole))
+        if self._joined(k, ids[np.repeat(out, sizes)]) != b"".join([w for w, held in zip(whole, out.tolist()) if held]):
+            for i in np.flatnonzero(out).tolist():
+                out[i] = self._joined(k, ids[at[i] : at[i + 1]]) == whole[i]
         return out
 
     def _joined(self, k: int, ids: np.ndarray) -> bytes:
         return b"".join(_text_of(self.bytes[k].take(pa.array(ids[lo : lo + PAIRS]))) for lo in range(0, len(ids), PAIRS))
 
-    def groups(self, ids: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
-        """Ids of all texts and sizes of all groups, and how many groups are before each text."""
-        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in ids)]) for k in (0, 1))
-        a_ends, b_ends = np.cumsum(self.width[0][a]), np.cumsum(self.width[1][b])
-        size = int(a_ends[-1]) if len(a) else 0
-        n_a, n_b = group_sizes(a_ends, b_ends, size)
-        before = np.searchsorted(np.append(0, np.cumsum(n_a)), np.cumsum([0] + [len(x) for x, _ in ids]))
-        return a, b, n_a, n_b, before
-
-    def spelt(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> bytes:
-        """`a1,a2|b1;a3|b2,b3;`: the groups of one text."""
-        ends = [np.cumsum(n) - 1 for n in (n_a, n_b)]
+    def _spelt(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """`a1,a2|b1;a3|b2,b3;`: the groups of each piece, whose tokens of both lie between the bounds."""
         last = [np.zeros(len(x), np.int64) for x in (a, b)]
-        for k in (0, 1):
-            last[k][ends[k]] = 1
+        for k, n in enumerate((n_a, n_b)):
+            last[k][np.cumsum(n) - 1] = 1
         others = np.repeat(np.cumsum(n_b) - n_b, n_a), np.repeat(np.cumsum(n_a), n_b)
         codes = np.empty(len(a) + len(b), np.int64)
         for k, ids in enumerate((a, b)):
             codes[np.arange(len(ids)) + others[k]] = self.first[2 * k + last[k]] + ids
-        return b"".join(_text_of(self.words.take(pa.array(codes[lo : lo + PAIRS]))) for lo in range(0, len(codes), PAIRS))
+        words = self.words.take(pa.array(codes))
+        at = np.append(0, np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)))[bounds].tolist()
+        text = _text_of(words)
+        return [text[x:y] for x, y in zip(at, at[1:])]
 
     def links(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (document, A id, B id), as one number, and the links of each; doc is the document of each group."""
+        """Distinct (piece, A id, B id), as one number, and the links of each; doc is the piece of each group."""
         a0, b0, size = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b, n_a * n_b
         keys, counts, held = [], [], 0
 
@@ -181,18 +201,36 @@ class Aligner:
 
     def aligned(self, texts: list[str]) -> dict[str, list]:
         """Result columns of the texts of a chunk, and the chunk's pairs with the numbers of their documents."""
-        a, b, n_a, n_b, before = self.groups(self.ids(texts))
-        a_at, b_at = (np.append(0, np.cumsum(n))[before] for n in (n_a, n_b))
-        bounds = list(zip(before, before[1:], a_at, a_at[1:], b_at, b_at[1:]))
-        keys, counts = self.links(a, b, n_a, n_b, np.repeat(np.arange(len(texts)), np.diff(before)))
+        if len(self.spelt) > REMEMBERED or len(self.pairs) > LINKS:
+            self.forget()
+        rows = [pieces_of(t) if t else [] for t in texts]
+        every = [p for own in rows for p in own]
+        if new := sorted(set(every).difference(self.number)):
+            for group in batched(new, TEXT):
+                self.learn(group)
+        code = np.fromiter(map(self.number.__getitem__, every), np.int64, len(every))
+        doc = np.repeat(np.arange(len(texts)), [len(own) for own in rows])
+        good = np.bincount(doc, 1 - self.told[code, 0], len(texts)) == 0  # told byte for byte, all of it
+        code, doc = code[good[doc]], doc[good[doc]]
+        bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+        sums = np.diff(np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(self.told[code, 1:], 0)])[bounds], axis=0)
+        spelt = list(map(self.spelt.__getitem__, code.tolist()))
+        texts_of = [b"".join(spelt[x:y]) for x, y in zip(bounds.tolist(), bounds[1:].tolist())]
+        # a document's links: those of its distinct pieces, as often as it has them
+        known = len(self.spelt)
+        held, often = np.unique(doc * known + code, return_counts=True)
+        of, piece = held // known if known else held, held % known if known else held
+        size = self.starts[piece + 1] - self.starts[piece]
+        at = np.repeat(self.starts[piece] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
         span = len(self.bytes[0]) * self.n_b
+        keys, place = np.unique(np.repeat(of, size) * span + self.pairs[at], return_inverse=True)
+        counts = np.zeros(len(keys), np.int64)
+        np.add.at(counts, place, np.repeat(often, size) * self.counts[at])
         pairs, place, docs = np.unique(keys % span, return_inverse=True, return_counts=True)
-        at = np.searchsorted(keys, np.arange(len(texts) + 1) * span)
-        sizes = np.append(0, np.cumsum(n_a * n_b))
         return {
-            "n_a": np.diff(a_at), "n_b": np.diff(b_at), "n_groups": np.diff(before), "n_links": sizes[before[1:]] - sizes[before[:-1]],
-            "groups_sha256": [hashlib.sha256(self.spelt(a[u:v], b[w:x], n_a[g:h], n_b[g:h])[:-1]).hexdigest() if h > g else "" for g, h, u, v, w, x in bounds],
-            "offsets": at, "place": place, "links": counts, "pairs": pairs, "docs": docs,
+            **dict(zip(("n_a", "n_b", "n_groups", "n_links"), sums.T)),
+            "groups_sha256": [hashlib.sha256(t[:-1]).hexdigest() if t else "" for t in texts_of],
+            "offsets": np.searchsorted(keys, np.arange(len(texts) + 1) * span), "place": place, "links": counts, "pairs": pairs, "docs": docs,
         }
 
 
