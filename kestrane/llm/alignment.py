@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ._common import _arrow_schema, materialise, sliced, text_of, tidy
 from .bpe import byte_of_char
+from .pieces import spaced_pieces
 from .token_counts import PieceCounter
 
 #: Code points and rows of a chunk; pairs that are expanded at a time; pairs of a group from which its distinct ids are paired instead.
@@ -38,8 +39,6 @@ TEXT, ROWS, PAIRS, LARGE = 1 << 20, 1000, 1 << 21, 4096
 REMEMBERED, LINKS = 500_000, 1 << 23
 
 _SPAN = re.compile(rb"[12]*3")
-#: A space beside other white space or at the end, where split() would not cut as it should; the places to cut.
-_ODD, _CUT = re.compile(r" (?:\s|\Z)|\s "), re.compile(r"(?<=\S)(?= \S)")
 _CHUNKS = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, place array<int>, links array<long>, pairs array<long>, docs array<long>"
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -57,10 +56,9 @@ def group_sizes(a_ends: np.ndarray, b_ends: np.ndarray, size: int) -> tuple[np.n
 
 
 def pieces_of(text: str) -> list[str]:
-    """The text cut at certain places, each piece without the space before it."""
-    if _ODD.search(" " + text):
-        return [p[1:] for p in _CUT.split(" " + text)]
-    return text.split(" ")
+    """The text after a space, cut at certain places, each piece without the space before it."""
+    first, *rest = spaced_pieces(" " + text)
+    return [first[1:], *rest] if first else rest
 
 
 def batched(pieces: list[str], size: int) -> Iterator[list[str]]:

@@ -22,25 +22,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import shared_path, text_of, tidy
-from .pieces import BLANK, MARK, SPACE, Remembered, char_classes, code_points, grouped, single_word
+from .pieces import Remembered, grouped, spaced_pieces
 
 #: Ids of a row, rows of a batch.
 LENGTH, ROWS = 2048, 64
-#: Code points of the texts that are split at a time.
-GROUP = 1 << 18
+#: Code points of the texts that are split at a time; pieces that are encoded together, and of a remembered generation.
+GROUP, TOGETHER, REMEMBERED = 1 << 19, 4096, 300_000
 END_ID = 2
 
+_UNPLAIN = re.compile(r"\s|<\|")
 _loaded: dict[str, "ByteEncoder"] = {}
 
 
 class ByteEncoder:
-    """Ids of a byte-level vocabulary, by the pieces between borders of its words.
+    """Ids of a byte-level vocabulary, by the pieces between certain cuts.
 
-    Words are runs of letters, of digits or of other signs, with at most one space at their
-    head; white space before a word is a piece of its own, but for that space. A stretch
-    between white space is cut inside only if all its code points have settled classes and
-    none is an apostrophe, which may begin a contraction. Next to other kinds of white space
-    and to what may be a special token there is no cut.
+    No word of the tokenizer goes on over a space between two other signs than white space, nor
+    over one into what is a special token, so a text is cut before each such space. Pieces are
+    encoded once while they are remembered: those without white space and without what may be a special token
+    together, told apart by the tokens that begin with a space, others one by one.
     """
 
     def __init__(self, path: str):
@@ -53,57 +53,35 @@ class ByteEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         space = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
         self.spaced = np.array([self.tokenizer.id_to_token(i).startswith(space) for i in range(self.tokenizer.get_vocab_size())])
-        self.kind = char_classes()
-        self.known = Remembered(self._encode)
-
-    def pieces(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """The pieces of texts, and how many there are before each text and in all."""
-        bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
-        text = "\0".join([*texts, ""])
-        raw, between = code_points(text), bounds[1:] - 1
-        kind = self.kind[np.minimum(raw, 0x10000)]
-        special = np.append((raw[:-1] == 60) & (raw[1:] == 124), False)  # "<|"
-        space, solid = kind == SPACE, (kind != SPACE) & (kind != BLANK) & ~special
-        parted = solid[:-1] & solid[1:] & (kind[:-1] != kind[1:])
-        if parted.any():
-            whole = (kind > MARK) | special | (raw == 39)
-            whole[between] = False
-            space[between] = True
-            stretch = np.cumsum(space, dtype=np.int32)
-            space[between] = False
-            mark = np.zeros(stretch[-1] + 1, bool)
-            mark[stretch[whole]] = True
-            parted &= ~mark[stretch[1:]]
-        cut = parted | (solid[:-1] & space[1:]) | (space[:-1] & (raw[:-1] != 32) & solid[1:])
-        cut[:-1] |= space[:-2] & space[1:-1] & solid[2:]
-        cut[between[:-1]] = True
-        cut[between[between > 0] - 1] = True
-        starts = np.append(0, np.flatnonzero(cut) + 1)
-        ends = np.append(starts[1:], len(raw))
-        real = np.ones(len(starts), bool)
-        real[np.searchsorted(starts, between)] = False
-        starts, ends = starts[real], ends[real]
-        return [text[a:b] for a, b in zip(starts.tolist(), ends.tolist())], np.searchsorted(starts, bounds)
+        self.known = Remembered(self._encode, REMEMBERED)
 
     def _encode(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that follow a space each."""
         out = {}
-        words = [p for p in pieces if p[0] == " " and single_word(p[1:])]
-        if words:  # one word each: told apart by the tokens that begin with a space
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        plain = [p for p in pieces if p and not _UNPLAIN.search(p)]
+        for lo in range(0, len(plain), TOGETHER):
+            part = plain[lo : lo + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(["", *part])], add_special_tokens=False)[0].ids, self.dtype)
             at = (np.flatnonzero(self.spaced[ids]) * self.dtype.itemsize).tolist()
-            flat = ids.tobytes()
-            out = {w: flat[a:b] for w, a, b in zip(words, at, [*at[1:], len(flat)], strict=True)}
+            if len(at) == len(part):
+                flat = ids.tobytes()
+                out |= {p: flat[a:b] for p, a, b in zip(part, at, [*at[1:], len(flat)])}
         rest = [p for p in pieces if p not in out]
-        for p, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            out[p] = np.array(got.ids, self.dtype).tobytes()
-        return out
+        return out | self._each(rest, [" " + p for p in rest])
+
+    def _each(self, keys: list[str], texts: list[str]) -> dict[str, bytes]:
+        return {k: np.array(got.ids, self.dtype).tobytes() for k, got in zip(keys, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))}
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         out = []
         for group, places in grouped(texts, GROUP):
-            pieces, bounds = self.pieces(group)
-            ids = self.known.of(pieces)
-            got = [b"".join(ids[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+            rows = [spaced_pieces(t) for t in group]
+            first = self._each(heads := sorted({r[0] for r in rows}), heads)
+            ids = self.known.of([p for r in rows for p in r[1:]])
+            got, at = [], 0
+            for r in rows:
+                got.append(first[r[0]] + b"".join(ids[at : at + len(r) - 1]))
+                at += len(r) - 1
             out += [got[i] for i in places]
         return out
 

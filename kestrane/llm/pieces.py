@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -68,6 +69,18 @@ class Remembered:
         return list(map(self.young.__getitem__, pieces))
 
 
+#: A space beside other white space or at the end, where split() would not cut as it should; the places to cut.
+_ODD, _CUT = re.compile(r" (?:\s|\Z)|\s "), re.compile(r"(?<=\S)(?= \S)")
+
+
+def spaced_pieces(text: str) -> list[str]:
+    """The text cut before each space between two signs other than white space; all pieces but the first without that space."""
+    if _ODD.search(text):
+        first, *rest = _CUT.split(text)
+        return [first, *[p[1:] for p in rest]]
+    return text.split(" ")
+
+
 def grouped(texts: list[str], size: int):
     """Runs of texts of about so many code points; a text that repeats the one before it is there once, with the place of each."""
     at = 0
