@@ -145,3 +145,11 @@ def test_edges(edge_docs, no_docs):
     assert [r.doc_id for r in got if r.doc_id is not None] == sorted(r.doc_id for r in got if r.doc_id is not None)
     for f in (lambda d: token_counts.token_counts(d, sp), lambda d: bpe.encode_and_decode(d, word), lambda d: arrow_output.token_id_output(d, byte)):
         assert f(no_docs).count() == 0
+
+
+def test_byte_encoder_on_odd_spaces_and_special_strings():
+    encoder, r = arrow_output.ByteEncoder(tokenizer("byte_bpe_50k.json")), random.Random(1)
+    parts = [" ", " ,", "  ", "\n", "\t", "\r\n", "a", "the", "word", "é", "日本", "😀", "'s", "'ll", "don't", "1", "23", ".", ",", "<|endoftext|>", "<|", "|>", " ", "　", "\x1c", "\x85", "ñ", "A", "(", "-", "​", "́"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(5000)]
+    want = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode_batch(texts)] == [x.ids for x in want]
