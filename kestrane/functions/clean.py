@@ -87,9 +87,12 @@ def nan_to_null(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
+_RANDOM_ID = r"(?i)(?<![0-9a-f])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-f])"
+
+
 def year_in_name(stem: Column, parent: Column) -> Column:
-    """The year 20xx in a file's name, else in its folder's."""
-    find = lambda x: F.nullif(F.regexp_extract(x, r"(?<!\d)(20\d{2})(?!\d)", 1), F.lit(""))
+    """The year 20xx in a file's name, else in its folder's; the random ids that writers put into names tell no year."""
+    find = lambda x: F.nullif(F.regexp_extract(F.regexp_replace(x, _RANDOM_ID, "-"), r"(?<!\d)(20\d{2})(?!\d)", 1), F.lit(""))
     return F.coalesce(find(stem), find(parent)).try_cast("int")
 
 

@@ -37,6 +37,15 @@ def test_folder_with_diverging_files(spark, tmp_path):
     assert csv_files.line_count(spark, str(tmp_path / "a_2018.csv")) == 3
 
 
+def test_years_are_not_taken_from_random_ids(spark, tmp_path):
+    (tmp_path / "2018").mkdir()
+    for name in ("part-00000-1b2a2035-4c11-4d2e-9f00-5b2c6d7e8f90-c000.csv", "part-00000-0b2a1135-2041-4d2e-9f00-5b2c6d7e8f90-c000.csv", "notas_2016_3f0c1135-4041-4d2e-9f00-5b2c6d7e2019.csv"):
+        (tmp_path / "2018" / name).write_text("id,nombre\n1,a\n")
+    got = {r._source_file[:10]: r.agno for r in csv_files.read_folder(spark, str(tmp_path)).filter("_source_file not like '%-2041-%'").collect()}
+    assert got == {"part-00000": "2018", "notas_2016": "2016"}
+    assert {r.agno for r in csv_files.read_folder(spark, str(tmp_path), pattern="part-*.csv").collect()} == {"2018"}
+
+
 def test_ledger(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for n in "abc":
