@@ -180,7 +180,7 @@ def grade_global_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _grade_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = grade_rows(spark, sf_dir).withColumn("asignatura", F.substring("asignatura", 1, 40)).filter("prom_notas is not null")
-    return trend(rows, KEYS, value="prom_notas", threshold=CONFIG.alert_threshold).withColumn("segmento", F.lit("full"))
+    return trend(rows, KEYS, value="prom_notas", threshold=CONFIG.alert_threshold, digits=2).withColumn("segmento", F.lit("full"))
 
 
 _GRADE_TREND_CTE = CTE_GRADES + ", short AS (SELECT * REPLACE (substr(asignatura, 1, 40) AS asignatura) FROM grade_rows WHERE prom_notas IS NOT NULL), " + _sql_trend("short", "prom_notas", "rbd, grado, asignatura")

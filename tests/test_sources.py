@@ -91,6 +91,26 @@ def test_trend_shapes(spark):
     assert got["two"].n_puntos == 2 and not got["two"].alerta and got["flat"].r2 == 1.0 and got["jump"].alerta
 
 
+@pytest.mark.parametrize("points", [
+    [(1995, 3.4), (1996, 6.4), (1997, 5.8), (1998, 5.2), (1999, 5.8), (2000, 6.4), (2001, 3.4)],
+    [(1995, 1.6), (1996, 3.25), (1997, 3.4), (1998, 3.1), (1999, 4.6), (2000, 4.0), (2001, 7.0)],
+    [(1995, 5.5), (1997, 4.6), (1998, 4.0), (1999, 3.1), (2000, 4.6)],
+    [(1996, 5.2), (1997, 4.6), (1999, 4.0), (2000, 2.8), (2001, 6.4)],
+    [(1995, 3.4), (1996, 4.0), (1997, 5.8), (1998, 5.2), (1999, 6.4), (2000, 4.6), (2001, 2.8)],
+])
+def test_last_value_as_far_off_as_the_threshold_is_no_alert(spark, points):
+    """Each last value lies exactly 1.5 errors off its fit, whatever the order of the rows."""
+    sums = [sum(f(x - 1995, round(100 * y)) for x, y in points) for f in (lambda x, y: x, lambda x, y: y, lambda x, y: x * x, lambda x, y: x * y, lambda x, y: y * y)]
+    (sx, sy, sxx, sxy, syy), n, (x, y) = sums, len(points), (points[-1][0] - 1995, round(100 * points[-1][1]))
+    d, b = n * sxx - sx * sx, n * sxy - sx * sy
+    assert 4 * (d * (n * y - sy) - b * (n * x - sx)) ** 2 == 9 * (d * (n * syy - sy * sy) - b * b) * d
+    further = [*points[:-1], (points[-1][0], points[-1][1] + (0.01 if d * (n * y - sy) > b * (n * x - sx) else -0.01))]
+    rows = [(f"{i}{name}", a, v) for i in range(n) for name, p in (("tie", points), ("further", further)) for a, v in [*p[i:], *p[:i]]]
+    got = trend(spark.createDataFrame(rows, "k string, agno int, puntaje double"), ["k"], digits=2)
+    assert got.columns == trend(spark.createDataFrame(rows, "k string, agno int, puntaje double"), ["k"]).columns
+    assert {(r.k[1:], r.alerta) for r in got.collect()} == {("tie", False), ("further", True)}
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([("a", float(i), 5.0) for i in range(4)], "k string, x double, y double")
     assert df.groupBy("k").agg(correlation(F.col("x"), F.col("y")).alias("r")).head().r is None
