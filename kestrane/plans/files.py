@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import fallback
@@ -86,16 +86,19 @@ def sheet_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pupils' marks from the tables of record sheets: a sheet per order, a pupil per line number."""
     one = F.min_by(F.struct("l_partkey", "l_discount", "l_tax", "l_quantity", "l_linestatus"), F.struct("l_partkey", "l_suppkey", "l_extendedprice")).alias("x")
     pupils = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(one).select("l_orderkey", "l_linenumber", "x.*")
+    lines = pupils.groupBy("l_orderkey").agg(F.collect_list(F.struct(*pupils.columns[1:])).alias("lines"))  # a sheet has as many rows as line numbers
     shown = lambda c: F.format_string("%.1f", F.round(c, 1))
-    marks = [shown(1 + F.col("l_discount") * 50), F.when(F.col("l_linenumber") % 2 == 0, F.replace(shown(2 + F.col("l_tax") * 50), F.lit("."), F.lit(","))).otherwise("-")]
     blank = F.lit("")
-    cells = [F.col("l_linenumber").cast("string"), F.concat(F.lit("P"), "l_partkey"), blank, blank, blank, *marks, *[blank] * (sheets.SLOTS - 2), blank, blank,
-             F.col("l_quantity").cast("int").cast("string"), F.col("l_linestatus"), blank]
-    grids = pupils.groupBy("l_orderkey").agg(F.collect_list(F.array(*cells)).alias("rows"))  # a sheet has as many rows as line numbers
+
+    def cells(x: Column) -> Column:
+        marks = [shown(1 + x["l_discount"] * 50), F.when(x["l_linenumber"] % 2 == 0, F.replace(shown(2 + x["l_tax"] * 50), F.lit("."), F.lit(","))).otherwise("-")]
+        return F.array(x["l_linenumber"].cast("string"), F.concat(F.lit("P"), x["l_partkey"]), blank, blank, blank, *marks, *[blank] * (sheets.SLOTS - 2), blank, blank,
+                       x["l_quantity"].cast("int").cast("string"), x["l_linestatus"], blank)
+
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     name = F.concat_ws("_", "o_custkey", F.concat(F.lit("c"), "o_orderkey"), F.col("o_orderkey") % 8 + 1, F.lit("b"), F.date_format("o_orderdate", "ddMMyyyy"), F.lit("120000.pdf"))
     head = F.array(F.array(F.lit("Nº"), F.lit("Nombre")), F.array(F.lit(""), F.lit("")))
-    files = grids.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(name.alias("file"), F.concat(head, "rows").alias("grid"))
+    files = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(name.alias("file"), F.concat(head, F.transform("lines", cells)).alias("grid"))
     got = sheets.marks_of(files.withColumn("table_no", F.lit(1)), "without_municipality")
     return got.select("rbd", "agno", "grado", "letra", "n_orden", "nombre", "nota_1", "nota_2", "asistencia_pct", "situacion_final")
 

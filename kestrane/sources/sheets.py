@@ -31,14 +31,15 @@ def _cell(row: Column, place: int) -> Column:
     return F.try_element_at(row, F.lit(place + 1))
 
 
-def _any_mark(place: int) -> Column:
-    return F.exists("rows", lambda r: mark(_cell(r, place)).isNotNull())
+def _of_most_rows(tables: DataFrame, kept: Column) -> DataFrame:
+    """(file, <kept>): what is kept of each file's table of three rows or more with most numbered rows."""
+    score = F.size(F.filter("grid", _numbered))
+    return tables.filter(F.size("grid") >= 3).select("file", kept.alias("kept"), F.struct(score, -F.col("table_no")).alias("score")).groupBy("file").agg(F.max_by("kept", "score").alias("kept"))
 
 
 def pupil_tables(tables: DataFrame) -> DataFrame:
     """(file, grid): of each file's tables of three rows or more, the one with most numbered rows."""
-    score = F.size(F.filter("grid", _numbered))
-    return tables.filter(F.size("grid") >= 3).groupBy("file").agg(F.max_by("grid", F.struct(score, -F.col("table_no"))).alias("grid"))
+    return _of_most_rows(tables, F.col("grid")).withColumnRenamed("kept", "grid")
 
 
 def teacher_tables(tables: DataFrame) -> DataFrame:
@@ -66,14 +67,17 @@ def marks_of(tables: DataFrame, layout: str, texts: DataFrame | None = None) ->
     the sheet's text, else the file name's.
     """
     at = LAYOUTS[layout]
-    grids = pupil_tables(tables).withColumn("rows", F.filter("grid", _numbered))
-    used = F.array(*[_any_mark(at["marks"] + i) for i in range(SLOTS)])
-    grids = grids.withColumn("used", used)
-    first = F.array_position("used", True)
-    gap = F.filter(F.transform(F.sequence(F.lit(1), F.lit(SLOTS)), lambda i: F.when((i > first) & ~F.element_at("used", i), i)), lambda i: i.isNotNull())
-    grids = grids.withColumn("first", first).withColumn("end", F.coalesce(F.try_element_at(gap, F.lit(1)), F.lit(SLOTS + 1)))
-    rows = _with_file(grids.select("file", "first", "end", F.explode("rows").alias("r")), texts)
-    slot = lambda i: F.when((F.col("first") > 0) & (F.col("first") <= i + 1) & (F.col("end") > i + 1), mark(_cell(F.col("r"), at["marks"] + i))).alias(f"nota_{i + 1}")
+    # most cells are empty: as text a sheet is several times smaller while it is shuffled and sorted
+    grids = _of_most_rows(tables, F.to_json(F.filter("grid", _numbered))).select("file", F.from_json("kept", "array<array<string>>").alias("rows"))
+    marks_in = lambda r: F.transform(F.slice(r, at["marks"] + 1, SLOTS), mark)
+    grids = grids.select("file", F.transform("rows", lambda r: F.struct(r.alias("r"), marks_in(r).alias("marks"))).alias("rows"))
+    places = lambda row: F.filter(F.transform(row["marks"], lambda x, i: F.when(x.isNotNull(), i + 1)), lambda i: i.isNotNull())
+    grids = grids.withColumn("used", F.array_distinct(F.flatten(F.transform("rows", places))))
+    grids = grids.withColumn("first", F.array_min("used"))
+    gaps = F.filter(F.array(*[F.lit(i + 1) for i in range(SLOTS)]), lambda i: (i > F.col("first")) & ~F.array_contains("used", i))
+    grids = grids.withColumn("end", F.coalesce(F.array_min(gaps), F.lit(SLOTS + 1)))
+    rows = _with_file(grids.select("file", "first", "end", F.explode("rows").alias("x")).select("file", "first", "end", "x.*"), texts)
+    slot = lambda i: F.when((F.col("first") <= i + 1) & (F.col("end") > i + 1), F.try_element_at("marks", F.lit(i + 1))).alias(f"nota_{i + 1}")
     kinds = {"n_orden": to_int, "asistencia_pct": to_int, "promedio": mark}
     cells = {k: kinds.get(k, clean_str)(_cell(F.col("r"), place)).alias(k) for k, place in at.items() if k != "marks"}
     return rows.select("rbd", "agno", "grado", "letra", "fecha_acta", *cells.values(), *[slot(i) for i in range(SLOTS)])

@@ -32,6 +32,19 @@ def test_pupils_and_teachers(spark):
     assert sheets.marks_of(other, "without_municipality").head().nota_1 == 6.0
 
 
+def test_sheets_are_small_while_they_are_sorted(spark):
+    """Odd cells come through the packed form, and rows without numbers and empty cells take no room in it."""
+    odd = pupil(1, {0: "6,0", 24: "3.5"}, "without_municipality")
+    odd[1] = 'Ñ "x", [\\] \n\u2028'
+    short = ["2", "corto"]
+    df = spark.createDataFrame([(FILE, 0, [["h"], odd, short, [], None, [None], ["x"]])], TABLES)
+    got = sheets.marks_of(df, "without_municipality").orderBy("n_orden")
+    first, second = got.collect()
+    assert (first.nombre, first.nota_1, first.nota_2, first.nota_25) == (odd[1], 6.0, None, None) and (second.nombre, second.nota_1) == ("corto", None)
+    sorts = [x for x in got.drop("n_orden")._jdf.queryExecution().sparkPlan().toString().split("\n") if "SortAggregate" in x or "max_by" in x]
+    assert sorts and not any("max_by(grid" in x for x in sorts)
+
+
 def test_names_and_years(spark):
     df = spark.createDataFrame([("x 1999 20250 2031 2007",), ("none",)], "t string")
     assert [r.y for r in df.select(last_year_in_text(F.col("t")).alias("y")).collect()] == [2007, None]
