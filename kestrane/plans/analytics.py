@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import confidence, grade_label, in_range
 from ..operators.stats import correlation, outside_share, peer_share, trend
+from ..scratch import materialise
 from .model import (
-    CONFIG, CTE_MARKS, CTE_SCHOOLS, CTE_SCORES, CTE_SERIES, half_up, hundredths, marks, rnd, schools, score_series, scores_wide, sql_confidence, sql_half_up)
+    CONFIG, CTE_MARKS, CTE_SCHOOLS, CTE_SCORES, CTE_SERIES, SUBJECT_OF_FLAG, half_up, hundredths, marks, rnd, schools, score_series, scores_wide, sql_confidence, sql_half_up)
 from .registry import query
 
 KEYS = ["rbd", "grado", "asignatura"]
@@ -20,6 +21,25 @@ def _r4(*names: str) -> list:
     return [rnd(n, 4).alias(n) for n in names]
 
 
+class Facts:
+    """What several families of metrics start from: the score fact, the means of the marks, and the schools.
+
+    `stored`: both facts are worked out and written to the shared folder now, each once, and read
+    back by whatever is built on them; otherwise they are plans.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = False):
+        kept = materialise if stored else lambda df, name: df
+        self.spark, self.sf_dir = spark, sf_dir
+        self.scores = kept(scores_wide(spark, sf_dir).select("rbd", "agno", "cod_grado", "gse", *[f"{c}_{s}" for s, _ in SUBJECT_OF_FLAG for c in ("ptje", "n_eval")]), "scores")
+        self.grades = kept(grade_rows(spark, sf_dir).select("rbd", "agno", "grado", "asignatura", "prom_notas"), "grades")
+        self.schools = schools(spark, sf_dir)
+
+    @property
+    def series(self) -> DataFrame:
+        return score_series(self.spark, self.sf_dir, self.scores)
+
+
 # Series -------------------------------------------------------------------------------------
 
 @query(f"""WITH {CTE_SERIES}
@@ -70,8 +90,13 @@ def _segments(series: DataFrame) -> DataFrame:
     return series.withColumn("segmento", F.explode(names))
 
 
+def _together(rows: DataFrame, value: str) -> DataFrame:
+    """The years of a school, grade and subject in one place: a key has few rows, of which each is much smaller than the sums of a fit."""
+    return rows.select(*KEYS, "agno", value).repartition(*KEYS)
+
+
 def _trends(series: DataFrame) -> DataFrame:
-    return trend(_segments(series), [*KEYS, "segmento"], threshold=CONFIG.alert_threshold)
+    return trend(_segments(_together(series, "puntaje")), [*KEYS, "segmento"], threshold=CONFIG.alert_threshold)
 
 
 def _sql_trend(source: str, value: str = "puntaje", keys: str = "rbd, grado, asignatura, segmento") -> str:
@@ -161,9 +186,10 @@ def grade_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_rows(spark, sf_dir).drop("cod_grado")
 
 
-def grade_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grade_averages(spark: SparkSession, sf_dir: str, grades: DataFrame | None = None) -> DataFrame:
     """rbd, agno, grado, prom_global: mean of the subjects' means, unweighted, to two decimals."""
-    g = grade_rows(spark, sf_dir).groupBy("rbd", "agno", "grado").agg(F.sum(F.round(F.col("prom_notas") * 100).cast("bigint")).alias("p"), F.count("prom_notas").alias("n"))
+    grades = grade_rows(spark, sf_dir) if grades is None else grades
+    g = grades.groupBy("rbd", "agno", "grado").agg(F.sum(F.round(F.col("prom_notas") * 100).cast("bigint")).alias("p"), F.count("prom_notas").alias("n"))
     return g.select("rbd", "agno", "grado", half_up(F.col("p"), F.col("n"), 2).alias("prom_global"))
 
 
@@ -178,32 +204,33 @@ def grade_global_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_averages(spark, sf_dir)
 
 
-def _grade_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = grade_rows(spark, sf_dir).withColumn("asignatura", F.substring("asignatura", 1, 40)).filter("prom_notas is not null")
-    return trend(rows, KEYS, value="prom_notas", threshold=CONFIG.alert_threshold, digits=2).withColumn("segmento", F.lit("full"))
+def _grade_trends(grades: DataFrame) -> DataFrame:
+    rows = grades.withColumn("asignatura", F.substring("asignatura", 1, 40)).filter("prom_notas is not null")
+    return trend(_together(rows, "prom_notas"), KEYS, value="prom_notas", threshold=CONFIG.alert_threshold, digits=2).withColumn("segmento", F.lit("full"))
 
 
 _GRADE_TREND_CTE = CTE_GRADES + ", short AS (SELECT * REPLACE (substr(asignatura, 1, 40) AS asignatura) FROM grade_rows WHERE prom_notas IS NOT NULL), " + _sql_trend("short", "prom_notas", "rbd, grado, asignatura")
 
 
 @query(f"WITH {_GRADE_TREND_CTE}\n" + _TREND_COLUMNS.replace("asignatura, segmento", "asignatura, 'full' AS segmento"))
-def trend_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _told_trend(_grade_trends(spark, sf_dir), *KEYS, "segmento")
+def trend_grades(spark: SparkSession, sf_dir: str, grades: DataFrame | None = None) -> DataFrame:
+    return _told_trend(_grade_trends(grade_rows(spark, sf_dir) if grades is None else grades), *KEYS, "segmento")
 
 
 # Percentiles --------------------------------------------------------------------------------
 
-def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _latest(facts: Facts) -> DataFrame:
     """rbd, cod_depe, gse of the latest period of each school."""
-    return scores_wide(spark, sf_dir).groupBy("rbd").agg(F.max_by("gse", F.struct("agno", "cod_grado")).alias("gse")).join(schools(spark, sf_dir).select("rbd", "cod_depe"), "rbd")
+    return facts.scores.groupBy("rbd").agg(F.max_by("gse", F.struct("agno", "cod_grado")).alias("gse")).join(facts.schools.select("rbd", "cod_depe"), "rbd")
 
 
-def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def percentiles(spark: SparkSession, sf_dir: str, facts: Facts | None = None) -> DataFrame:
     """Each score's share of peers at or below it: of the same municipality, and of the school's latest peer group."""
-    s = score_series(spark, sf_dir).join(schools(spark, sf_dir).select("rbd", "cod_com", "cod_depe"), "rbd")
+    facts = facts or Facts(spark, sf_dir)
+    s = facts.series.join(facts.schools.select("rbd", "cod_com", "cod_depe"), "rbd")
     period = ["agno", "cod_grado", "asignatura"]
     both = peer_share(s, [*period, "cod_com"], "puntaje", "percentil_comuna")
-    pilots = both.drop("gse", "cod_depe").join(_latest(spark, sf_dir), "rbd")
+    pilots = both.drop("gse", "cod_depe").join(_latest(facts), "rbd")
     return outside_share(pilots, s, [*period, "cod_depe", "gse"], "puntaje", "percentil_gse")
 
 
@@ -240,17 +267,18 @@ WHERE percentil_comuna IS NOT NULL OR percentil_gse IS NOT NULL"""
 
 
 @query(f"WITH {_PERCENTILE_CTE}\n{_PERCENTILE_ROWS}")
-def percentile_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = percentiles(spark, sf_dir).filter("percentil_comuna is not null or percentil_gse is not null")
+def percentile_records(spark: SparkSession, sf_dir: str, facts: Facts | None = None) -> DataFrame:
+    p = percentiles(spark, sf_dir, facts).filter("percentil_comuna is not null or percentil_gse is not null")
     n = F.when(F.coalesce("percentil_gse_n", F.lit(0)) > 0, F.col("percentil_gse_n")).otherwise(F.col("percentil_comuna_n"))
     return p.select("rbd", "agno", "grado", F.lit("current").alias("segmento"), F.lit("simce_percentil").alias("metrica"), "asignatura", rnd("puntaje", 3).alias("valor_real"), *_r4("percentil_comuna", "percentil_gse"), n.alias("n_puntos"))
 
 
 # Cross-source -------------------------------------------------------------------------------
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str, facts: Facts | None = None) -> DataFrame:
     """Scores with the mark average of the year before, or of the same year where that row is missing."""
-    s, g = score_series(spark, sf_dir), grade_averages(spark, sf_dir)
+    facts = facts or Facts(spark, sf_dir)
+    s, g = facts.series, grade_averages(spark, sf_dir, facts.grades)
     # each average meets the year after it and its own year: one shuffle instead of two joins
     shifted = g.select("rbd", "grado", "prom_global", F.explode(F.array(F.struct((F.col("agno") + 1).alias("agno"), F.lit(0).alias("order")), F.struct(F.col("agno").alias("agno"), F.lit(1).alias("order")))).alias("p"))
     best = shifted.select("rbd", "grado", "prom_global", "p.*").groupBy("rbd", "grado", "agno").agg(F.min_by(F.struct("prom_global"), "order").getField("prom_global").alias("prom_interno"))
@@ -270,9 +298,10 @@ def cross_pairs_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("rbd", "agno", "grado", "asignatura", "prom_interno", rnd("puntaje_simce", 3).alias("puntaje_simce"))
 
 
-def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cross(spark: SparkSession, sf_dir: str, facts: Facts | None = None) -> DataFrame:
     last = F.max_by(F.struct("agno", "prom_interno", "puntaje_simce"), "agno")
-    return pairs(spark, sf_dir).groupBy(*KEYS).agg(last.alias("last"), F.count("*").alias("n_puntos"), correlation(F.col("prom_interno"), F.col("puntaje_simce")).alias("r")) \
+    rows = pairs(spark, sf_dir, facts).repartition(*KEYS)  # as in `_together`
+    return rows.groupBy(*KEYS).agg(last.alias("last"), F.count("*").alias("n_puntos"), correlation(F.col("prom_interno"), F.col("puntaje_simce")).alias("r")) \
         .select(*KEYS, F.col("last.agno").alias("agno"), (F.col("last.prom_interno") - F.col("last.puntaje_simce")).alias("brecha"), "r", "n_puntos")
 
 
@@ -295,12 +324,12 @@ def cross_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cross(spark, sf_dir).filter(F.col("n_puntos") >= CONFIG.min_points_corr).select("rbd", "agno", "grado", "asignatura", rnd("r", 4).alias("valor_real"), "n_puntos", confidence(F.col("n_puntos")).alias("confianza"))
 
 
-def _cross_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cross_measures(spark: SparkSession, sf_dir: str, facts: Facts | None = None) -> DataFrame:
     """The rows of `cross_gap` and `cross_correlation` from one pass over the pairs."""
     row = lambda metric, segment, value, alert: F.struct(F.lit(metric).alias("metrica"), F.lit(segment).alias("segmento"), value.alias("valor_real"), alert.alias("alerta"))
     both = F.array(row("cruce_brecha_interno_simce", "current", rnd("brecha", 2), F.abs("brecha") > CONFIG.gap_alert),
                    F.when(F.col("n_puntos") >= CONFIG.min_points_corr, row("cruce_correlacion_interno_simce", "full", rnd("r", 4), F.lit(False))))
-    rows = _cross(spark, sf_dir).select("rbd", "agno", "grado", "asignatura", "n_puntos", confidence(F.col("n_puntos")).alias("confianza"), F.explode(F.filter(both, lambda x: x.isNotNull())).alias("m"))
+    rows = _cross(spark, sf_dir, facts).select("rbd", "agno", "grado", "asignatura", "n_puntos", confidence(F.col("n_puntos")).alias("confianza"), F.explode(F.filter(both, lambda x: x.isNotNull())).alias("m"))
     return rows.select("rbd", "agno", "grado", "asignatura", "n_puntos", "confianza", "m.*")
 
 
@@ -318,13 +347,17 @@ def _family(df: DataFrame, metric: str | None, source: str, **constant) -> DataF
     return df.select(*[(F.lit(fixed[c]) if c in fixed else F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in METRIC_COLUMNS.items()])
 
 
-def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every metric of every school in one long table; missing measures are null. A plan, of which nothing runs before it is read."""
+def metrics(spark: SparkSession, sf_dir: str, facts: Facts | None = None) -> DataFrame:
+    """Every metric of every school in one long table; missing measures are null. A plan, of which nothing runs before it is read.
+
+    Whoever reads all of it gives it stored `facts`, so that the families do not work them out again.
+    """
+    facts = facts or Facts(spark, sf_dir)
     families = [
-        _family(_told_trend(_trends(score_series(spark, sf_dir)), *KEYS, "segmento"), "simce_tendencia", "simce"),
-        _family(percentile_records(spark, sf_dir), "simce_percentil", "simce", confianza="alta", alerta=False),
-        _family(trend_grades(spark, sf_dir), "sige_tendencia", "sige"),
-        _family(_cross_measures(spark, sf_dir), None, "cruce")]
+        _family(_told_trend(_trends(facts.series), *KEYS, "segmento"), "simce_tendencia", "simce"),
+        _family(percentile_records(spark, sf_dir, facts), "simce_percentil", "simce", confianza="alta", alerta=False),
+        _family(trend_grades(spark, sf_dir, facts.grades), "sige_tendencia", "sige"),
+        _family(_cross_measures(spark, sf_dir, facts), None, "cruce")]
     return reduce(DataFrame.unionByName, families)
 
 
@@ -346,7 +379,7 @@ metrics AS (
 SELECT metrica, segmento, fuente, count(*) AS n, count(*) FILTER (WHERE alerta) AS n_alertas, count(DISTINCT rbd) AS n_rbd, CAST(sum(n_puntos) AS BIGINT) AS puntos FROM metrics GROUP BY ALL""")
 def metrics_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All metric families in one table, counted by family."""
-    return metrics(spark, sf_dir).groupBy("metrica", "segmento", "fuente").agg(F.count("*").alias("n"), F.count_if("alerta").alias("n_alertas"), F.countDistinct("rbd").alias("n_rbd"), F.sum("n_puntos").alias("puntos"))
+    return metrics(spark, sf_dir, Facts(spark, sf_dir, stored=True)).groupBy("metrica", "segmento", "fuente").agg(F.count("*").alias("n"), F.count_if("alerta").alias("n_alertas"), F.countDistinct("rbd").alias("n_rbd"), F.sum("n_puntos").alias("puntos"))
 
 
 # Hierarchy ----------------------------------------------------------------------------------

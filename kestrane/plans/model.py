@@ -85,22 +85,23 @@ def scores_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.col(f"n_eval_{s}").alias(f"n_eval_{s}") for s, _ in SUBJECT_OF_FLAG], *[f"cents_{s}" for s, _ in SUBJECT_OF_FLAG])
 
 
-def score_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The score fact in long form: rbd, agno, cod_grado, grado, gse, asignatura, puntaje, n_evaluados; no null scores."""
+def score_series(spark: SparkSession, sf_dir: str, wide: DataFrame | None = None) -> DataFrame:
+    """The score fact (`wide`: as `scores_wide` gives it) in long form: rbd, agno, cod_grado, grado, gse, asignatura, puntaje, n_evaluados; no null scores."""
     parts = ", ".join(f"'{s}', ptje_{s}, n_eval_{s}" for s, _ in SUBJECT_OF_FLAG)
-    long = scores_wide(spark, sf_dir).select("rbd", "agno", "cod_grado", "gse", F.expr(f"stack({len(SUBJECT_OF_FLAG)}, {parts}) as (asignatura, puntaje, n_evaluados)"))
+    wide = scores_wide(spark, sf_dir) if wide is None else wide
+    long = wide.select("rbd", "agno", "cod_grado", "gse", F.expr(f"stack({len(SUBJECT_OF_FLAG)}, {parts}) as (asignatura, puntaje, n_evaluados)"))
     return long.filter("puntaje is not null").withColumn("grado", grade_label(F.col("cod_grado")))
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Course marks: one row per line item with its order's pupil, class letter and status and its part's subject."""
     l, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
-    rows = l.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_discount", "l_quantity") \
+    rows = l.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.year("l_shipdate").alias("agno"), "l_discount", "l_quantity") \
         .join(o.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey")) \
         .join(p.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"), "left")
     status = F.when(F.col("o_orderstatus") == "F", "APR").when(F.col("o_orderstatus") == "O", "REP").when(F.col("o_orderstatus") == "P", "RET")
     return rows.select(
-        rbd_of("l_suppkey").alias("rbd"), F.year("l_shipdate").alias("agno"), F.col("l_linenumber").alias("cod_grado"),
+        rbd_of("l_suppkey").alias("rbd"), "agno", F.col("l_linenumber").alias("cod_grado"),
         F.col("o_custkey").alias("alumno_id"), F.substring("o_orderpriority", 1, 1).alias("letra"), F.col("p_type").alias("subsector"),
         (1 + 60 * F.col("l_discount")).cast("decimal(18,2)").alias("promedio"), (2 * F.col("l_quantity")).cast("decimal(18,2)").alias("asistencia_pct"), status.alias("situacion_final"))
 

@@ -9,7 +9,7 @@ from ..functions.clean import norm_rbd
 from ..functions.labels import GRADES, SUBJECTS, fixed, lookup
 from ..scratch import shared_path
 from .analytics import (
-    _GRADE_TREND_CTE, _MELT_SQL, _SEGMENTS, _TREND_COLUMNS, CTE_METRICS, KEYS, METRIC_COLUMNS, _sql_trend, _told_trend, _trends, grade_series, metrics, score_series_melt, trend_grades)
+    _GRADE_TREND_CTE, _MELT_SQL, _SEGMENTS, _TREND_COLUMNS, CTE_METRICS, KEYS, METRIC_COLUMNS, Facts, _sql_trend, _told_trend, _trends, grade_series, metrics, score_series_melt, trend_grades)
 from .model import CTE_SERIES, rnd, score_series
 from .registry import query
 
@@ -32,6 +32,11 @@ def _rounded(df: DataFrame) -> DataFrame:
 _SQL_ROUNDED = ", ".join(f"(round({c} + 1e-7, 2) + 0e0) AS {c}" if t == "double" else c for c, t in METRIC_COLUMNS.items())
 
 
+def _worked_out(spark: SparkSession, sf_dir: str, rbd: str | None) -> DataFrame:
+    """All metrics; of one school a plan whose steps read that school alone, of every school on facts that are stored once."""
+    return metrics(spark, sf_dir, Facts(spark, sf_dir, stored=True) if rbd is None else None)
+
+
 @query(f"WITH {CTE_METRICS} SELECT {_SQL_ROUNDED}, count(*) FILTER (WHERE alerta) OVER () AS n_alertas FROM metrics WHERE rbd = '{SCHOOL}'")
 def metrics_by_school(spark: SparkSession, sf_dir: str, rbd: str | None = SCHOOL, segment: str | None = None, source: str | None = None, stored: DataFrame | None = None) -> DataFrame:
     """All metrics of a school, or with None of every school, with optional segment and source, and how many of the school's are alerts.
@@ -39,7 +44,7 @@ def metrics_by_school(spark: SparkSession, sf_dir: str, rbd: str | None = SCHOOL
     `stored`: the table of all metrics as `runner.store_metrics` wrote it, of which only the
     school's part is read; without it the metrics are worked out.
     """
-    m = metrics(spark, sf_dir) if stored is None else stored
+    m = _worked_out(spark, sf_dir, rbd) if stored is None else stored
     for column, value in (("rbd", rbd), ("segmento", segment), ("fuente", source)):
         if value is not None:
             m = m.filter(F.col(column) == value)
@@ -52,7 +57,7 @@ def metrics_by_school(spark: SparkSession, sf_dir: str, rbd: str | None = SCHOOL
 @query(f"WITH {CTE_METRICS} SELECT {_SQL_ROUNDED} FROM metrics WHERE rbd = '{SCHOOL}' AND alerta")
 def active_alerts(spark: SparkSession, sf_dir: str, rbd: str | None = SCHOOL, stored: DataFrame | None = None) -> DataFrame:
     """A school's alerts, or with None every school's; `stored` as in `metrics_by_school`."""
-    m = (metrics(spark, sf_dir) if stored is None else stored).filter("alerta")
+    m = (_worked_out(spark, sf_dir, rbd) if stored is None else stored).filter("alerta")
     return _rounded(m if rbd is None else m.filter(F.col("rbd") == rbd)).orderBy("fuente", "metrica", F.asc_nulls_last("grado"), F.asc_nulls_last("asignatura"))
 
 
@@ -254,4 +259,4 @@ SELECT * FROM told WHERE texto IS NOT NULL"""
 def insights_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts for every school, the critical ones first."""
     rank = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("nivel"))
-    return insights(metrics(spark, sf_dir)).orderBy("rbd", rank, "metrica", F.asc_nulls_last("grado"), F.asc_nulls_last("asignatura"), "segmento", "agno")
+    return insights(_worked_out(spark, sf_dir, None)).orderBy("rbd", rank, "metrica", F.asc_nulls_last("grado"), F.asc_nulls_last("asignatura"), "segmento", "agno")

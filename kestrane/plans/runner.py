@@ -135,9 +135,9 @@ def store_metrics(spark: SparkSession, sf_dir: str, out: str, files: int | None
     Within a file rows are sorted by school, so that a read of one school skips all files and
     row groups whose range of schools does not hold it.
     """
-    from .analytics import metrics
+    from .analytics import Facts, metrics
 
-    m, path = metrics(spark, sf_dir), f"{out}/metrics"
+    m, path = metrics(spark, sf_dir, Facts(spark, sf_dir, stored=True)), f"{out}/metrics"
     dealt = m.repartitionByRange(files, "rbd") if files else m.repartitionByRange("rbd")
     dealt.sortWithinPartitions("rbd").write.mode("overwrite").parquet(path)
     return path

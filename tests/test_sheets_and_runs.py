@@ -75,6 +75,17 @@ def test_reads_of_stored_metrics(spark, sf_dir, tmp_path):
     assert files.filter("count > 1").isEmpty()  # a school lies in one file
 
 
+def test_families_share_stored_facts(spark, sf_dir):
+    from kestrane.plans.analytics import Facts
+
+    rows = lambda df: sorted(map(repr, df.collect()))
+    shared = metrics(spark, sf_dir, Facts(spark, sf_dir, stored=True))
+    assert not any("lineitem" in f or "orders" in f for f in shared.inputFiles())
+    assert rows(shared) == rows(metrics(spark, sf_dir))
+    plan = read_api.metrics_by_school_all(spark, sf_dir)
+    assert not any("lineitem" in f or "orders" in f for f in plan.inputFiles())
+
+
 def test_trends_beside_series(spark, sf_dir):
     one = read_api.scores_with_trends_all(spark, sf_dir, "00000001", "4B").collect()
     assert one and {(r.rbd, r.grado) for r in one} == {("00000001", "4b")} and any(r.slope_full is not None for r in one)
