@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import norm_rbd
 from ..functions.labels import GRADES, SUBJECTS, fixed, lookup
-from ..scratch import shared_path
+from ..scratch import materialise, shared_path
 from .analytics import (
     _GRADE_TREND_CTE, _MELT_SQL, _SEGMENTS, _TREND_COLUMNS, CTE_METRICS, KEYS, METRIC_COLUMNS, Facts, _sql_trend, _told_trend, _trends, grade_series, metrics, score_series_melt, trend_grades)
 from .model import CTE_SERIES, rnd, score_series
@@ -259,4 +259,5 @@ SELECT * FROM told WHERE texto IS NOT NULL"""
 def insights_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts for every school, the critical ones first."""
     rank = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("nivel"))
-    return insights(_worked_out(spark, sf_dir, None)).orderBy("rbd", rank, "metrica", F.asc_nulls_last("grado"), F.asc_nulls_last("asignatura"), "segmento", "agno")
+    told = materialise(insights(_worked_out(spark, sf_dir, None)), "insights")  # a sort over ranges reads its input twice
+    return told.orderBy("rbd", rank, "metrica", F.asc_nulls_last("grado"), F.asc_nulls_last("asignatura"), "segmento", "agno")

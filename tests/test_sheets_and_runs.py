@@ -86,6 +86,13 @@ def test_families_share_stored_facts(spark, sf_dir):
     assert not any("lineitem" in f or "orders" in f for f in plan.inputFiles())
 
 
+def test_texts_are_sorted_from_a_table(spark, sf_dir):
+    """A sort over ranges reads its input twice, so what is below it is a scan, not the working out of metrics."""
+    df = read_api.insights_text(spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and not any(x in plan for x in ("Join", "Aggregate", "Window"))
+
+
 def test_trends_beside_series(spark, sf_dir):
     one = read_api.scores_with_trends_all(spark, sf_dir, "00000001", "4B").collect()
     assert one and {(r.rbd, r.grado) for r in one} == {("00000001", "4b")} and any(r.slope_full is not None for r in one)
