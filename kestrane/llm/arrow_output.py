@@ -22,66 +22,161 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import shared_path, text_of, tidy
-from .pieces import Remembered, grouped, spaced_pieces
+from .bpe import byte_of_char
+from .pieces import BLANK, DIGIT, FAR, LETTER, LIMIT, MARK, SPACE, Remembered, char_class, char_classes, grouped
 
 #: Ids of a row, rows of a batch.
 LENGTH, ROWS = 2048, 64
-#: Code points of the texts that are split at a time; pieces that are encoded together, and of a remembered generation.
-GROUP, TOGETHER, REMEMBERED = 1 << 19, 4096, 300_000
+#: Code points of the texts that are cut at a time, bytes of the rows taken from a batch, words whose ids are gathered at a time.
+GROUP, TAKEN, GATHERED = 1 << 22, 1 << 23, 1 << 18
+#: Words that are encoded together, those of a remembered generation, bytes of the longest that is remembered.
+TOGETHER, REMEMBERED, LONGEST = 4096, 400_000, 256
 END_ID = 2
 
-_UNPLAIN = re.compile(r"\s|<\|")
+#: Kinds of signs beside those of `pieces`: a line feed, and what no word is cut at.
+FEED, OTHER = 6, 7
+_SETTLED = {kind: re.escape("".join(chr(c) for c in range(LIMIT) if char_class(c) == kind and c != 39)) for kind in (LETTER, DIGIT, MARK)}
+_WORD = re.compile(f" ?(?:{'|'.join(f'[{signs}]+' for signs in _SETTLED.values())})|\n")
 _loaded: dict[str, "ByteEncoder"] = {}
 
 
+def byte_kinds() -> tuple[np.ndarray, np.ndarray]:
+    """The kinds of the bytes below 128, and of the code points up to 0xFFFF; settled letters, digits and marks have theirs, white space is BLANK but for SPACE and FEED."""
+    kinds = char_classes()[:0x10000].copy()
+    kinds[(kinds == FAR) | (np.arange(0x10000) == 39)] = OTHER
+    kinds[kinds == SPACE] = BLANK
+    kinds[32], kinds[10] = SPACE, FEED
+    first = np.full(256, OTHER, np.uint8)
+    first[:128] = kinds[:128]
+    return first, kinds
+
+
 class ByteEncoder:
-    """Ids of a byte-level vocabulary, by the pieces between certain cuts.
+    """Ids of a byte-level vocabulary, by the words between certain cuts.
 
     No word of the tokenizer goes on over a space between two other signs than white space, nor
-    over one into what is a special token, so a text is cut before each such space. Pieces are
-    encoded once while they are remembered: those without white space and without what may be a special token
-    together, told apart by the tokens that begin with a space, others one by one.
+    over one into what is a special token, so texts are cut before each such space. A
+    stretch of settled letters, digits and other signs (no apostrophe, no "<|") is cut further where these kinds meet, and
+    around one or two line feeds between them; any other stays whole. The words of a group of texts are
+    told apart in Arrow and looked up while they are remembered. New ones of one kind of signs are encoded
+    together by the tokenizer's model, which needs no search for words then, others by the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        space = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
-        self.spaced = np.array([self.tokenizer.id_to_token(i).startswith(space) for i in range(self.tokenizer.get_vocab_size())])
+        self.shown = {b: c for c, b in byte_of_char().items()}
+        self.mark, self.shown[32] = self.shown[32], " "
+        self.spaced = np.array([self.tokenizer.id_to_token(i).startswith(self.mark) for i in range(self.tokenizer.get_vocab_size())])
+        self.first, self.kinds = byte_kinds()
         self.known = Remembered(self._encode, REMEMBERED)
 
-    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that follow a space each."""
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        spaced, bare, rest = [], [], []
+        for w in words:
+            (bare if w.isalpha() else spaced if w[0] == 32 and w[1:].isalpha() else rest).append(w)
+        whole = []
+        for w in rest:
+            text = w.decode()
+            (whole if "<|" in text or not _WORD.fullmatch(text) else spaced if w[0] == 32 else bare).append(w)
         out = {}
-        plain = [p for p in pieces if p and not _UNPLAIN.search(p)]
-        for lo in range(0, len(plain), TOGETHER):
-            part = plain[lo : lo + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(["", *part])], add_special_tokens=False)[0].ids, self.dtype)
-            at = (np.flatnonzero(self.spaced[ids]) * self.dtype.itemsize).tolist()
-            if len(at) == len(part):
-                flat = ids.tobytes()
-                out |= {p: flat[a:b] for p, a, b in zip(part, at, [*at[1:], len(flat)])}
-        rest = [p for p in pieces if p not in out]
-        return out | self._each(rest, [" " + p for p in rest])
-
-    def _each(self, keys: list[str], texts: list[str]) -> dict[str, bytes]:
-        return {k: np.array(got.ids, self.dtype).tobytes() for k, got in zip(keys, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))}
+        for some, put in ((spaced, self.mark), (bare, self.mark + " ")):
+            for lo in range(0, len(some), TOGETHER):
+                part = some[lo : lo + TOGETHER]
+                out |= zip(part, self._together(part, put), strict=True)
+        got = self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)
+        out |= zip(whole, [np.array(x.ids, self.dtype).tobytes() for x in got], strict=True)
+        return out
+
+    def _together(self, words: list[bytes], put: str) -> list[bytes]:
+        """Ids of words of one kind of signs, told apart by the tokens that begin with a space: the words' own, or one put before each that is taken off."""
+        off = put.count(" ")
+        joined = b" " + b" ".join(words) if off else b"".join(words)
+        shown = joined.decode("latin-1")
+        if not joined.isascii() or b"\n" in joined:
+            shown = shown.translate(self.shown)
+        ids = np.array(self.words.encode_batch_fast([shown.replace(" ", " " + put)], add_special_tokens=False)[0].ids, self.dtype)
+        starts, size, flat = np.flatnonzero(self.spaced[ids]), self.dtype.itemsize, ids.tobytes()
+        return [flat[a:b] for a, b in zip(((starts + off) * size).tolist(), [*(starts[1:] * size).tolist(), len(flat)])]
+
+    def _kinds(self, data: np.ndarray) -> np.ndarray:
+        """The kind of the sign that each byte belongs to."""
+        kind = self.first[data]
+        for lead, wide in ((0xC0, 2), (0xE0, 3)):
+            at = np.flatnonzero((data >= lead) & (data < lead + (32 >> wide - 2)))
+            if len(at):
+                code = data[at].astype(np.int32) - lead
+                for i in range(1, wide):
+                    code = code << 6 | data[at + i] & 63
+                for i in range(wide):
+                    kind[at + i] = self.kinds[code]
+        return kind
+
+    def cuts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The places in UTF-8 data where words start; bounds: those where texts start, and the end. Texts are not empty."""
+        kind, begins = self._kinds(data), bounds[:-1]
+        white = (kind == SPACE) | (kind == FEED) | (kind == BLANK)
+        after = np.append(white[1:], False)  # white space follows
+        before = np.append(False, white[:-1])
+        after[bounds[1:] - 1] = before[begins] = False
+        alone = ~(before | after)
+        single = (kind == SPACE) & alone
+        single[bounds[1:] - 1] = False
+        feed = np.flatnonzero((kind == FEED) & ~before)
+        two = feed[after[feed]]  # of two line feeds before something else, the first
+        two = two[(kind[two + 1] == FEED) & ~after[two + 1] & ~np.isin(two + 2, bounds)]
+        start = single.copy()
+        start[begins] = True
+        bad = (kind >= OTHER) | (kind == BLANK) | (white & ~single & ~((kind == FEED) & alone))
+        bad[two] = bad[two + 1] = False
+        bad[np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))] = True  # "<|" may begin a special token
+        stretch = np.cumsum(start, dtype=np.int64 if len(data) > 1 << 31 else np.int32)
+        whole = np.zeros(stretch[-1] + 1, bool)
+        whole[stretch[np.flatnonzero(bad)]] = True
+        inner = 1 + np.flatnonzero((kind[1:] != kind[:-1]) & (kind[:-1] != SPACE) | (kind[1:] == FEED))
+        start[inner[~whole[stretch[inner]]]] = True
+        return np.flatnonzero(start)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        data = pa.array(texts, pa.large_string())
+        bounds = np.frombuffer(data.buffers()[1], np.int64, len(texts) + 1)
+        filled = np.flatnonzero(np.diff(bounds))
+        if not len(filled):
+            return [b""] * len(texts)
+        starts = self.cuts(np.frombuffer(data.buffers()[2], np.uint8, bounds[-1]), np.append(bounds[filled], bounds[-1]))
+        offsets = np.append(starts, bounds[-1])
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), data.buffers()[2]]).dictionary_encode()
+        ids = self._looked_up(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.array([len(i) for i in ids]) // self.dtype.itemsize
+        first, flat, at = np.cumsum(size) - size, np.frombuffer(b"".join(ids), self.dtype), words.indices.to_numpy()
+        parts = []
+        for lo in range(0, len(at), GATHERED):
+            some = at[lo : lo + GATHERED]
+            n = size[some]
+            parts.append(flat[np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        every = np.concatenate(parts)
+        places = np.append(0, np.cumsum(size[at]))[np.searchsorted(starts, bounds)].tolist()
+        return [every[a:b].tobytes() for a, b in zip(places, places[1:])]
+
+    def _looked_up(self, words: list[bytes]) -> list[bytes]:
+        long = [w for w in words if len(w) > LONGEST]
+        if not long:
+            return self.known.of(words)
+        apart = self._encode(long)
+        short = iter(self.known.of([w for w in words if len(w) <= LONGEST]))
+        return [apart[w] if len(w) > LONGEST else next(short) for w in words]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         out = []
         for group, places in grouped(texts, GROUP):
-            rows = [spaced_pieces(t) for t in group]
-            first = self._each(heads := sorted({r[0] for r in rows}), heads)
-            ids = self.known.of([p for r in rows for p in r[1:]])
-            got, at = [], 0
-            for r in rows:
-                got.append(first[r[0]] + b"".join(ids[at : at + len(r) - 1]))
-                at += len(r) - 1
+            got = self._group(group)
             out += [got[i] for i in places]
         return out
 
@@ -167,8 +262,9 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
         with fs.open_output_stream(name("ids", mark)) as sink, fs.open_output_stream(name("docs", mark)) as isink, pa.ipc.new_file(isink, index_schema) as index:
             out = ShardWriter(sink, enc.dtype, length, rows)
             for batch in batches:
-                for lo in range(0, batch.num_rows, 512):
-                    part = batch.slice(lo, 512)
+                taken = max(1, batch.num_rows * TAKEN // max(1, batch.nbytes))
+                for lo in range(0, batch.num_rows, taken):
+                    part = batch.slice(lo, taken)
                     start, entries = out.total, []
                     for ids in enc.encode_batch(part.column(1).to_pylist()):
                         flat = np.frombuffer(ids + end, enc.dtype)

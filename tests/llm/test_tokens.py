@@ -153,3 +153,31 @@ def test_byte_encoder_on_odd_spaces_and_special_strings():
     texts = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(5000)]
     want = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
     assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode_batch(texts)] == [x.ids for x in want]
+
+
+def test_byte_words_are_cut_where_kinds_meet_and_encoded_once():
+    enc, r = arrow_output.ByteEncoder(tokenizer("byte_bpe_50k.json")), random.Random(7)
+    words = ["".join(r.choice("abcdefghé") for _ in range(r.randrange(2, 9))) for _ in range(200)]
+    given = []
+    encode = enc.known.encode
+    enc.known.encode = lambda new: given.extend(new) or encode(new)
+    enc.encode_batch([" " + " ".join(words) + " x, y. (z) 12\n"])
+    given.clear()
+    texts = ["".join(f" {w}{r.choice(['', ',', '.', ').', '12'])}" for w in r.choices(words, k=500)) for _ in range(9)]
+    want = enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode_batch(texts)] == [x.ids for x in want]
+    assert len(given) <= 4  # the signs after the words, not each word with each of them
+
+
+def test_byte_cuts_equal_the_library_over_kinds_of_signs(monkeypatch):
+    enc, r = arrow_output.ByteEncoder(tokenizer("byte_bpe_50k.json")), random.Random(11)
+    monkeypatch.setattr(arrow_output, "GATHERED", 7)
+    monkeypatch.setattr(arrow_output, "LONGEST", 5)
+    monkeypatch.setattr(arrow_output, "TOGETHER", 3)
+    signs = [" ", " ", " ", "\n", "\n", "\n\n", "\t", "a", "b", "Z", "Ġ", "é", "İ", "ſ", "ß", "1", "²", "½", ".", ",", "×", "_", "'", "'s", "<", "|", "<|", "|>", "<|endoftext|>", "ж", "語", "🙂", " ", "­", " ", " ", " ", "​", "　", "\u0085", "\x00", "\x1c", "\x7f", "́", "ſ", "ƀ"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randrange(14))) for _ in range(20000)]
+    texts += ["".join(r.choice([" ", "\n", "a", "é", "1", "."]) for _ in range(r.randrange(9))) for _ in range(20000)]
+    want = enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    for t, got, ids in zip(texts, enc.encode_batch(texts), want, strict=True):
+        assert np.frombuffer(got, enc.dtype).tolist() == ids.ids, t
+    assert enc.encode_batch([]) == [] and enc.encode_batch([""]) == [b""]
